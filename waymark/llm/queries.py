@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import ann, language_id, sharding, simhash_dedup, warc
+from waymark.llm import ann, html_text, html_training, language_id, sharding, simhash_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0)).select("query_id", "rank", "vec_id", "score")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"), html_training.trained())
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_ann": op2_ann, "op4_simhash_dedup": op4_simhash_dedup, "op5_warc": op5_warc, "op7_sharding": op7_sharding, "op10_language_id": op10_language_id}
+    return {"op2_ann": op2_ann, "op3_html_text": op3_html_text, "op4_simhash_dedup": op4_simhash_dedup, "op5_warc": op5_warc, "op7_sharding": op7_sharding, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
