@@ -39,11 +39,13 @@ def words(text: Column) -> Column:
 
 def shingle_hashes(words_col: Column, n: int) -> Column:
     """One xxhash64 per n-word shingle, in text order; fewer than n words give none."""
-    count = F.size(words_col) - n + 1
-    return F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(words_col, i, n))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    # The words are bound to a lambda's variable, else Spark would split the text again for each shingle.
+    def of(ws: Column) -> Column:
+        count = F.size(ws) - n + 1
+        each = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(ws, i, n)))
+        return F.when(count > 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    return F.element_at(F.transform(F.array(words_col), of), 1)
 
 
 def small_enough(df: DataFrame, most: int) -> bool:
