@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import ann, decontaminate, html_text, html_training, language_id, sharding, simhash_dedup, warc
+from waymark.llm import ann, decontaminate, html_text, html_training, language_id, mixing, sharding, simhash_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+#: Target shares of the expected tokens: the labelled domains' own proportion, without toxic text.
+WEIGHTS = {"high": 0.848, "low": 0.15, "toxic": 0.002}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", mixing.labelled_domain(F.col("quality"), F.col("toxic")).alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), WEIGHTS, keep="high")
+    return found.drop("text_hash")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -61,7 +74,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_ann": op2_ann, "op3_html_text": op3_html_text, "op4_simhash_dedup": op4_simhash_dedup, "op5_warc": op5_warc, "op7_sharding": op7_sharding, "op8_decontaminate": op8_decontaminate, "op10_language_id": op10_language_id}
+    return {"op2_ann": op2_ann, "op3_html_text": op3_html_text, "op4_simhash_dedup": op4_simhash_dedup, "op5_warc": op5_warc, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding, "op8_decontaminate": op8_decontaminate, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
