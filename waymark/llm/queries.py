@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import ann, decontaminate, html_text, html_training, language_id, mixing, sharding, simhash_dedup, warc
+from waymark.llm import ann, decontaminate, html_text, html_training, language_id, license_scan, mixing, sharding, simhash_dedup, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0)).select("query_id", "rank", "vec_id", "score")
@@ -54,6 +58,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -74,8 +82,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_ann": op2_ann, "op3_html_text": op3_html_text, "op4_simhash_dedup": op4_simhash_dedup, "op5_warc": op5_warc, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding, "op8_decontaminate": op8_decontaminate, "op10_language_id": op10_language_id}
+    return {"op1_license_scan": op1_license_scan, "op2_ann": op2_ann, "op3_html_text": op3_html_text, "op4_simhash_dedup": op4_simhash_dedup, "op5_warc": op5_warc, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ann": OP2_SQL}
+    return {"op1_license_scan": op1_license_scan, "op2_ann": OP2_SQL}
