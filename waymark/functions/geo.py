@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,10 +18,10 @@ Ring = Sequence[tuple[float, float]]
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle metres."""
+    """Great-circle metres; null where a coordinate is null (least() would pass over it)."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH_M) * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))
 
 
 def haversine_m(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
@@ -59,13 +59,6 @@ def bounds_of(rings: Sequence[Ring]) -> tuple[float, float, float, float]:
     return min(xs), min(ys), max(xs), max(ys)
 
 
-def _any(parts: list[Column]) -> Column:
-    """OR of many parts as a balanced tree, so that its depth stays small."""
-    while len(parts) > 1:
-        parts = [parts[i] | parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
-
-
 def _sum(parts: list[Column]) -> Column:
     while len(parts) > 1:
         parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
@@ -76,35 +69,58 @@ def _cross(ax, ay, bx, by, px, py):
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 
 
+def _edge_array(rings: Sequence[Ring]) -> Column:
+    """The edges as one array literal, so that a region's size does not lengthen the plan's code."""
+    return F.expr("array(" + ", ".join(f"named_struct('ax', {a!r}D, 'ay', {b!r}D, 'bx', {c!r}D, 'by', {d!r}D)" for a, b, c, d in edges_of(rings)) + ")")
+
+
+def _bound(values: dict[str, Column], f: Callable[[Column], Column]) -> Column:
+    """f of a struct of the values: each is computed once, however often f and its lambdas use it."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), 1)
+
+
 def inside(lon: Column, lat: Column, rings: Sequence[Ring]) -> Column:
     """Whether a point lies in the even-odd area of the rings or on an edge (planar degrees).
 
     The bounding box comes first, so that Parquet statistics can skip what is far away.
     """
     west, south, east, north = bounds_of(rings)
-    crossings, on = [], []
-    for ax, ay, bx, by in edges_of(rings):
-        x1, y1, x2, y2 = F.lit(ax), F.lit(ay), F.lit(bx), F.lit(by)
-        on.append((_cross(x1, y1, x2, y2, lon, lat) == 0) & lon.between(min(ax, bx), max(ax, bx)) & lat.between(min(ay, by), max(ay, by)))
-        if ay != by:
-            straddles = (y1 > lat) != (y2 > lat)
-            crossings.append(F.when(straddles & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1), 1).otherwise(0))
-    odd = _sum(crossings) % 2 == 1 if crossings else F.lit(False)
-    return lon.between(west, east) & lat.between(south, north) & (_any(on) | odd)
+    edges = _edge_array(rings)
+
+    def test(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+
+        def on(e: Column) -> Column:
+            box = x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+            return box & (_cross(e["ax"], e["ay"], e["bx"], e["by"], x, y) == 0)
+
+        def crossed(n: Column, e: Column) -> Column:
+            straddles = (e["ay"] > y) != (e["by"] > y)  # never of a level edge
+            return n + F.when(straddles & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"]), 1).otherwise(0)
+
+        return F.exists(edges, on) | (F.aggregate(edges, F.lit(0), crossed) % 2 == 1)
+
+    return lon.between(west, east) & lat.between(south, north) & _bound({"x": lon, "y": lat}, test)
 
 
 def crosses(x1: Column, y1: Column, x2: Column, y2: Column, rings: Sequence[Ring]) -> Column:
     """Whether a segment meets any edge of the rings, touching included."""
     west, south, east, north = bounds_of(rings)
-    parts = []
-    for ax, ay, bx, by in edges_of(rings):
-        a, b, c, d = F.lit(ax), F.lit(ay), F.lit(bx), F.lit(by)
-        d1, d2 = _cross(a, b, c, d, x1, y1), _cross(a, b, c, d, x2, y2)
-        d3, d4 = _cross(x1, y1, x2, y2, a, b), _cross(x1, y1, x2, y2, c, d)
-        boxes = (F.greatest(x1, x2) >= min(ax, bx)) & (F.least(x1, x2) <= max(ax, bx)) & (F.greatest(y1, y2) >= min(ay, by)) & (F.least(y1, y2) <= max(ay, by))
-        parts.append(boxes & (d1 * d2 <= 0) & (d3 * d4 <= 0))
+    edges = _edge_array(rings)
+
+    def test(s: Column) -> Column:
+        a, b, c, d = s["x1"], s["y1"], s["x2"], s["y2"]
+
+        def meets(e: Column) -> Column:
+            boxes = (F.greatest(a, c) >= F.least(e["ax"], e["bx"])) & (F.least(a, c) <= F.greatest(e["ax"], e["bx"])) & (F.greatest(b, d) >= F.least(e["ay"], e["by"])) & (F.least(b, d) <= F.greatest(e["ay"], e["by"]))
+            edge = (e["ax"], e["ay"], e["bx"], e["by"])
+            apart = _cross(*edge, a, b) * _cross(*edge, c, d) <= 0
+            return boxes & apart & (_cross(a, b, c, d, e["ax"], e["ay"]) * _cross(a, b, c, d, e["bx"], e["by"]) <= 0)
+
+        return F.exists(edges, meets)
+
     near = (F.greatest(x1, x2) >= west) & (F.least(x1, x2) <= east) & (F.greatest(y1, y2) >= south) & (F.least(y1, y2) <= north)
-    return near & _any(parts)
+    return near & _bound({"x1": x1, "y1": y1, "x2": x2, "y2": y2}, test)
 
 
 # The published GCJ-02 ellipsoid and its bounds.

@@ -22,7 +22,7 @@ def hav(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return f"(2 * {EARTH_M}::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
 
 
-STEP = f"""step AS (SELECT *, lag(ts) OVER w AS ts0, {hav("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat")} AS d FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+STEP = f"""step AS (SELECT *, lag(ts) OVER w AS ts0, CASE WHEN lag(ts) OVER w IS NOT NULL THEN {hav("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat")} END AS d FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
 spd AS (SELECT *, CASE WHEN epoch_ms(ts) > epoch_ms(ts0) THEN d / ((epoch_ms(ts) - epoch_ms(ts0)) / 1000.0::DOUBLE) END AS v FROM step),
 thr AS (SELECT track_id, coalesce(greatest(8.0::DOUBLE, 3 * median(v) FILTER (WHERE v > 0)), 8.0::DOUBLE) AS threshold FROM spd GROUP BY track_id),
 flag AS (SELECT s.*, coalesce(v > threshold, false) OR coalesce(lead(v) OVER (PARTITION BY s.track_id ORDER BY seq) > threshold, false) AS is_outlier FROM spd s JOIN thr USING (track_id)),
@@ -188,6 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "value_at": f"""{p}, q AS (SELECT *, epoch_ms(ts) AS ms, (1704067200 + (track_id % 28) * 86400 + ((track_id * 7) % 24) * 3600 + 431) * 1000 AS a FROM pts),
 b AS (SELECT track_id, any_value(a) AS a, max(ms) FILTER (WHERE ms <= a) AS m0, arg_max(elevation_m, ms) FILTER (WHERE ms <= a) AS v0, min(ms) FILTER (WHERE ms >= a) AS m1, arg_min(elevation_m, ms) FILTER (WHERE ms >= a) AS v1 FROM q GROUP BY 1)
 SELECT track_id, round(CASE WHEN m0 IS NULL THEN v1 WHEN m1 IS NULL OR m0 = m1 THEN v0 ELSE v0 + (v1 - v0) * ((a - m0) / (m1 - m0)::DOUBLE) END, 6) AS value FROM b""",
+        "trip_sessions": f"{p}, g AS (SELECT *, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY track_id ORDER BY ts) > 300000 THEN 1 ELSE 0 END AS cut FROM pts), t AS (SELECT *, sum(cut) OVER (PARTITION BY track_id ORDER BY ts) AS trip FROM g) SELECT track_id, {iso('min(ts)')} AS trip_start, {iso('max(ts) + INTERVAL 300 SECOND')} AS trip_end, count(*) AS points FROM t GROUP BY track_id, trip",
         "within_items": f"{ps}, {region(Q.POLYGON)} SELECT track_id, name, inside_count FROM (SELECT * FROM mat ORDER BY inside_count DESC, track_id LIMIT 20)",
         "cells_except": f"{p}, c AS (SELECT {CELL}, {LOCAL} BETWEEN 7 AND 9 AS am FROM pts) SELECT *, 'morning' AS side FROM (SELECT nx, ny FROM c WHERE am EXCEPT SELECT nx, ny FROM c WHERE NOT am) UNION ALL SELECT *, 'other' AS side FROM (SELECT nx, ny FROM c WHERE NOT am EXCEPT SELECT nx, ny FROM c WHERE am)",
         "haversine": f"{p} SELECT track_id, seq, round({hav('116.3::DOUBLE', '39.95::DOUBLE', 'lon', 'lat')}, 3) AS metres FROM pts",

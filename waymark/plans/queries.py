@@ -12,6 +12,7 @@ from waymark.functions.regions import Bbox, Region, parse_region, rectangle
 from waymark.operators import clean, density, hotspots, similarity, stays, tracks, within
 from waymark.sources.files import content_hash, parse_gpx, parse_plt
 from waymark.sources.virtual import named, virtual_points
+from waymark.streaming import trips
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -299,6 +300,7 @@ def queries() -> dict[str, Query]:
         "clean_sequence": _on_points(lambda p: clean.clean_sequence(p.withColumn("old", F.col("seq")).withColumn("seq", 59 - F.col("seq")).withColumn("recorded_at", F.date_trunc("minute", "recorded_at"))).select("track_id", "old", "seq")),
         "outlier_flags": _on_points(lambda p: clean.with_outliers(clean.with_step(p)).select("track_id", "seq", "is_outlier")),
         "value_at": _on_points(lambda p: clean.value_at(p, F.lit(1704067200) + (F.col("track_id") % 28) * 86400 + ((F.col("track_id") * 7) % 24) * 3600 + 431).select("track_id", F.round("value", 6).alias("value"))),
+        "trip_sessions": _on_points(lambda p: trips.trips(p).select("track_id", iso(F.col("trip_start")).alias("trip_start"), iso(F.col("trip_end")).alias("trip_end"), "points")),
         # Sorting and sets
         "within_items": _within_items,
         "cells_except": _on_points(_cells_except),

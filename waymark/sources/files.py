@@ -74,13 +74,13 @@ PARSERS = {"geolife": parse_plt, "gpx": parse_gpx}
 
 
 def parse_any(files: DataFrame) -> DataFrame:
-    """Points of all files whose format is known: file, line, lat, lon, elevation_m, recorded_at."""
+    """Points of all files whose format is known: file, format, name, line, lat, lon, elevation_m, recorded_at."""
     tagged = files.withColumn("format", sniff(F.col("value")))
-    parts = [parse(tagged.where(F.col("format") == kind)).select("file", F.lit(kind).alias("format"), "line", "lat", "lon", "elevation_m", "recorded_at") for kind, parse in PARSERS.items()]
+    parts = [parse(tagged.where(F.col("format") == kind)).withColumn("format", F.lit(kind)) for kind, parse in PARSERS.items()]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.select("file", "format", "name", "line", "lat", "lon", "elevation_m", "recorded_at")
 
 
 def unreadable(files: DataFrame) -> DataFrame:
