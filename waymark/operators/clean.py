@@ -86,7 +86,7 @@ def mean_speed_kmh(distance_m: Column, duration_s: Column) -> Column:
 
 def value_at(points: DataFrame, epoch_s: Column, value: str = "elevation_m") -> DataFrame:
     """(track_id, value): linear interpolation at a time, held at the ends; null values are passed over."""
-    known = points.where(F.col(value).isNotNull()).select("track_id", F.unix_millis("recorded_at").alias("ms"), F.col(value).alias("v"), (epoch_s * 1000).alias("at"))
+    known = points.where(F.col(value).isNotNull()).select("track_id", F.unix_millis("recorded_at").alias("ms"), F.col(value).alias("v"), (epoch_s.cast("long") * 1000).alias("at"))
     before = F.max(F.when(F.col("ms") <= F.col("at"), F.struct("ms", "v")))
     after = F.min(F.when(F.col("ms") >= F.col("at"), F.struct("ms", "v")))
     got = known.groupBy("track_id").agg(before.alias("a"), after.alias("b"), F.min("at").alias("at"))

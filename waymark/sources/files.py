@@ -64,9 +64,9 @@ def parse_gpx(files: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Whole files below path as rows (file, value)."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 #: Parsers by format; register another to read one more format.
