@@ -55,7 +55,11 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
 
 def signature(hashes: Column) -> Column:
     """BANDS (band, MinHash) structs of an array of shingle hashes; each band permutes by its own rehash."""
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.array_min(F.transform(hashes, lambda h, b=b: F.xxhash64(h, F.lit(b)))).alias("least")) for b in range(BANDS)])
+
+    def least(band: int) -> Column:  # transform() would take a second parameter of its lambda for the index
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
+
+    return F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("least")) for b in range(BANDS)])
 
 
 def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
