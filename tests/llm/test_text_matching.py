@@ -44,7 +44,7 @@ def planted(seed, passages):
     return rows
 
 
-def test_license_scan_against_containment(spark):
+def test_license_scan_against_containment(spark, monkeypatch):
     rows = planted(2, list(license_scan.TEMPLATES.items()))
     docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], DOCS).withColumns({"license": F.lit("x"), "window": F.lit(1)})
     got = {(r.doc_id, r.license): r.containment for r in license_scan.scan(docs, license_scan.templates(spark)).collect()}
@@ -62,6 +62,8 @@ def test_license_scan_against_containment(spark):
             if best >= 0.8:
                 assert got[(i, k)] >= best - 1e-9
     assert all(any(i == d for d, _ in got) for i, (_, kind, _) in enumerate(rows) if kind in ("whole", "twice", "start", "end"))
+    monkeypatch.setattr(license_scan, "BROADCAST_ROWS", 10)  # the way for templates too many to broadcast
+    assert {(r.doc_id, r.license): r.containment for r in license_scan.scan(docs, license_scan.templates(spark)).collect()} == got
     assert license_scan.scan(docs.limit(0), license_scan.templates(spark)).count() == 0
     with pytest.raises(ValueError):
         license_scan.scan(docs, license_scan.templates(spark, {"short": "two words"}))

@@ -76,23 +76,28 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
     lengths = known.select(F.explode("shingles").alias("shingle"), "n").distinct()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("text"))
-    spread = texts.select("doc_id", "_t", F.posexplode(shingle_hashes(words(F.col("text")), SHINGLE_WORDS)).alias("at", "shingle"))
-    met = spread.join(hinted(lengths, small), "shingle")
+    hashed = texts.select("doc_id", "_t", shingle_hashes(words(F.col("text")), SHINGLE_WORDS).alias("all"))
     # Windows of n words, one every `step` words, that hold the shingle at word `at`.
     step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / STEPS))
     lowest = F.greatest(F.lit(0), F.col("at") + SHINGLE_WORDS - F.col("n"))
-    starts = F.sequence(F.ceil(lowest / step) * step, F.floor(F.col("at") / step) * step, step)
-    laid = met.select("doc_id", "_t", "n", F.explode(starts).alias("start")).distinct()
-    laid = materialize(laid, "license-windows")
-    grouped = laid.groupBy("doc_id", "_t").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), "n")).alias("windows"))
-    held = texts.join(grouped, [texts["doc_id"].eqNullSafe(grouped["doc_id"]), texts["_t"].eqNullSafe(grouped["_t"])])
-    held = held.select(texts["doc_id"], texts["_t"], shingle_hashes(words(F.col("text")), SHINGLE_WORDS).alias("all"), "windows").dropDuplicates(["doc_id", "_t"])
-    cut = held.select("doc_id", "_t", "all", F.explode("windows").alias("w")).select("doc_id", "_t", "all", F.col("w.start").alias("start"), F.col("w.n").alias("n"))
-    slack = F.ceil(F.col("n") / 5).cast("int")
-    inside = F.slice("all", F.col("start") + 1, F.col("n") - SHINGLE_WORDS + 1)
-    begin = F.greatest(F.lit(0), F.col("start") - slack)
-    wide = F.slice("all", begin + 1, F.col("start") - begin + F.col("n") - SHINGLE_WORDS + 1 + slack)
-    cut = cut.select("doc_id", "start", "n", inside.alias("inside"), wide.alias("wide"))
+    starts = F.explode(F.sequence(F.ceil(lowest / step) * step, F.floor(F.col("at") / step) * step, step)).alias("start")
+    start, slack = F.col("start").cast("int"), F.ceil(F.col("n") / 5).cast("int")
+    begin = F.greatest(F.lit(0), start - slack)
+    inside = F.slice("all", start + 1, F.col("n") - SHINGLE_WORDS + 1).alias("inside")
+    wide = F.slice("all", begin + 1, start - begin + F.col("n") - SHINGLE_WORDS + 1 + slack).alias("wide")
+    keys = ["doc_id", "_t", start.alias("start"), "n"]
+    if small:
+        # The templates' shingles go to every task, so windows are cut where the text is: only they are shuffled.
+        met = hashed.select("doc_id", "_t", "all", F.posexplode("all").alias("at", "shingle")).join(F.broadcast(lengths), "shingle")
+        cut = met.select("doc_id", "_t", "all", "n", starts).select(*keys, inside, wide)
+    else:
+        met = hashed.select("doc_id", "_t", F.posexplode("all").alias("at", "shingle")).join(lengths, "shingle")
+        laid = materialize(met.select("doc_id", "_t", "n", starts).distinct(), "license-windows")
+        grouped = laid.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
+        held = hashed.join(grouped, [hashed["doc_id"].eqNullSafe(grouped["doc_id"]), hashed["_t"].eqNullSafe(grouped["_t"])])
+        each = held.select(hashed["doc_id"], hashed["_t"], "all", F.explode("windows").alias("w"))
+        cut = each.select("doc_id", "_t", "all", "w.start", "w.n").select(*keys, inside, wide)
+    cut = cut.groupBy("doc_id", "_t", "start", "n").agg(F.first("inside").alias("inside"), F.first("wide").alias("wide"))
     # Equal windows, as of a notice that a third of all documents hold, are compared once.
     cut = materialize(cut.withColumn("window", F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.col("inside").cast("array<string>"), F.lit("|"), F.col("wide").cast("array<string>")), 256)), "license-cuts")
     distinct = cut.groupBy("window").agg(F.first("n").alias("n"), F.first("inside").alias("inside"), F.first("wide").alias("wide"))
