@@ -46,10 +46,14 @@ def items(found: DataFrame, limit: int) -> DataFrame:
 
 
 def stats(found: DataFrame) -> DataFrame:
-    """Totals by source and over all (source null): track_count, distance_m, start_time, end_time."""
-    return found.rollup("source").agg(
+    """Totals by source and over all (source null; zeros where nothing was found): track_count, distance_m, start_time, end_time."""
+    by = found.groupBy("source").agg(
         F.count(F.lit(1)).alias("track_count"), F.sum(F.coalesce("distance_m", F.lit(0.0))).alias("distance_m"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")
     )
+    whole = by.agg(
+        F.coalesce(F.sum("track_count"), F.lit(0)).alias("track_count"), F.coalesce(F.sum("distance_m"), F.lit(0.0)).alias("distance_m"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")
+    )
+    return by.unionByName(whole.withColumn("source", F.lit(None).cast("string")))
 
 
 def summarized(points: DataFrame, region: Region, **window: str | None) -> DataFrame:
