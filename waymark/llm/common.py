@@ -58,21 +58,21 @@ def hinted(df: DataFrame, broadcastable: bool) -> DataFrame:
     return F.broadcast(df) if broadcastable else df
 
 
-def global_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str, rows_per_bucket: int = 20_000) -> DataFrame:
+def global_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str, rows_per_bucket: int = 20_000, least_buckets: int = 256) -> DataFrame:
     """Add a gapless rank from 0 within keys, however many rows a key has.
 
-    Rows go to hashed buckets of about rows_per_bucket; row_number() orders each bucket, and the
-    buckets' offsets, one small row a bucket, join back. No task ever sorts a whole key.
+    Rows go to hashed buckets of about rows_per_bucket, least_buckets of them at least; row_number()
+    orders each bucket, and the buckets' offsets, one small row a bucket, join back. No task ever
+    sorts a whole key.
     """
     from pyspark.sql import Window as W
 
-    buckets = max(1, -(-df.count() // rows_per_bucket))
+    buckets = max(least_buckets, -(-df.count() // rows_per_bucket))
     cut = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("_bucket")) - F.col("_n")
     offsets = counts.withColumn("_before", before).drop("_n")
     inner = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
-    on = [cut[k].eqNullSafe(offsets[k]) for k in [*keys, "_bucket"]]
     ranked = cut.withColumn("_inner", inner)
     on = [ranked[k].eqNullSafe(offsets[k]) for k in [*keys, "_bucket"]]
     joined = ranked.join(offsets, on, "left")
