@@ -4,6 +4,7 @@ import base64
 import difflib
 import hashlib
 import io
+import itertools
 import os
 import random
 
@@ -43,6 +44,26 @@ def test_warc_repeated_rows_and_empty_tables(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_task_writes_several_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SAMPLE_RECORDS", 3)
+    records = [b"%03d" % i * 10 for i in range(20)]
+    for cap in (1, 30, 60, 150, 10_000):  # archives that end within, at and after the samples
+        monkeypatch.setattr(warc, "ARCHIVE_BYTES", cap)
+        stream, got = (r for r in records), []
+        for first in stream:
+            out = io.BytesIO()
+            warc.write_archive(out, itertools.chain([first], stream))
+            got.append(list(warc.read_archive(io.BytesIO(out.getvalue()))))
+        assert sum(got, []) == records and (len(got) > 1) == (cap < 600)
+
+    monkeypatch.undo()
+    table = spark.range(14).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lpad((F.col("id") % 12).cast("string"), 2, "0"), F.repeat(F.lit("x"), 8_000_000)).alias("html"))
+    files = warc.write_archives(warc.with_verdicts(table).coalesce(1))  # one task, 96 MB of responses
+    assert files.count() == 3 and files.agg(F.sum("records")).first()[0] == 14
+    got = warc.resolve_revisits(warc.read_archives(files, payloads=False)).collect()
+    assert sorted(r.page_id for r in got) == list(range(14)) and {r.payload_bytes for r in got} == {8_000_002}
+
+
 def _archive(records):
     out = io.BytesIO()
     warc.write_archive(out, iter(records))

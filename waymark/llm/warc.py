@@ -19,6 +19,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import zstandard
@@ -125,14 +126,10 @@ def write_archive(out, records: Iterator[bytes]) -> tuple[int, int]:
     out.write(struct.pack("<II", SKIPPABLE, len(data)) + data)
     squeeze = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True, write_content_size=True)
 
-    def chained() -> Iterator[bytes]:
-        yield from samples
-        if size < ARCHIVE_BYTES:
-            yield from records
-
     written = 8 + len(data)
     total = 0
-    for r in chained():
+    # chain() has no close(): leaving the loop must not end the caller's iterator, which the next archive reads on.
+    for r in chain(samples, records if size < ARCHIVE_BYTES else ()):
         written += out.write(squeeze.compress(r)) or 0
         done += 1
         total += len(r)
@@ -201,9 +198,12 @@ def write_archives(rows: DataFrame, folder: str | None = None) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _open(folder)
         seen: dict[tuple[int, str], int] = {}
+        read = written = 0
 
         def records() -> Iterator[bytes]:
+            nonlocal read
             for pdf in batches:
+                read += len(pdf)
                 for page, url, html, refers, same in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], pdf["same"], strict=True):
                     payload = html.encode("utf-8", "surrogatepass")
                     page = None if pd.isna(page) else int(page)
@@ -219,19 +219,17 @@ def write_archives(rows: DataFrame, folder: str | None = None) -> DataFrame:
             store.create_dir(base, recursive=True)
             name = f"{uuid.uuid4().hex}.warc.zst"
             with store.open_output_stream(f"{base}/{name}.part", compression=None) as out:
-                done, size = write_archive(out, _after(first, stream))
+                done, size = write_archive(out, chain([first], stream))
             store.move(f"{base}/{name}.part", f"{base}/{name}")
+            written += done
             yield pd.DataFrame({"path": [f"{folder}/{name}"], "records": [done], "bytes": [size]})
+        if written != read or next(batches, None) is not None:
+            raise RuntimeError(f"{written} records were written of {read} rows read")
 
     typed = rows.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
     return materialize(typed.mapInPandas(write, FILES), "archives")
 
 
-def _after(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
-    yield first
-    yield from rest
-
-
 def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the archives listed in column path; without payloads that column is null."""
 
