@@ -1,12 +1,13 @@
-"""Benchmark decontamination with SimHash over item-sized windows. DataFrame operations only.
+"""Benchmark decontamination over item-sized windows. DataFrame operations only.
 
 Windows of a document are as long as a benchmark item. A window can be similar to an item only if
 it shares a five-word shingle with the benchmark, so windows are laid where such a shingle stands:
-with each shared shingle at each place that it has in an item. Each window has a 64-bit SimHash of
-its weighted words; fingerprints are cut into eight blocks of eight bits, and windows and items
-that share any block meet, which guarantees all pairs at up to seven differing bits. A pair counts
-if it is within that radius and the exact weighted Jaccard similarity of its five-word shingles is
-0.8 or more; a shingle weighs as much as it is rare among the items.
+with each shared shingle at each place that it has in an item, at the starts between two places a
+quarter of a window apart or less (words put in or left out), and moved back where a window would
+pass the document's end. A pair counts if the exact weighted Jaccard similarity of its five-word
+shingles is 0.8 or more; a shingle weighs as much as it is rare among the items. Compared are the
+windows and items that share one of the item's rarest shingles, of which just so many are taken that
+the others hold less than 0.8 of its weight: no similar pair can do without one of them.
 
 Defined results: null, empty and short texts hold no window and match nothing; items of fewer than
 five words have no shingle and match nothing; repeated rows give a row each, for ids that repeat
@@ -16,59 +17,40 @@ columns are ignored, and ``clean`` keeps them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from waymark.llm.common import hinted, materialize, shingle_hashes, small_enough, words
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BLOCKS = 8
-RADIUS = BLOCKS - 1
 #: Rows up to which a table made from the benchmark is broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 500_000
 
 
-def _bit(h: Column, i: int) -> Column:
-    return F.shiftright(h, i).bitwiseAND(F.lit(1))
-
-
-def fingerprints(windows: DataFrame, weights: DataFrame, keys: list[str], broadcastable: bool) -> DataFrame:
-    """(keys, fp): SimHash of the weighted words of each row's array column words.
-
-    Each distinct word counts by its weight times its occurrences; a bit is set where the weight of
-    hashes with the bit is over half. Words that no item holds weigh as the rarest do.
-    """
-    each = windows.select(*keys, F.explode("words").alias("word")).withColumn("h", F.xxhash64("word"))
-    each = each.join(hinted(weights, broadcastable), "h", "left")
-    w = F.coalesce("weight", F.lit(1000)).cast("long")  # thousandths, summed as integers: exact in any order
-    sums = [F.sum(w).alias("whole"), *[F.sum(_bit(F.col("h"), i) * w).alias(f"b{i}") for i in range(64)]]
-    got = each.groupBy(*keys).agg(*sums)
-    bits = [F.when(F.col(f"b{i}") * 2 > F.col("whole"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    return got.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
-
-
 def _blocks(fp: str) -> Column:
     """The eight blocks of a fingerprint, each with its place."""
     return F.array(*[F.shiftrightunsigned(F.col(fp), 8 * b).bitwiseAND(F.lit(255)) + F.lit(256 * b).cast("long") for b in range(BLOCKS)])
 
 
+def _up_to_next(start: Column, i: Column) -> Column:
+    """The starts from one place of a window to the next, if that is near; else the place alone."""
+    after = F.try_element_at("places", i + 2)
+    return F.when(after - start <= F.col("n") / 4, F.sequence(start, after - 1)).otherwise(F.array(start))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, similarity, n_windows): the best similarity over the document's windows."""
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("words")).where(F.size("words") >= SHINGLE_WORDS)
     items = materialize(items.withColumn("shingles", shingle_hashes(F.col("words"), SHINGLE_WORDS)).withColumn("n", F.size("words")), "items")
     n_items = items.count()
 
-    def rarity(column: str) -> DataFrame:
-        """Thousandths between 0 and 1000: log((items + 1) / (items with it)) over its largest value."""
-        seen = items.select("item_id", F.explode(F.array_distinct(column)).alias("x")).groupBy("x").agg(F.count("*").alias("df"))
-        return seen.select("x", F.greatest(F.lit(1), F.round(1000 * F.log((n_items + 1) / F.col("df")) / F.log(F.lit(n_items + 1.0)))).cast("long").alias("weight"))
-
-    shingle_weight = materialize(rarity("shingles").withColumnRenamed("x", "shingle"), "shingle-weights")
-    word_weight = rarity("words").select(F.xxhash64("x").alias("h"), "weight").groupBy("h").agg(F.min("weight").alias("weight"))
-    word_weight = materialize(word_weight, "word-weights")
+    # Thousandths between 0 and 1000: log((items + 1) / (items with it)) over its largest value.
+    seen = items.select("item_id", F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
+    rarity = F.greatest(F.lit(1), F.round(1000 * F.log((n_items + 1) / F.col("df")) / F.log(F.lit(n_items + 1.0)))).cast("long")
+    shingle_weight = materialize(seen.select("shingle", rarity.alias("weight")), "shingle-weights")
     small = small_enough(items.select(F.explode("words")), BROADCAST_ROWS)
 
     # Where in a window of n words the shingle may stand.
@@ -78,25 +60,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     laid = spread.join(hinted(seats, small), "shingle").select("doc_id", "_t", F.greatest(F.lit(0), F.col("at") - F.col("seat")).alias("start"), "n").distinct()
     laid = materialize(laid, "laid")
     # One row for each document with windows; each window's words are cut from its text.
-    starts = laid.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
+    places = laid.groupBy("doc_id", "_t", "n").agg(F.array_sort(F.collect_set("start")).alias("places"))
+    filled = F.flatten(F.transform("places", _up_to_next))
+    starts = places.select("doc_id", "_t", "n", filled.alias("starts")).groupBy("doc_id", "_t").agg(F.collect_list(F.struct("starts", "n")).alias("windows"))
     held = texts.join(starts, [texts["doc_id"].eqNullSafe(starts["doc_id"]), texts["_t"].eqNullSafe(starts["_t"])]).select(texts["doc_id"], texts["_t"], words(F.col("text")).alias("all"), "windows")
-    cut = held.select("doc_id", "_t", "all", F.explode("windows").alias("w")).select("doc_id", "_t", F.col("w.start").alias("start"), F.col("w.n").alias("n"), F.slice("all", F.col("w.start") + 1, F.col("w.n")).alias("words"))
+    each = held.select("doc_id", "_t", "all", F.explode("windows").alias("w"))
+    last = F.greatest(F.lit(0), F.size("all") - F.col("w.n"))
+    each = each.select("doc_id", "_t", "all", F.col("w.n").alias("n"), F.explode(F.array_union(F.col("w.starts"), F.transform("w.starts", lambda x: F.least(x, last)))).alias("start"))
+    cut = each.select("doc_id", "_t", "start", "n", F.slice("all", F.col("start") + 1, F.col("n")).alias("words"))
     # Equal windows, of copies or of much-shared passages, are compared once.
     cut = materialize(cut.withColumn("window", F.sha2(F.concat_ws(" ", "words"), 256)).dropDuplicates(["doc_id", "_t", "start", "n"]), "windows")
     distinct = materialize(cut.groupBy("window").agg(F.first("words").alias("words")), "distinct-windows")
-    window_prints = fingerprints(distinct, word_weight, ["window"], small)
-    item_prints = fingerprints(items, word_weight, ["item_id"], small)
-    a = window_prints.select("window", F.col("fp").alias("fp_a"), F.explode(_blocks("fp")).alias("block"))
-    b = item_prints.select("item_id", F.col("fp").alias("fp_b"), F.explode(_blocks("fp")).alias("block"))
-    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= RADIUS
-    met = a.join(hinted(b, small), [a["block"] == b["block"], near]).select("window", "item_id").distinct()
-
     def weighted(rows: DataFrame, keys: list[str], shingles: Column) -> DataFrame:
         each = rows.select(*keys, F.explode(F.array_distinct(shingles)).alias("shingle"))
         return each.join(hinted(shingle_weight, small), "shingle", "left").withColumn("w", F.coalesce("weight", F.lit(1000)).cast("long"))
 
-    in_window = weighted(distinct.join(met.select("window").distinct(), "window", "left_semi"), ["window"], shingle_hashes(F.col("words"), SHINGLE_WORDS))
-    in_item = weighted(items, ["item_id"], F.col("shingles"))
+    in_window = materialize(weighted(distinct, ["window"], shingle_hashes(F.col("words"), SHINGLE_WORDS)), "window-shingles")
+    in_item = materialize(weighted(items, ["item_id"], F.col("shingles")), "item-shingles")
+    # An item's shingles, heaviest first, as long as those before hold no more than 1 - SIMILARITY of its weight.
+    before = F.sum("w").over(W.partitionBy("item_id").orderBy(F.col("w").desc(), "shingle").rowsBetween(W.unboundedPreceding, -1))
+    whole = F.sum("w").over(W.partitionBy("item_id"))
+    rarest = in_item.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("whole", whole).where(F.col("before") <= (1 - SIMILARITY + 1e-9) * F.col("whole"))
+    met = in_window.select("window", "shingle").join(hinted(rarest.select("item_id", "shingle"), small), "shingle").select("window", "item_id").distinct()
     window_sum, item_sum = in_window.groupBy("window").agg(F.sum("w").alias("wa")), in_item.groupBy("item_id").agg(F.sum("w").alias("wb"))
     both = met.join(in_window.select("window", "shingle", "w"), "window").join(hinted(in_item.select("item_id", "shingle"), small), ["item_id", "shingle"])
     both = both.groupBy("window", "item_id").agg(F.sum("w").alias("common"))
