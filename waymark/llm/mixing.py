@@ -4,9 +4,9 @@ A classifier learned from a labelled table gives each document a posterior over
 (words, word beginnings, trailing symbols, share of distinct words) that speak clearly for one
 domain are found on one half of a bounded sample of labelled rows, and the posterior of each
 pattern of such evidence is counted on the other half. Then nonnegative document rates are fitted
-by projected gradient descent so that the expected tokens of each domain meet the targets in the
-least-squares sense: each step needs one aggregate of as many numbers as there are domains, and
-each document's rate follows from those by an expression on its own row.
+so that the expected tokens of each domain meet the targets in the least-squares sense: of such
+rates those closest to 1 are max(0, 1 - p . x) with one number x a domain, found by Newton steps of
+one aggregate each, until the gradient is small against each domain's own target.
 
 Defined results: null and empty texts have no tokens and the posterior of documents without
 evidence; rows that repeat id and text share one row with their count in ``copies``; null ids are
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ MIN_LOG_RATIO = 3.5
 #: ... if the likelihood-ratio statistic of its counts is so large and it stands in so many documents.
 MIN_STATISTIC, MIN_SUPPORT = 18.0, 5
 STRONG = 6.0
-STEPS = 40
+#: Newton steps at most, and the weight of squared x (a target missed for good by d gives x = d / RIDGE).
+STEPS, RIDGE = 60, 1e-9
 _SENTINEL = "\u0001document"
 
 
@@ -124,35 +126,55 @@ def posteriors(docs: DataFrame, model: tuple[DataFrame, dict[int, list[float]]],
     return got.select("doc_id", "text_hash", "n_tokens", "copies", F.coalesce(F.try_element_at(known, F.col("pattern")), F.array(*[F.lit(float(v)) for v in posterior[-1]])).alias("p"))
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-5) -> DataFrame:
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-6) -> DataFrame:
     """members (n_tokens, copies, p, ...) with column rate: nonnegative rates whose expected domain
-    tokens come closest to targets, found from rates of 1.
+    tokens come closest to targets, and of these the closest to 1.
 
-    Steps are taken in sqrt(tokens) x rate, so a document's rate does not depend on its length:
-    rate <- max(0, rate - step x p . (expected - targets) / tokens of all).
+    A document's rate does not depend on its length: it is max(0, 1 - p . x), where x minimizes the
+    convex function sum(tokens x rate^2) / 2 + targets . x, in shares of all tokens and with a ridge
+    that matters only for targets which no rates meet. Ends when the gradient is within tolerance of
+    each target; raises if steps do not suffice.
     """
     size = len(targets)
     p = [F.element_at("p", i + 1) for i in range(size)]
-    mass = (F.col("n_tokens") * F.col("copies")).cast("double")
-    moments = members.agg(F.sum(mass).alias("all"), *[F.sum(mass * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(size) for j in range(size)]).first()
-    whole = float(moments["all"] or 0)
+    mass = F.sum((F.col("n_tokens") * F.col("copies")).cast("double")).alias("mass")
+    kinds = materialize(members.groupBy("p").agg(mass), "kinds").where("mass > 0")  # rates depend on p alone
+    whole = float(kinds.agg(F.sum("mass")).first()[0] or 0)
     if not whole:
         return members.withColumn("rate", F.lit(1.0))
-    # Row sums bound the largest eigenvalue of the second moments; their inverse is a safe step.
-    step = 1 / max(sum(moments[f"m{i}_{j}"] for j in range(size)) / whole for i in range(size))
-    now, rate = members.withColumn("rate", F.lit(1.0)), F.col("rate")
-    was = [float("inf")] * size
-    for k in range(steps):
-        sums = now.agg(*[F.sum(mass * rate * p[i]).alias(f"s{i}") for i in range(size)]).first()
-        slope = [(float(sums[f"s{i}"]) - targets[i]) / whole for i in range(size)]
-        change = _sum_of([p[i] * F.lit(step * slope[i]) for i in range(size)])
-        rate = F.greatest(F.lit(0.0), rate - change)
-        if k % 8 == 7:  # short expressions: the rates so far are written down
-            now, rate = materialize(now.withColumn("rate", rate), "rates"), F.col("rate")
-        if max(abs(a - b) for a, b in zip(slope, was, strict=True)) < tolerance:
-            break
-        was = slope
-    return now.withColumn("rate", rate)
+    share = F.col("mass") / whole
+    goal = np.array(targets) / whole
+
+    def rate(x: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), 1.0 - _sum_of([p[i] * F.lit(float(x[i])) for i in range(size)]))
+
+    def sums(at: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Value, expected shares and second moments of the documents with a rate above 0, for each x."""
+        asked = []
+        for k, x in enumerate(at):
+            r = rate(x)
+            asked += [F.sum(share * r * r).alias(f"v{k}"), *[F.sum(share * r * p[i]).alias(f"e{k}_{i}") for i in range(size)]]
+            asked += [F.sum(F.when(r > 0, share * p[i] * p[j]).otherwise(0.0)).alias(f"m{k}_{i}_{j}") for i in range(size) for j in range(i, size)]
+        got = kinds.agg(*asked).first()
+        out = []
+        for k, x in enumerate(at):
+            moments = np.array([[got[f"m{k}_{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
+            out.append((got[f"v{k}"] / 2 + goal @ x + RIDGE / 2 * x @ x, np.array([got[f"e{k}_{i}"] for i in range(size)]), moments))
+        return out
+
+    x = np.zeros(size)
+    value, expected, moments = sums([x])[0]
+    # Directions in which no document lies cannot be moved in.
+    spread, axes = np.linalg.eigh(moments)
+    axes = axes[:, spread > 1e-12 * spread[-1]]
+    for _ in range(steps):
+        slope = axes @ (axes.T @ (goal - expected + RIDGE * x))
+        if np.all(np.abs(slope) <= tolerance * np.maximum(np.abs(goal), 1e-3) + 1e-14 * np.abs(x).max()):
+            return members.withColumn("rate", rate(x))
+        step = axes @ np.linalg.solve(axes.T @ moments @ axes + RIDGE * np.eye(axes.shape[1]), axes.T @ slope)
+        tried = [x - step * 0.5**k for k in range(4)]
+        x, (value, expected, moments) = min(zip(tried, sums(tried), strict=True), key=lambda t: t[1][0])
+    raise RuntimeError(f"rates do not meet the targets after {steps} steps: shares {expected.tolist()}, wanted {goal.tolist()}")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: str, headroom: float = 1.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
