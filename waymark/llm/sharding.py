@@ -1,9 +1,10 @@
 """Sharding by balanced label propagation.
 
 Documents are linked through a group key (by default equal texts). Every linked document starts in
-a shard of an even deal; in each round a group picks as home the shard in which most of it can
-meet, the group's other documents ask to move there, and each shard admits as many as its quota of
-rows leaves room for. The rounds end when nothing moves. Unlinked documents then fill every shard
+a shard of an even deal; in each round a group picks as home the shard in which most of it can meet,
+later that which holds most of it (of several such, another in each round), and the group's other
+documents ask to move there. Moves are admitted into the room that a shard's quota of rows leaves, and along cycles of requests, in which each
+shard gives as many as it takes. The rounds end when IDLE_ROUNDS in turn admit nothing. Unlinked documents then fill every shard
 to its quota, so that shard sizes in rows differ by one at most. A group of more rows than a shard
 holds takes as many homes as it needs.
 
@@ -25,7 +26,10 @@ from waymark.llm.common import global_rank, materialize
 SHARDS = 40
 #: Bytes that each document counts beside its text.
 OVERHEAD = 16
-MOST_ROUNDS = 12
+#: Rounds that admit nothing, each with other homes among equals, after which groups stay as they are.
+IDLE_ROUNDS = 3
+#: Rounds at most that choose homes by free room and move into it; those after them exchange rows too.
+ROOM_ROUNDS = 12
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -43,28 +47,87 @@ def _counts(rows: DataFrame, shards: int) -> list[int]:
     return [got.get(j, 0) for j in range(shards)]
 
 
-def propagate(linked: DataFrame, quota: list[int], most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Move rows (member, group, shard) towards their groups' home shards; no shard exceeds its quota."""
+def admissible(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the moves asked for (from, to) can be made so that no shard gains more than its room.
+
+    A shard with room passes moves on to a node outside, from which any shard may be reached; so
+    every admissible set of moves is made of cycles. Cycles are taken until none is left.
+    """
+    outside = len(room)
+    left = [dict[int, int]() for _ in range(outside + 1)]
+    for (a, b), n in sorted(asked.items()):
+        if n and a != b:
+            left[a][b] = n
+    for b, n in enumerate(room):
+        if n > 0:
+            left[b][outside] = n
+    left[outside] = dict.fromkeys(range(outside), sum(asked.values()))
+    given: dict[tuple[int, int], int] = {}
+    closed: set[int] = set()  # nodes through which no cycle runs
+    for root in range(outside + 1):
+        path, at = [root], {root: 0}
+        while path:
+            nxt = next((b for b in left[path[-1]] if b not in closed), None)
+            if nxt is None:
+                closed.add(path[-1])
+                del at[path.pop()]
+            elif nxt not in at:
+                at[nxt] = len(path)
+                path.append(nxt)
+            else:
+                cycle = [*path[at[nxt] :], nxt]
+                edges = list(zip(cycle, cycle[1:], strict=False))
+                n = min(left[a][b] for a, b in edges)
+                for a, b in edges:
+                    left[a][b] -= n
+                    if not left[a][b]:
+                        del left[a][b]
+                    if outside not in (a, b):
+                        given[a, b] = given.get((a, b), 0) + n
+                for x in path[at[nxt] + 1 :]:
+                    del at[x]
+                del path[at[nxt] + 1 :]
+    return given
+
+
+def propagate(linked: DataFrame, quota: list[int], idle_rounds: int = IDLE_ROUNDS) -> DataFrame:
+    """Move rows (member, group, shard) towards their groups' home shards; no shard exceeds its quota.
+
+    After ROOM_ROUNDS each move goes where at least as many of the group are as in the shard left, so
+    the sum of the squares of these numbers grows with each and the rounds come to an end.
+    """
     shards, cap = len(quota), max(1, min(quota))
-    now = linked
-    for _ in range(most_rounds):
+    now, turn, idle, roomy = linked, 0, 0, True
+    while idle < idle_rounds:
         room = [q - n for q, n in zip(quota, _counts(now, shards), strict=True)]
         held = now.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        whole = F.sum("n").over(W.partitionBy("group"))
-        held = held.withColumn("size", whole)
+        held = held.withColumn("size", F.sum("n").over(W.partitionBy("group")))
         # What of the group the shard holds or could still take in.
-        reach = F.col("n") + F.least(_at(room, F.col("shard")), F.col("size") - F.col("n"))
-        order = W.partitionBy("group").orderBy(reach.desc(), F.col("n").desc(), F.xxhash64("group", "shard"), "shard")
+        reach = F.col("n") + F.least(_at(room, F.col("shard")), F.col("size") - F.col("n")) if roomy else F.col("n")
+        salt = [] if roomy else [F.lit(turn)]
+        order = W.partitionBy("group").orderBy(reach.desc(), F.col("n").desc(), F.xxhash64("group", "shard", *salt), "shard")
         ranked = held.withColumn("place", F.row_number().over(order))
         homes = ranked.where(F.col("place") <= F.ceil(F.col("size") / cap)).groupBy("group").agg(F.collect_list("shard").alias("homes"))
         asked = now.join(homes, "group").where(~F.array_contains("homes", F.col("shard")))
-        pick = F.pmod(F.xxhash64("member"), F.size("homes")) + 1
-        asked = asked.select("member", F.element_at("homes", pick.cast("int")).alias("target"))
-        asked = materialize(asked, "moves")
-        admitted = global_rank(asked, ["target"], [F.xxhash64("member"), F.col("member")], "turn")
-        admitted = materialize(admitted.where(F.col("turn") < _at(room, F.col("target"))).select("member", "target"), "admitted")
-        if not admitted.take(1):
+        pick = F.pmod(F.xxhash64("member", *salt), F.size("homes")) + 1
+        asked = materialize(asked.select("member", "shard", F.element_at("homes", pick.cast("int")).alias("target")), "moves")
+        wanted = {(r.shard, r.target): r.n for r in asked.groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}  # a row a pair of shards
+        if not wanted:
             break
+        turn += 1
+        if roomy:
+            keys, most = ["target"], _at(room, F.col("target"))
+            some = any(room[b] > 0 for _, b in wanted)
+            roomy = some and turn < ROOM_ROUNDS
+        else:
+            given = admissible(wanted, room)
+            keys, most = ["shard", "target"], _at([given.get((a, b), 0) for a in range(shards) for b in range(shards)], F.col("shard") * shards + F.col("target"))
+            some = bool(given)
+            idle = 0 if some else idle + 1
+        if not some:
+            continue
+        ranks = global_rank(asked, keys, [F.xxhash64("member"), F.col("member")], "turn", least_buckets=256 if len(keys) == 1 else 8)
+        admitted = ranks.where(F.col("turn") < most).select("member", "target")
         now = materialize(now.join(admitted, "member", "left").select("member", "group", F.coalesce("target", "shard").alias("shard")), "labels")
     return now
 
