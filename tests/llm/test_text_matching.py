@@ -111,13 +111,31 @@ def test_fingerprint_blocks_meet_within_the_radius(spark):
     for _ in range(200):
         a = rng.getrandbits(64)
         b = a
-        for k in rng.sample(range(64), 7):
+        for k in rng.sample(range(64), decontaminate.RADIUS):
             b ^= 1 << k
         rows.append((a - (1 << 63), b - (1 << 63)))
-    got = spark.createDataFrame(rows, "a long, b long").select(F.arrays_overlap(decontaminate._blocks("a"), decontaminate._blocks("b")).alias("met")).collect()
+    got = spark.createDataFrame(rows, "a long, b long").select(F.arrays_overlap(decontaminate._blocks("a"), decontaminate._variants("b")).alias("met")).collect()
     assert all(r.met for r in got)
 
 
+def test_weighted_fingerprint(spark):
+    rng = random.Random(10)
+    rows = [[(rng.getrandbits(64) - (1 << 63), rng.randint(1, 1000)) for _ in range(n)] for n in (1, 2, 11, 60)]
+    got = spark.createDataFrame([(r,) for r in rows], "p array<struct<shingle:long,weight:long>>").select(decontaminate.fingerprint(F.col("p")).alias("fp")).collect()
+    for pairs, r in zip(rows, got, strict=True):
+        assert r.fp % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(w for h, w in pairs if h >> b & 1) > sum(w for _, w in pairs))
+
+
+def test_decontamination_without_broadcasts_and_with_odd_items(spark, monkeypatch):
+    bench = [(1, "a b c d e f g h"), (2, "A b, c d e f g h!"), (None, "k l m n o p q"), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(1, "x y a b c d e f g h z"), (2, "a b c d e f g h"), (3, "k l m n o p q"), (4, None), (5, "k l m n o p")], DOCS)
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    want = {(1, 1), (1, 2), (2, 1), (2, 2), (3, None)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, table).collect()} == want
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 2)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, table).collect()} == want
+
+
 def test_rates_meet_the_targets(spark):
     rng = random.Random(1)
     rows = [(i, 10 + rng.randrange(200), 1, [p, 1 - p]) for i in range(300) for p in [rng.random()]] + [(999, 0, 1, [0.5, 0.5])]
