@@ -1,22 +1,29 @@
 """Nearest neighbours by inner product with randomly rotated one-bit codes.
 
-Each vector is rotated by a random orthonormal frame into BITS dimensions; a code keeps one sign
-bit for each, with two correction scalars: the vector's length and the cosine between the rotated
-vector and its code. From these and the rotated query the inner product is estimated with an error
-bound. A block of rows reranks, on the original vectors and in double precision, exactly those
-rows whose upper bound reaches the K-th best lower bound; the best K of all blocks are the answer.
+Each vector is rotated by a random orthonormal frame into BITS dimensions; its code keeps one sign
+bit for each, packed into words, with two correction scalars: the vector's length and the cosine
+between the rotated vector and its code. A rotated query is rounded to four bits a dimension, so its
+inner product with a code is a weighted count of the bits that the code shares with four bit planes.
+From these and the scalars the inner product of the vectors is estimated with an error bound.
 
-Queries are a stated set and meet all rows in blocks: each pair of a query block and a row block
-is one group, of bounded size on both sides.
+A query's bar is the K-th best score that it is sure to reach: first within a bounded sample of the
+rows, then within all that a task has reranked so far. A task reranks, on the original vectors and in
+double precision, exactly those rows whose upper bound reaches the bar; the best K of all tasks are
+the answer. The sample sets only where the bar begins: every row is coded, estimated and bounded.
+
+Queries are a stated set and meet all rows in blocks: a task holds one block of queries and one of
+rows, so work grows with rows times queries and nothing else.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows
-without an id, take no part; vectors of another length than the commonest are rejected with
-ValueError; ties go to the smaller id; rows with one id and different vectors are candidates each;
-an empty table gives no rows; extra columns are ignored.
+without an id, take no part, and neither do vectors of another length than the commonest (of equally
+common ones, the smallest); ties go to the smaller id; rows with one id and different vectors are
+candidates each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,39 +31,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 K = 20
-BITS = 512
+BITS = 256
 SEED = 20240601
 #: Multiple of the standard error that bounds an estimate.
 EPSILON = 3.2
-QUERY_BLOCK = 512
-ROW_BLOCK = 8192
+#: Bit planes of a rounded query.
+PLANES = 4
+QUERY_BLOCK, ROW_BLOCK = 4096, 8192
+#: Rows, chosen by a hash, from which the first bars come (a bound that the task allows).
+SAMPLE_ROWS = 16_384
+#: Queries and rows that are estimated at a time.
+_TILE = (64, 2048)
+_SLACK = 1e-9
 
 
 def frame(dimensions: int, bits: int = BITS, seed: int = SEED) -> np.ndarray:
     """dimensions x bits with orthonormal rows: a random rotation of the zero-padded space."""
-    bits = max(bits, dimensions)
+    bits = max(bits, -(-dimensions // 64) * 64)
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, dimensions)))
     return (q * np.sign(np.diag(r))).T.astype(np.float64)
 
 
+def pack(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words."""
+    return np.packbits(bits, axis=-1).view(np.uint64)
+
+
 def encode(vectors: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, lengths, and cosines between rotated vectors and their codes."""
     lengths = np.linalg.norm(vectors, axis=1)
     turned = (vectors / lengths[:, None]) @ rotation
-    return np.packbits(turned > 0, axis=1), lengths, np.abs(turned).sum(1) / np.sqrt(rotation.shape[1])
-
-
-def estimate(codes: np.ndarray, lengths: np.ndarray, cosines: np.ndarray, queries: np.ndarray, rotation: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (queries x rows) and their error bounds, from codes alone."""
-    bits = rotation.shape[1]
-    sizes = np.linalg.norm(queries, axis=1)
-    turned = (queries @ rotation).astype(np.float32)
-    signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32)
-    # <q, code> with code entries +-1/sqrt(bits)
-    dots = (2 * (turned @ signs.T) - turned.sum(1, keepdims=True)) / np.float32(np.sqrt(bits))
-    guess = dots * (lengths / cosines).astype(np.float32)
-    spread = lengths * np.sqrt(np.maximum(1 / cosines**2 - 1, 0)) * epsilon / np.sqrt(max(1, bits - 1))
-    return guess, sizes.astype(np.float32)[:, None] * spread.astype(np.float32)
+    return pack(turned > 0), lengths, np.abs(turned).sum(1) / np.sqrt(rotation.shape[1])
+
+
+class Rounded:
+    """Rotated queries rounded to PLANES bits a dimension between each one's least and largest entry."""
+
+    def __init__(self, queries: np.ndarray, rotation: np.ndarray) -> None:
+        turned = queries @ rotation
+        self.bits = rotation.shape[1]
+        self.size = np.linalg.norm(queries, axis=1)
+        self.low = turned.min(1)
+        step = (turned.max(1) - self.low) / ((1 << PLANES) - 1)
+        self.step = np.where(step > 0, step, 1.0)
+        levels = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.total = self.low * self.bits + self.step * levels.sum(1)
+        self.planes = [pack(levels >> p & 1 == 1) for p in range(PLANES)]
+
+    def shared(self, codes: np.ndarray, part: slice) -> np.ndarray:
+        """Sum of a query's levels over the set bits of a code, for queries of part and all codes."""
+        out = np.zeros((self.size[part].size, len(codes)), np.uint32)
+        for p, plane in enumerate(self.planes):
+            words = plane[part]
+            count = np.zeros(out.shape, np.uint16)
+            for w in range(codes.shape[1]):
+                count += np.bitwise_count(words[:, w, None] & codes[None, :, w])
+            out += count.astype(np.uint32) << p
+        return out
+
+    def estimate(self, codes: np.ndarray, set_bits: np.ndarray, lengths: np.ndarray, cosines: np.ndarray, part: slice = slice(None), epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products (queries x rows) and their error bounds."""
+        f = np.float32
+        root = np.sqrt(self.bits)
+        scale = (lengths / cosines / root).astype(f)
+        # <query, code> with code entries +-1/sqrt(bits): twice what lies on set bits, less the whole.
+        dots = self.shared(codes, part) * (2 * self.step[part]).astype(f)[:, None]
+        dots += (2 * self.low[part]).astype(f)[:, None] * set_bits.astype(f)
+        dots -= self.total[part].astype(f)[:, None]
+        dots *= scale
+        angle = lengths * np.sqrt(np.maximum(1 / cosines**2 - 1, 0)) * epsilon / np.sqrt(max(1, self.bits - 1))
+        rounding = epsilon / np.sqrt(12) * lengths / cosines
+        return dots, self.size[part].astype(f)[:, None] * angle.astype(f) + self.step[part].astype(f)[:, None] * rounding.astype(f)
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,6 +117,49 @@ def _usable(embedding: Column) -> Column:
     return embedding.isNotNull() & (F.size(embedding) > 0) & sound & F.exists(embedding, lambda x: x != 0)
 
 
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.stack([np.frombuffer(b, np.float64) for b in column])
+
+
+def best_of_block(near: pd.DataFrame, far: pd.DataFrame, rotation: np.ndarray, k: int) -> pd.DataFrame:
+    """The best k rows of far for each query of near (id, v, bar), with the number of rows reranked."""
+    out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0), "n_reranked": np.empty(0, np.int64)})]
+    if not len(near) or not len(far):
+        return out[0]
+    wanted, query_ids, bars = _vectors(near["v"]), near["id"].to_numpy(), near["bar"].to_numpy().astype(np.float64)
+    vectors, ids = _vectors(far["v"]), far["id"].to_numpy()
+    codes = np.stack([np.frombuffer(c, np.uint64) for c in far["code"]])
+    lengths, cosines, set_bits = far["length"].to_numpy(), far["cosine"].to_numpy(), np.bitwise_count(codes).sum(1)
+    rounded = Rounded(wanted, rotation)
+    for at in range(0, len(near), _TILE[0]):
+        part = slice(at, min(len(near), at + _TILE[0]))
+        bar, asked, asked_ids = bars[part].copy(), wanted[part], query_ids[part]
+        q, r, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        reranked = np.zeros(len(asked), np.int64)
+        for lo in range(0, len(far), _TILE[1]):
+            tile = slice(lo, lo + _TILE[1])
+            guess, error = rounded.estimate(codes[tile], set_bits[tile], lengths[tile], cosines[tile], part)
+            guess += error
+            i, j = np.nonzero(guess >= bar.astype(np.float32)[:, None] - np.float32(1e-6) * rounded.size[part].astype(np.float32)[:, None])
+            j += lo
+            other = asked_ids[i] != ids[j]
+            i, j = i[other], j[other]
+            reranked += np.bincount(i, minlength=len(asked))
+            q, r, scores = np.concatenate((q, i)), np.concatenate((r, j)), np.concatenate((scores, np.einsum("ij,ij->i", asked[i], vectors[j])))
+            # What lies under the k-th best of a query is out, and the bar rises to it.
+            order = np.lexsort((-scores, q))
+            q, r, scores = q[order], r[order], scores[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            full = np.nonzero(place == k - 1)[0]
+            bar[q[full]] = np.maximum(bar[q[full]], scores[full] - _SLACK * np.abs(scores[full]))
+            keep = scores >= bar[q]
+            q, r, scores = q[keep], r[keep], scores[keep]
+        found = pd.DataFrame({"q": q, "query_id": asked_ids[q], "vec_id": ids[r], "score": inner(asked[q], vectors[r]), "n_reranked": reranked[q]})
+        found = found.sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
+        out.append(found[found.groupby("q").cumcount() < k].drop(columns="q"))
+    return pd.concat(out)
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per query and rank: query_id, rank (from 1), vec_id, score, n_reranked (of the row's block)."""
     spark = rows.sparkSession
@@ -80,53 +168,57 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
         cast = F.col(vector_col).cast("array<double>")
         return df.select(F.col(id_col).cast("long").alias("id"), cast.alias("v")).where(F.col("id").isNotNull() & _usable(F.col("v")))
 
-    base, asked = sound(rows), sound(queries)
-    shape = base.agg(F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("least"), F.count("*").alias("n")).first()
-    n_queries = asked.count()
-    if not shape.n or not n_queries:
+    base = sound(rows)
+    shape = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, n_reranked long")
-    if shape.d != shape.least:
-        raise ValueError("the vectors have different lengths")
+    base, asked = base.where(F.size("v") == shape.d), sound(queries).where(F.size("v") == shape.d)
     rotation = frame(shape.d)
-    row_blocks, query_blocks = -(-shape.n // ROW_BLOCK), -(-n_queries // QUERY_BLOCK)
-
-    def coded(vectors: pd.Series) -> pd.DataFrame:
-        codes, lengths, cosines = encode(np.stack(vectors.to_list()).astype(np.float64), rotation) if len(vectors) else (np.empty((0, 0), np.uint8), np.empty(0), np.empty(0))
-        return pd.DataFrame({"code": [c.tobytes() for c in codes], "length": lengths, "cosine": cosines})
-
-    code = F.pandas_udf(coded, "code binary, length double, cosine double")
-    index = base.withColumn("c", code("v")).select("id", "v", "c.*")
-    blocked = index.withColumn("row_block", F.pmod(F.xxhash64("id", "v"), F.lit(row_blocks)))
+    row_blocks, query_blocks = -(-shape.n // ROW_BLOCK), max(1, -(-asked.count() // QUERY_BLOCK))
+
+    # About SAMPLE_ROWS rows by a hash of their ids; the limit bounds what ids that repeat could add.
+    share = int(min(1.0, SAMPLE_ROWS / shape.n) * 1_000_000)
+    chosen = base.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < share).limit(2 * SAMPLE_ROWS).toPandas()
+    sample_ids = chosen["id"].to_numpy(np.int64)
+    sample = np.stack(chosen["v"].to_list()).astype(np.float64) if len(chosen) else np.empty((0, shape.d))
+    sent = spark.sparkContext.broadcast((rotation, sample_ids, sample))
+
+    def bytes_of(vectors: np.ndarray) -> list[bytes]:
+        return [v.tobytes() for v in vectors]
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                vectors = np.stack(pdf["v"].to_list()).astype(np.float64)
+                codes, lengths, cosines = encode(vectors, sent.value[0])
+                yield pd.DataFrame({"id": pdf["id"], "v": bytes_of(vectors), "code": bytes_of(codes), "length": lengths, "cosine": cosines})
+
+    def barred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, its_ids, its_vectors = sent.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512]
+                vectors, own = np.stack(part["v"].to_list()).astype(np.float64), part["id"].to_numpy()
+                bar = np.full(len(part), -np.inf)
+                if len(its_ids) > k:
+                    scores = vectors.astype(np.float32) @ its_vectors.T.astype(np.float32)
+                    q, r = np.nonzero(np.isin(own, its_ids)[:, None] & (own[:, None] == its_ids))
+                    scores[q, r] = -np.inf
+                    bar = np.partition(scores, -k, axis=1)[:, -k].astype(np.float64)
+                    bar -= 1e-5 * np.linalg.norm(vectors, axis=1) * np.linalg.norm(its_vectors, axis=1).max()  # what single precision may be off
+                yield pd.DataFrame({"id": own, "v": bytes_of(vectors), "bar": bar})
+
+    blocked = base.mapInPandas(coded, "id long, v binary, code binary, length double, cosine double")
+    blocked = blocked.withColumn("row_block", F.pmod(F.xxhash64("id", "code"), F.lit(row_blocks)))
     blocked = blocked.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = asked.withColumn("query_block", F.pmod(F.xxhash64("id", "v"), F.lit(query_blocks)).cast("int"))
-    asked = asked.withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
+    met = asked.mapInPandas(barred, "id long, v binary, bar double").withColumn("query_block", F.pmod(F.xxhash64("id", "v"), F.lit(query_blocks)).cast("int"))
+    met = met.withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
 
     def block(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(near) and len(far):
-            ids, vectors = far["id"].to_numpy(), np.stack(far["v"].to_list())
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in far["code"]])
-            lengths, cosines = far["length"].to_numpy(), far["cosine"].to_numpy()
-            for at in range(0, len(near), 64):  # 64 queries at a time bound the table of estimates
-                part = near.iloc[at : at + 64]
-                wanted, query_ids = np.stack(part["v"].to_list()), part["id"].to_numpy()
-                guess, error = estimate(codes, lengths, cosines, wanted, rotation)
-                low, high = guess - error, guess + error
-                low[query_ids[:, None] == ids] = -np.inf
-                if len(ids) > k:
-                    bar = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-                else:
-                    bar = np.full(len(part), -np.inf)
-                q, r = np.nonzero((high >= bar[:, None]) & (query_ids[:, None] != ids))
-                scores = inner(wanted[q], vectors[r])
-                found = pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[r], "score": scores, "q": q})
-                found["n_reranked"] = np.bincount(q, minlength=len(part))[q]
-                found = found.sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
-                out.append(found[found.groupby("q").cumcount() < k].drop(columns="q"))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "n_reranked": []})
+        return best_of_block(near, far, sent.value[0], k)
 
     keys = ["query_block", "row_block"]
-    best = asked.groupBy(*keys).cogroup(blocked.groupBy(*keys)).applyInPandas(block, "query_id long, vec_id long, score double, n_reranked long")
+    best = met.groupBy(*keys).cogroup(blocked.groupBy(*keys)).applyInPandas(block, "query_id long, vec_id long, score double, n_reranked long")
     # -0.0 and 0.0 compare equal; ids break all ties.
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_reranked")
