@@ -44,6 +44,17 @@ def test_warc_repeated_rows_and_empty_tables(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_copies_have_ids_of_their_own_and_hot_payloads_resolve(spark):
+    assert len({warc.record_id(3, c, "D") for c in range(2000)}) == 2000
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 700).cast("string"))).alias("html"))
+    got = warc.round_trip(pages)
+    assert got.count() == 3000 and got.where("record_type = 'response'").count() == pages.select("html").distinct().count()
+    assert {r.refers_to for r in got.where("page_id % 2 = 0 and record_type = 'revisit'").collect()} == {2998}
+    records = warc.read_archives(warc.write_archives(warc.with_verdicts(pages)), payloads=False)
+    with pytest.raises(ValueError, match="does not match"):
+        warc.resolve_revisits(records.where("page_id != 2998"))
+
+
 def test_warc_task_writes_several_archives(spark, monkeypatch):
     monkeypatch.setattr(warc, "SAMPLE_RECORDS", 3)
     records = [b"%03d" % i * 10 for i in range(20)]

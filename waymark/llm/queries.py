@@ -55,7 +55,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "similarity")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +80,54 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS best,
+    row_number() OVER (PARTITION BY h, page_id) AS copy FROM p),
+t AS (SELECT *, page_id IS NOT NULL AND (page_id <> best OR copy > 1) AS again,
+    list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)) AS parts FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((parts[CAST(i // 4 + 1 AS INTEGER)] >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN best END AS refers_to
+FROM t
+"""
+
+#: Greedy longest matches step by step on the hexadecimal bytes of each distinct word.
+OP9_SQL = f"""
+WITH RECURSIVE vocab AS (SELECT DISTINCT hex(from_base64(piece)) AS h FROM read_csv('{token_counts.VOCABULARY}', delim=' ', header=false, quote='', escape='', columns={{'piece': 'VARCHAR', 'rank': 'BIGINT'}})),
+sizes AS (SELECT DISTINCT length(h) AS l FROM vocab),
+split AS (SELECT doc_id, row_number() OVER () AS k, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+words AS (SELECT k, '20' || hex(encode(w)) AS word FROM (SELECT k, unnest(ws) AS w FROM split)),
+step(word, pos, n) AS (SELECT DISTINCT word, 1, 0 FROM words
+  UNION ALL SELECT s.word, CAST(s.pos + max(z.l) AS INTEGER), s.n + 1 FROM step s JOIN sizes z ON s.pos + z.l <= length(s.word) + 1
+    JOIN vocab v ON v.h = substr(s.word, s.pos, z.l) GROUP BY s.word, s.pos, s.n),
+ends AS (SELECT word, max(CASE WHEN pos > length(word) THEN n END) AS n FROM step GROUP BY word),
+sums AS (SELECT k, sum(coalesce(n, 1)) AS n FROM words JOIN ends USING (word) GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(sums.n, 0) AS BIGINT) AS n_tokens FROM split LEFT JOIN sums USING (k)
+"""
+
+#: Every window of an item's length that shares a shingle with the item; others have similarity 0.
+OP8_SQL = r"""
+WITH i AS (SELECT row_number() OVER () AS i, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
+items AS (SELECT i, item_id, len(ws) AS n, list_transform(range(len(ws) - 4), lambda k: array_to_string(ws[k + 1 : k + 5], ' ')) AS sh FROM i WHERE len(ws) >= 5),
+known AS (SELECT DISTINCT i, n, unnest(sh) AS s FROM items),
+weights AS (SELECT s, CAST(greatest(1, round(1000 * ln(((SELECT count(*) FROM items) + 1) / count(*)) / ln((SELECT count(*) FROM items) + 1.0::DOUBLE))) AS BIGINT) AS w FROM known GROUP BY s),
+d AS (SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
+docs AS (SELECT d, doc_id, len(ws) AS m, list_transform(range(len(ws) - 4), lambda k: array_to_string(ws[k + 1 : k + 5], ' ')) AS sh FROM d WHERE len(ws) >= 5),
+spots AS (SELECT d, m, unnest(sh) AS s, generate_subscripts(sh, 1) AS pos FROM docs),
+starts AS (SELECT DISTINCT d, i, n, unnest(range(greatest(1, pos - (n - 5)), greatest(1, least(pos, m - n + 1)) + 1)) AS start FROM spots JOIN known USING (s)),
+cuts AS (SELECT d, i, start, unnest(list_distinct(sh[start : start + n - 5])) AS s FROM starts JOIN docs USING (d)),
+sums AS (SELECT c.d, c.i, c.start, sum(coalesce(w, 1000)) AS a, sum(w) FILTER (WHERE k.i IS NOT NULL) AS common
+  FROM cuts c LEFT JOIN weights USING (s) LEFT JOIN known k ON k.i = c.i AND k.s = c.s GROUP BY ALL),
+own AS (SELECT i, sum(w) AS b FROM known JOIN weights USING (s) GROUP BY i),
+found AS (SELECT d, i, max(CAST(common AS DOUBLE) / CAST(a + b - common AS DOUBLE)) AS similarity FROM sums JOIN own USING (i) GROUP BY d, i)
+SELECT doc_id, item_id, max(similarity) AS similarity FROM found JOIN docs USING (d) JOIN items USING (i) WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
+
 
 def queries() -> dict[str, Query]:
     return {"op1_license_scan": op1_license_scan, "op2_ann": op2_ann, "op3_html_text": op3_html_text, "op4_simhash_dedup": op4_simhash_dedup, "op5_warc": op5_warc, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ann": OP2_SQL}
+    return {"op2_ann": OP2_SQL, "op5_warc": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_token_counts": OP9_SQL}

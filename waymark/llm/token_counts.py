@@ -39,6 +39,8 @@ def read_vocabulary(path: str) -> list[bytes]:
 class Automaton:
     """next: {node * 256 + byte: node}; link: failure node or -1; popped: pieces popped on failure."""
 
+    memo: _Memo | None = None  # made in the task, and gone with the automaton
+
     def __init__(self, pieces: list[bytes]) -> None:
         self.next: dict[int, int] = {}
         ends, parent, by = [False], [-1], [0]
@@ -105,12 +107,9 @@ class _Memo(dict):
         return n
 
 
-_MEMOS: dict[int, _Memo] = {}
-
-
 def count_texts(texts: list[str | None], automaton: Automaton) -> tuple[list[int], list[int]]:
     """Words and tokens of each text."""
-    memo = _MEMOS.get(id(automaton)) or _MEMOS.setdefault(id(automaton), _Memo(automaton))
+    memo = automaton.memo = automaton.memo or _Memo(automaton)
     n_words, n_tokens = [], []
     for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").split()

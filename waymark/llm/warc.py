@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import materialize, shared_dir
+from waymark.llm.common import heavy_join, materialize, shared_dir
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 16_384
@@ -51,7 +51,8 @@ def base32_sha1(data: bytes) -> str:
 def record_id(page_id: int | None, copy: int, digest: str, url: str | None = None) -> str:
     """A urn whose lower half is the page_id; its upper half tells payloads and copies of one page_id apart."""
     mark, lower = (_KNOWN, page_id) if page_id is not None else (_NAMELESS, int.from_bytes(hashlib.sha1(f"{digest} {url}".encode()).digest()[:8], "big"))
-    upper = mark << 40 | int.from_bytes(hashlib.sha1(digest.encode()).digest()[:4], "big") << 8 | copy % 256
+    turn = f" {copy // 256}" if copy >= 256 else ""
+    upper = mark << 40 | int.from_bytes(hashlib.sha1(f"{digest}{turn}".encode()).digest()[:4], "big") << 8 | copy % 256
     return f"<urn:uuid:{uuid.UUID(int=upper << 64 | lower % (1 << 64))}>"
 
 
@@ -177,9 +178,9 @@ def with_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
-    ids = rows.where("page_id is not null").groupBy("digest", "page_id").agg(F.count("*").alias("same"))
-    firsts = ids.groupBy("digest").agg(F.max("page_id").alias("first"), F.sum("same").alias("n")).where("n > 1")
-    shared = ids.join(firsts, "digest").select("digest", "page_id", "same", "first")
+    ids = materialize(rows.where("page_id is not null").groupBy("digest", "page_id").agg(F.count("*").alias("same")), "digests")
+    firsts = ids.groupBy("digest").agg(F.max("page_id").alias("first"), F.sum("same").alias("n"), F.count("*").alias("ids")).where("n > 1")
+    shared = heavy_join(ids, materialize(firsts, "shared-digests"), "digest", "ids").select("digest", "page_id", "same", "first")
     # Co-partitioned by hand, so that repeats of one row stay in one task and no split parts them.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["page_id", "digest"]
@@ -266,13 +267,17 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit's payload is that of its response.
 
-    A revisit whose response was not read, or has another digest or length, fails the query.
+    The archives are decoded once. Revisits are gathered by what they say of their response before
+    they meet it, so that a response with any number of revisits meets one row. A revisit whose
+    response was not read, or has another digest or length, raises ValueError.
     """
-    answers = records.where("record_type = 'response'").select(F.col("record_id").alias("answer"), F.col("payload_digest").alias("its_digest"), F.col("payload_bytes").alias("its_bytes"))
-    met = records.drop("payload").join(answers, records["refers_to_id"] == answers["answer"], "left")
-    bad = (F.col("record_type") == "revisit") & ~F.coalesce((F.col("payload_digest") == F.col("its_digest")) & (F.col("payload_bytes") == F.col("its_bytes")), F.lit(False))
-    whole = F.when(bad, F.raise_error(F.lit("a revisit does not match its response")).cast("long")).otherwise(F.col("payload_bytes"))
-    return met.select("page_id", whole.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    records = materialize(records.drop("payload"), "records")
+    told = ["payload_digest", "payload_bytes"]
+    asked = records.where("record_type = 'revisit'").groupBy(F.col("refers_to_id").alias("record_id"), *told).agg(F.min("page_id").alias("page_id"))
+    answers = records.where("record_type = 'response'").select("record_id", *told)
+    if bad := asked.join(answers, ["record_id", *told], "left_anti").take(1):
+        raise ValueError(f"the revisit of page {bad[0].page_id} does not match its response")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
