@@ -252,3 +252,48 @@ def test_languages_held_out(spark):
     none = language_id.train(docs.limit(0))
     assert {r.lang_pred for r in language_id.predict(docs.limit(5), none).collect()} == {"und"}
     assert language_id.predict(docs.limit(0), model).count() == 0
+
+
+def naive_profile(text):
+    """Bind and bundle gram by gram."""
+    low = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    if not low:
+        return np.zeros(language_id.DIMENSIONS)
+    _, letters = language_id._tables()
+    own = lambda c: letters[0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37].astype(int)
+    line, total = " " + " ".join(low) + " ", np.zeros(language_id.DIMENSIONS)
+    for x, y, z in zip(line, line[1:], line[2:]):
+        total += np.roll(own(x), 2) * np.roll(own(y), 1) * own(z)
+    return total / np.linalg.norm(total)
+
+
+def test_profiles_against_plain_bundling_whatever_the_blocks():
+    rng = random.Random(21)
+    texts = ["", " 1 ", "a", "Ab, c", "\U00010400\U00010428x 𐐨", "straße ÉCOLE"] + ["".join(rng.choices("abc é.,-\n", k=rng.randint(1, 300))) for _ in range(30)]
+    for text, vector in zip(texts, language_id.bundle(texts)):
+        assert np.allclose(vector, naive_profile(text), atol=1e-5)
+        whole = language_id._gram_counts(text)
+        for block in (1, 2, 3, 7, 64):
+            assert all((a == b).all() for a, b in zip(whole, language_id._gram_counts(text, block)))
+
+
+def test_a_very_long_text_scores_as_its_whole_profile(spark):
+    schema = "doc_id long, text string, lang string"
+    model = language_id.train(spark.createDataFrame(languages(300, 1), schema))
+    text = "".join(random.Random(2).choices("abcdefghij fgh", k=3_000_000))
+    got = language_id.predict(spark.createDataFrame([(1, text, None)], schema), model).first()
+    codes, counts = language_id._gram_counts(text, len(text))
+    vector = counts @ language_id._gram_vectors(codes).astype(float)
+    cosines = model[1] @ (vector / np.linalg.norm(vector))
+    assert got.lang_pred == model[0][cosines.argmax()] and abs(got.score - cosines.max()) < 1e-5
+
+
+def test_many_languages_and_equal_cosines(spark):
+    rows = [(i, "".join(chr(97 + (i // 26**k) % 26) for k in range(3)), f"l{i:04d}") for i in range(2100)] + [(9000, "aaa", "a-first")]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows, schema)
+    model = language_id.train(docs)
+    assert len(model[0]) == 2101
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert got[0] == got[9000] == "a-first"  # equal prototypes: the language first in order
+    assert np.mean([got[i] == lang for i, _, lang in rows[1:2100]]) > 0.9

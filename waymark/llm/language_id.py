@@ -25,8 +25,6 @@ CLASSES = 64  # 0 a gap between words, 1-26 a-z, 27-63 all other letters by code
 SEED = 20240229
 #: Training takes this many labelled rows a language at most (a bound that the task allows).
 TRAINING_ROWS = 4_000
-#: Languages learned at most: prototypes are collected to the driver and sent to every task.
-MOST_LANGUAGES = 2_000
 _BATCH_CHARS = 1 << 20
 
 
@@ -52,25 +50,30 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _TABLE, _LETTERS
 
 
-def _classes(text: str) -> np.ndarray:
-    """Letter classes of a text with single gaps between words and at both ends; empty if letterless."""
+def _classes(points: np.ndarray) -> np.ndarray:
+    """Letter classes of lower-case code points; 0 where there is no letter."""
     table, _ = _tables()
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     got = np.where(points < (1 << 16), table[np.minimum(points, 0xFFFF)], 0).astype(np.int64)
     if (high := points >= (1 << 16)).any():
         got[high] = [27 + int(p) % 37 if chr(p).isalpha() else 0 for p in points[high]]
-    if not got.any():
-        return np.empty(0, np.int64)
-    got = np.concatenate(([0], got, [0]))
-    gap = got == 0
-    return got[~(gap & np.concatenate(([False], gap[:-1])))]
+    return got
 
 
-def _gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The text's n-gram codes and their counts, gathered over blocks of the whole text."""
+def _gram_counts(text: str, block: int = _BATCH_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """The text's n-gram codes and their counts, with single gaps between words and at both ends.
+
+    Blocks bound the memory; the last N - 1 classes go over into the next block, so their size
+    changes nothing.
+    """
     codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for at in range(0, len(text), _BATCH_CHARS):
-        c = _classes(text[at : at + _BATCH_CHARS])
+    lower = text.lower()
+    carried = np.zeros(1, np.int64)
+    for at in range(0, len(lower) or 1, block):
+        points = np.frombuffer(lower[at : at + block].encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.concatenate((carried, _classes(points), np.zeros(int(at + block >= len(lower)), np.int64)))
+        gap = c == 0
+        c = c[~(gap & np.concatenate(([False], gap[:-1])))]
+        carried = c[1 - N :]
         if len(c) < N:
             continue
         got, n = np.unique(((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]).astype(np.uint32), return_counts=True)
@@ -114,17 +117,16 @@ def bundle(texts: list[str | None]) -> np.ndarray:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from at most about rows_per_language rows of each.
 
-    Rows are chosen by a hash of their text, so every task agrees on them.
+    Rows are chosen by a hash of their text, so every task agrees on them. What reaches the driver and
+    later every task is a vector a language, 4 KB: as many as there are language names in the column.
     """
     known = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, DIMENSIONS), np.float32)
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, rows_per_language / sizes[k]))])
-    chosen = known.where((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) + 0.0) < share[F.col("lang")] * 1_000_000)
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, rows_per_language / sizes[k])) for k in langs], "lang string, share double")
+    chosen = known.join(F.broadcast(shares), "lang").where((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) + 0.0) < F.col("share") * 1_000_000).select("text", "lang")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -137,8 +139,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     parts = chosen.mapInPandas(partial, "lang string, vector array<double>")
     sums = parts.select("lang", F.posexplode("vector").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
     prototypes = np.zeros((len(langs), DIMENSIONS))
-    for r in sums.collect():  # languages x DIMENSIONS numbers
-        prototypes[langs.index(r.lang), r.d] = r.x
+    place = {k: i for i, k in enumerate(langs)}
+    for r in sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).collect():  # a row a language
+        prototypes[place[r.lang]] = [x.x for x in r.v]
     return langs, _centred(prototypes)
 
 
