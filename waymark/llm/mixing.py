@@ -1,12 +1,14 @@
 """Mixing to target weights by soft membership. DataFrame operations only.
 
-A classifier learned from a labelled table gives each document a posterior over domains: features
-(words, word beginnings, trailing symbols, share of distinct words) that speak clearly for one
-domain are found on one half of a bounded sample of labelled rows, and the posterior of each
-pattern of such evidence is counted on the other half. Then nonnegative document rates are fitted
+A classifier learned from a labelled table gives each document a posterior over domains. Features
+(words, word beginnings, trailing symbols, share of distinct words) that speak clearly for one domain
+are found on one half of a bounded sample of labelled rows; a document's evidence for a domain is the
+sum of their log-ratios, in halves up to MOST_EVIDENCE; a logistic model fitted on the other half
+turns the evidence for all domains into a posterior. Then nonnegative document rates are fitted
 so that the expected tokens of each domain meet the targets in the least-squares sense: of such
-rates those closest to 1 are max(0, 1 - p . x) with one number x a domain, found by Newton steps of
-one aggregate each, until the gradient is small against each domain's own target.
+rates those closest to 1 are max(0, 1 - p . x) with one number x a domain, found by projected Newton
+steps of one aggregate each, until the gradient is within TOLERANCE of each domain's own target.
+``residuals`` tells how far the fitted mixture is from the targets.
 
 Defined results: null and empty texts have no tokens and the posterior of documents without
 evidence; rows that repeat id and text share one row with their count in ``copies``; null ids are
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import hinted, materialize, small_enough
+from waymark.llm.common import materialize, shingle_hashes, small_enough, words
 
 #: Labelled rows learned from at most, chosen by a hash of their id (a bound that the task allows).
 TRAINING_ROWS = 20_000
@@ -30,9 +32,15 @@ TRAINING_ROWS = 20_000
 MIN_LOG_RATIO = 3.5
 #: ... if the likelihood-ratio statistic of its counts is so large and it stands in so many documents.
 MIN_STATISTIC, MIN_SUPPORT = 18.0, 5
-STRONG = 6.0
-#: Newton steps at most, and the weight of squared x (a target missed for good by d gives x = d / RIDGE).
-STEPS, RIDGE = 60, 1e-9
+#: Evidence above this says no more; evidence of STRONG and more has a term of its own in the model.
+MOST_EVIDENCE, STRONG = 12.0, 6.0
+#: MinHash values by which near copies among the labelled rows are told.
+COPY_HASHES = 3
+#: Newton steps at most, the gradient at which they end, as a share of the target, and the weight of squared x
+#: (a target missed for good by d gives x = d / RIDGE).
+STEPS, TOLERANCE, RIDGE = 60, 1e-6, 1e-9
+#: Rows up to which the feature weights are broadcast; beyond it Spark shuffles.
+BROADCAST_ROWS = 200_000
 _SENTINEL = "\u0001document"
 
 
@@ -42,12 +50,13 @@ def labelled_domain(quality: Column, toxic: Column) -> Column:
 
 
 def _evidence_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, n_tokens and a hash for each feature of each token, with one sentinel a document."""
+    """keep, n_tokens and a hash for each feature of each distinct token, with one sentinel a document."""
     cut = docs.select(*keep, F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+").alias("all"))
-    share = F.floor(10 * F.size(F.array_distinct("all")) / F.size("all")).cast("string")
-    n = F.when((F.size("all") == 1) & (F.element_at("all", 1) == ""), 0).otherwise(F.size("all"))
+    cut = cut.select(*keep, F.size("all").alias("size"), F.array_distinct("all").alias("once"))
+    n = F.when((F.col("size") == 1) & (F.element_at("once", 1) == ""), 0).otherwise(F.col("size"))
+    share = F.floor(10 * F.size("once") / F.col("size")).cast("string")
     own = F.array(F.lit(_SENTINEL), F.concat(F.lit("\u0001distinct"), F.when(n >= 20, share).otherwise("")))
-    each = cut.select(*keep, n.alias("n_tokens"), F.explode(F.concat("all", own)).alias("token"))
+    each = cut.select(*keep, n.alias("n_tokens"), F.explode(F.concat("once", own)).alias("token"))
     low, last = F.lower("token"), F.substring("token", -1, 1)
     features = F.array(
         F.xxhash64(F.lit("word"), F.rtrim(low, F.lit(".,"))),
@@ -57,6 +66,15 @@ def _evidence_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
     return each.select(*keep, "n_tokens", F.explode(features).alias("feature")).where("feature is not null")
 
 
+def _copy_key(text: Column) -> Column:
+    """One value for copies and most near copies: the least of each of COPY_HASHES rehashes of the whole text's shingles."""
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform(shingle_hashes(words(text), 5), lambda h: F.xxhash64(h, F.lit(k))))
+
+    return F.coalesce(F.xxhash64(*[least(k) for k in range(COPY_HASHES)]) + F.when(least(0).isNull(), F.xxhash64(text)).otherwise(0), F.lit(0).cast("long"))
+
+
 def _sum_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
@@ -65,19 +83,64 @@ def _xlogx(seen: Column, expected: Column) -> Column:
     return F.when((seen > 0) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, domains: list[str], rows: int = TRAINING_ROWS) -> tuple[DataFrame, dict[int, list[float]]]:
-    """Feature weights (feature, one column w<i> a domain) and the posterior of each evidence pattern.
+class Model:
+    """Feature weights (feature, one column w<i> a domain) and the logistic terms (domains x terms)."""
 
-    docs: doc_id, text. labels: doc_id, domain; each doc_id's smallest domain counts.
-    """
+    def __init__(self, weights: DataFrame, terms: np.ndarray) -> None:
+        self.weights, self.terms = weights, terms
+
+
+def _inputs(evidence: list[Column]) -> list[Column]:
+    """The model's inputs: 1, then for each domain its evidence, whether there is some and whether it is strong."""
+    out = [F.lit(1.0)]
+    for e in evidence:
+        out += [e, (e > 0).cast("double"), (e >= STRONG).cast("double")]
+    return out
+
+
+def softmax_fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, classes: int, ridge: float = 0.5, steps: int = 50) -> np.ndarray:
+    """Terms (classes x inputs) of a logistic model of rows x with class y and count n, by damped Newton steps."""
+    size = x.shape[1]
+    hot = np.eye(classes)[y]
+    terms = np.zeros((classes, size))
+    penalty = ridge * np.concatenate(([1e-3], np.ones(size - 1)))
+
+    def probabilities(t: np.ndarray) -> np.ndarray:
+        z = x @ t.T
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
+
+    def loss(t: np.ndarray) -> float:
+        return float(-(n * np.log(np.maximum(probabilities(t)[np.arange(len(y)), y], 1e-300))).sum() + (penalty * t**2).sum() / 2)
+
+    best = loss(terms)
+    for _ in range(steps):
+        p = probabilities(terms)
+        slope = ((p - hot) * n[:, None]).T @ x + penalty * terms
+        curve = np.zeros((classes, size, classes, size))
+        for a in range(classes):
+            for b in range(classes):
+                curve[a, :, b] = (x * (n * p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x
+        curve = curve.reshape(classes * size, -1) + np.diag(np.tile(penalty, classes))
+        step = np.linalg.solve(curve, slope.ravel()).reshape(classes, size)
+        tried = [(loss(terms - step * 0.5**k), k) for k in range(8)]
+        value, k = min(tried)
+        if best - value <= 1e-9 * abs(best):
+            break
+        terms, best = terms - step * 0.5**k, value
+    return terms
+
+
+def learn(docs: DataFrame, labels: DataFrame, domains: list[str], rows: int = TRAINING_ROWS) -> Model:
+    """docs: doc_id, text. labels: doc_id, domain; each doc_id's smallest domain counts."""
     known = labels.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     total = known.count()
     share = min(1.0, rows / max(1, total))
     chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
     sample = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & chosen).join(known.where(chosen), "doc_id")
-    # Near copies would make their own words look telling: of texts with one beginning and end, one is learned from.
-    sample = sample.withColumn("head", F.substring("text", 1, 60)).withColumn("tail", F.substring("text", -60, 60))
-    sample = sample.groupBy("head", "tail").agg(F.min_by(F.struct("doc_id", "text", "domain"), F.col("doc_id")).alias("one")).select("one.*")
+    # Near copies would make their own words look telling: of copies one is learned from.
+    sample = sample.withColumn("copy", _copy_key(F.col("text")))
+    sample = sample.groupBy("copy").agg(F.min_by(F.struct("doc_id", "text", "domain"), F.col("doc_id")).alias("one")).select("one.*")
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     found = materialize(_evidence_rows(sample.withColumn("half", half), ["doc_id", "domain", "half"]).distinct(), "training")
     sentinel = F.xxhash64(F.lit("word"), F.lit(_SENTINEL))
@@ -97,36 +160,43 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], rows: int = TR
     speaking = seen.select("feature", *weights).where(_sum_of([F.col(f"w{i}") for i in range(len(domains))]) > 0)
     zero = docs.sparkSession.range(1).select(sentinel.alias("feature"), *[F.lit(0.0).alias(f"w{i}") for i in range(len(domains))])
     table = materialize(speaking.unionByName(zero), "weights")
-    second = _patterns(found.where("half = 1"), table, ["doc_id", "domain"], domains)
-    prior = [(x + 1) / (sum(n) + len(n)) for x in n] if sum(n) else [1 / len(domains)] * len(domains)
-    posterior: dict[int, list[float]] = {}
-    for r in second.groupBy("pattern").agg(*flags).collect():  # at most 3 ** domains rows
-        got = [r[f"n{i}"] + 0.5 * prior[i] for i in range(len(domains))]
-        posterior[r.pattern] = [g / sum(got) for g in got]
-    posterior[-1] = prior
-    return table, posterior
-
-
-def _patterns(rows: DataFrame, weights: DataFrame, keys: list[str], domains: list[str]) -> DataFrame:
-    """keys, pattern (a base-3 digit a domain: no, some, strong evidence), n_tokens and copies."""
+    evidence = [F.col(f"s{i}") for i in range(len(domains))]
+    second = _evidence(found.where("half = 1"), table, ["doc_id", "domain"], domains)
+    met = second.groupBy("domain", *evidence).agg(F.count("*").alias("n")).collect()  # within the bound on labelled rows
+    inputs = 1 + 3 * len(domains)
+    if not met:
+        return Model(table, np.zeros((len(domains), inputs)))
+    x = np.array([[1.0, *[v for i in range(len(domains)) for v in (r[f"s{i}"], float(r[f"s{i}"] > 0), float(r[f"s{i}"] >= STRONG))]] for r in met])
+    return Model(table, softmax_fit(x, np.array([domains.index(r.domain) for r in met]), np.array([float(r.n) for r in met]), len(domains)))
+
+
+def _evidence(rows: DataFrame, weights: DataFrame, keys: list[str], domains: list[str]) -> DataFrame:
+    """keys, n_tokens, copies and s<i>: the evidence for each domain."""
     sentinel = F.xxhash64(F.lit("word"), F.lit(_SENTINEL))
-    small = small_enough(weights, 200_000)
-    met = rows.join(hinted(weights, small), "feature").groupBy(*keys, "n_tokens", "feature").agg(F.count("*").alias("c"), *[F.first(f"w{i}").alias(f"w{i}") for i in range(len(domains))])
+    small = small_enough(weights, BROADCAST_ROWS)
+    if small:
+        joined = rows.join(F.broadcast(weights), "feature")
+    else:  # the sentinels, a row a document, stay off the shuffle by feature
+        zeros = [F.lit(0.0).alias(f"w{i}") for i in range(len(domains))]
+        joined = rows.where(F.col("feature") != sentinel).join(weights, "feature").unionByName(rows.where(F.col("feature") == sentinel).select("*", *zeros))
+    met = joined.groupBy(*keys, "n_tokens", "feature").agg(F.count("*").alias("c"), *[F.first(f"w{i}").alias(f"w{i}") for i in range(len(domains))])
     sums = met.groupBy(*keys, "n_tokens").agg(F.max(F.when(F.col("feature") == sentinel, F.col("c"))).alias("copies"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(domains))])
-    level = [F.when(F.col(f"w{i}") >= STRONG, 2).when(F.col(f"w{i}") > 0, 1).otherwise(0) * 3**i for i in range(len(domains))]
-    return sums.select(*keys, "n_tokens", "copies", _sum_of(level).alias("pattern"))
+    return sums.select(*keys, "n_tokens", "copies", *[F.least(F.lit(MOST_EVIDENCE), F.round(F.col(f"w{i}") * 2) / 2).alias(f"s{i}") for i in range(len(domains))])
 
 
-def posteriors(docs: DataFrame, model: tuple[DataFrame, dict[int, list[float]]], domains: list[str]) -> DataFrame:
+def posteriors(docs: DataFrame, model: Model, domains: list[str]) -> DataFrame:
     """One row for each distinct (doc_id, text): doc_id, text_hash, n_tokens, copies, p (array, a number a domain)."""
-    weights, posterior = model
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    got = _patterns(_evidence_rows(rows, ["doc_id", "text_hash"]), weights, ["doc_id", "text_hash"], domains)
-    known = F.create_map(*[x for k, p in sorted(posterior.items()) for x in (F.lit(k), F.array(*[F.lit(float(v)) for v in p]))])
-    return got.select("doc_id", "text_hash", "n_tokens", "copies", F.coalesce(F.try_element_at(known, F.col("pattern")), F.array(*[F.lit(float(v)) for v in posterior[-1]])).alias("p"))
+    got = _evidence(_evidence_rows(rows, ["doc_id", "text_hash"]), model.weights, ["doc_id", "text_hash"], domains)
+    inputs = _inputs([F.col(f"s{i}") for i in range(len(domains))])
+    scores = [_sum_of([c * F.lit(float(t)) for c, t in zip(inputs, terms, strict=True)]) for terms in model.terms]
+    got = got.withColumn("z", F.array(*scores)).withColumn("e", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
+    whole = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
+    # Ten digits are enough, and make equal evidence one kind on every machine.
+    return got.withColumn("whole", whole).select("doc_id", "text_hash", "n_tokens", "copies", F.transform("e", lambda v: F.round(v / F.col("whole"), 10)).alias("p"))
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-6) -> DataFrame:
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """members (n_tokens, copies, p, ...) with column rate: nonnegative rates whose expected domain
     tokens come closest to targets, and of these the closest to 1.
 
@@ -177,6 +247,12 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
     raise RuntimeError(f"rates do not meet the targets after {steps} steps: shares {expected.tolist()}, wanted {goal.tolist()}")
 
 
+def residuals(fitted: DataFrame, targets: list[float]) -> list[float]:
+    """Expected tokens of each domain under the rates, less the target."""
+    sums = fitted.agg(*[F.sum(F.col("n_tokens") * F.col("copies") * F.col("rate") * F.element_at("p", i + 1)).alias(f"e{i}") for i in range(len(targets))]).first()
+    return [(sums[f"e{i}"] or 0.0) - t for i, t in enumerate(targets)]
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: str, headroom: float = 1.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per distinct (doc_id, text): doc_id, text_hash, n_tokens, copies, p_<domain>, rate, draws.
 
