@@ -94,6 +94,9 @@ def test_keep_one(spark):
     ids = [r.doc_id for r in kept.collect()]
     groups = {r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
     assert Counter(ids) == Counter([*groups, None]) and kept.columns == docs.columns
+    mapped = docs.withColumns({"m": F.create_map(F.lit("k"), F.col("doc_id")), "a.b": F.lit(1)}).unionByName(docs.withColumns({"m": F.create_map(F.lit("k"), F.col("doc_id")), "a.b": F.lit(1)}))
+    again = simhash_dedup.keep_one(mapped)
+    assert Counter(r.doc_id for r in again.collect()) == Counter(ids) and again.columns == mapped.columns
 
 
 def test_empty_tables(spark):

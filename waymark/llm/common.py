@@ -58,13 +58,13 @@ def hinted(df: DataFrame, broadcastable: bool) -> DataFrame:
     return F.broadcast(df) if broadcastable else df
 
 
-def heavy_join(rows: DataFrame, table: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
+def heavy_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int | None = None, share: int = 1000) -> DataFrame:
     """rows joined with table, whose keys are distinct and whose column size tells how many rows have the key.
 
     Keys that hold over one in share of all rows are fewer than share, so their part of table is
     broadcast and their rows stay where they are; only rows of other keys are shuffled.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     heavy = table.where(F.col(size) * share > total)
     light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(size) * share <= total), key)
     return rows.join(F.broadcast(heavy), key).unionByName(light)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from waymark.llm.common import components, materialize
+from waymark.llm.common import components, heavy_join, materialize
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -96,19 +96,26 @@ def print_classes(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), n_links.
 
-    n_links counts the other distinct fingerprints within the distance and the further rows with the
-    same fingerprint only through component_id, so copies are never paired off.
-    A component whose ids are all null has a null component_id.
+    n_links counts the other distinct fingerprints within the distance. Rows of one fingerprint are
+    tied by component_id alone and never paired off. A component whose ids are all null has a null
+    component_id.
     """
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "prints")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct-prints")
     edges = materialize(links(prints.select("fp")), "links")
     classes = components(edges).select(F.col("node").alias("fp"), "root")
     degree = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
     classed = prints.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = classed.select("fp", "root").join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    of_print = classed.select("fp", "root", "rows").join(least, "root").join(degree, "fp", "left")
+    of_print = materialize(of_print.select("fp", "rows", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    # A fingerprint may be that of a third of all rows, as that of empty texts.
+    return heavy_join(rows, of_print, "fp", "rows").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; maps, which xxhash64() does not take, are hashed as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,13 +123,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Null ids come after others; ties go to the smallest row hash. All columns return as they were.
     """
-    cols = docs.columns
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*cols))
-    printed = docs.select(F.struct(*cols).alias("row"), order.alias("rank"), fingerprint(F.col(text_col)).alias("fp"))
-    prints = materialize(printed.groupBy("fp").agg(F.min("rank").alias("rank")), "prints")
-    classed = prints.join(print_classes(prints.select("fp")), "fp")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    printed = docs.select(whole.alias("row"), F.col(id_col).alias("id"), _row_hash(docs).alias("hash"), fingerprint(F.col(text_col)).alias("fp"))
+    printed = materialize(printed, "printed")
+    prints = materialize(printed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("rank")), "prints")
+    classed = prints.join(print_classes(prints.select("fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = classed.groupBy("root").agg(F.min(F.struct("rank", "fp")).alias("best"))
-    losers = classed.join(best, "root").where("fp != best.fp").select("fp")
-    # Copies meet before the shuffle: each task sends on one row for each fingerprint.
-    firsts = printed.groupBy("fp").agg(F.min_by("row", "rank").alias("row"))
-    return firsts.join(losers, "fp", "left_anti").select("row.*")
+    best = best.select("best.fp", "best.rank.hash", F.col("best.rank.id").alias("its_id"))
+    # The hash is the row's own, so copies spread over all tasks; rows alike in every column count once.
+    kept = printed.join(best, ["fp", "hash"]).where(F.col("id").eqNullSafe(F.col("its_id")))
+    return kept.dropDuplicates(["fp", "hash"]).select("row.*")
