@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from waymark.llm.common import global_rank, materialize
+from waymark.llm.common import global_rank, heavy_join, materialize
 
 SHARDS = 40
 #: Bytes that each document counts beside its text.
@@ -96,7 +96,7 @@ def propagate(linked: DataFrame, quota: list[int], idle_rounds: int = IDLE_ROUND
     After ROOM_ROUNDS each move goes where at least as many of the group are as in the shard left, so
     the sum of the squares of these numbers grows with each and the rounds come to an end.
     """
-    shards, cap = len(quota), max(1, min(quota))
+    shards, cap, total = len(quota), max(1, min(quota)), linked.count()
     now, turn, idle, roomy = linked, 0, 0, True
     while idle < idle_rounds:
         room = [q - n for q, n in zip(quota, _counts(now, shards), strict=True)]
@@ -107,8 +107,8 @@ def propagate(linked: DataFrame, quota: list[int], idle_rounds: int = IDLE_ROUND
         salt = [] if roomy else [F.lit(turn)]
         order = W.partitionBy("group").orderBy(reach.desc(), F.col("n").desc(), F.xxhash64("group", "shard", *salt), "shard")
         ranked = held.withColumn("place", F.row_number().over(order))
-        homes = ranked.where(F.col("place") <= F.ceil(F.col("size") / cap)).groupBy("group").agg(F.collect_list("shard").alias("homes"))
-        asked = now.join(homes, "group").where(~F.array_contains("homes", F.col("shard")))
+        homes = ranked.where(F.col("place") <= F.ceil(F.col("size") / cap)).groupBy("group").agg(F.collect_list("shard").alias("homes"), F.first("size").alias("size"))
+        asked = heavy_join(now, materialize(homes, "homes"), "group", "size", total).where(~F.array_contains("homes", F.col("shard")))
         pick = F.pmod(F.xxhash64("member", *salt), F.size("homes")) + 1
         asked = materialize(asked.select("member", "shard", F.element_at("homes", pick.cast("int")).alias("target")), "moves")
         wanted = {(r.shard, r.target): r.n for r in asked.groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}  # a row a pair of shards
@@ -142,17 +142,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
         F.unhex(F.sha2(text, 256)).alias("group"),
     )
     rows = materialize(rows, "sizes")
-    quota = quotas(rows.count(), shards)
-    shared = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    total = rows.count()
+    quota = quotas(total, shards)
+    groups = materialize(rows.groupBy("group").agg(F.count("*").alias("n")), "groups")
+    rows = materialize(heavy_join(rows, groups, "group", "n", total), "grouped")
     order = [F.xxhash64("doc_id", "group"), F.col("doc_id"), F.col("group")]
-    linked = rows.join(shared.select("group"), "group")
-    linked = materialize(global_rank(linked, [], order, "member"), "linked")
+    linked = materialize(global_rank(rows.where("n > 1"), [], order, "member"), "linked")
     dealt = linked.select("member", "group", (F.col("member") % shards).cast("int").alias("shard"))
     placed = propagate(dealt, quota)
     seats = global_rank(placed.select("member", "shard"), ["shard"], [F.xxhash64("member"), F.col("member")], "slot")
     taken = _counts(placed, shards)
     ends = list(accumulate(q - n for q, n in zip(quota, taken, strict=True)))
-    single = global_rank(rows.join(shared.select("group"), "group", "left_anti"), [], order, "place")
+    single = global_rank(rows.where("n = 1"), [], order, "place")
     shard = F.size(F.filter(F.array(*[F.lit(int(e)) for e in ends]), lambda e: e <= F.col("place")))
     single = single.withColumn("shard", shard)
     slot = _at(taken, F.col("shard")) + F.col("place") - _at([0, *ends[:-1]], F.col("shard"))
