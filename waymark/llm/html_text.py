@@ -2,9 +2,9 @@
 
 A page becomes a tree of block elements (and of inline elements that carry a class, id or role)
 whose leaves are runs of text. Boosted trees score each node, given that its parent is kept, from subtree
-density, attribute tokens, depth and sibling statistics. A node can be kept only if its parent is;
-decoding multiplies probabilities down the tree and finds the best such set. The trees are trained
-here on generated pages whose main text is known.
+density, attribute tokens, depth and sibling statistics. Decoding goes down the tree and keeps a node
+only if its parent is kept, so that no choice contradicts one above it. The trees are trained here on
+generated pages whose main text is known.
 
 Defined results: null and empty html give an empty text; a page without main text gives an empty
 text; broken markup is closed as browsers do (open paragraphs end at the next block); repeated
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 # Element names by role, as HTML defines them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = set("script style template iframe noembed noframes svg math canvas object title textarea".split())
+SKIPPED = set("script style template iframe noembed noframes title textarea".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table "
@@ -269,15 +269,19 @@ def features(tree: Tree) -> np.ndarray:
 
 
 class BoostedTrees:
-    """Logistic gradient boosting with full-depth trees on quantile-binned features."""
+    """Logistic gradient boosting with full-depth trees on quantile-binned features.
 
-    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 32, smooth: float = 2.0) -> None:
-        self.trees, self.depth, self.rate, self.bins, self.smooth = trees, depth, rate, bins, smooth
+    Each tree is grown on a random share of the rows and of the features.
+    """
+
+    def __init__(self, trees: int = 100, depth: int = 5, rate: float = 0.15, bins: int = 32, smooth: float = 6.0, share: float = 0.5, seed: int = 7) -> None:
+        self.trees, self.depth, self.rate, self.bins, self.smooth, self.share, self.seed = trees, depth, rate, bins, smooth, share, seed
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> BoostedTrees:
         n, m = x.shape
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(m)]
-        binned = np.stack([np.searchsorted(cuts[j], x[:, j], "right") for j in range(m)], 1)
+        cuts = [self._cuts(x[:, j]) for j in range(m)]
+        binned = np.stack([np.searchsorted(cuts[j], x[:, j], "right") for j in range(m)])
+        rng = np.random.default_rng(self.seed)
         share = np.average(y, weights=weight)
         self.base = float(np.log(share / (1 - share)))
         score = np.full(n, self.base)
@@ -288,18 +292,20 @@ class BoostedTrees:
         for t in range(self.trees):
             p = 1 / (1 + np.exp(-score))
             g, h = weight * (y - p), weight * p * (1 - p)
+            drawn = np.nonzero(rng.random(n) < self.share)[0]
+            asked = [j for j in range(m) if len(cuts[j]) and rng.random() < self.share]
+            its_g, its_h = g[drawn], h[drawn]
             at = np.zeros(n, np.int64)
             for level in range(self.depth):
                 width = 1 << level
                 best = np.full(width, 1e-6)
                 first = width - 1
                 choice = [(0, -1)] * width
-                for j in range(m):
-                    if not len(cuts[j]):
-                        continue
-                    key = at * self.bins + binned[:, j]
-                    gs = np.bincount(key, g, width * self.bins).reshape(width, -1).cumsum(1)
-                    hs = np.bincount(key, h, width * self.bins).reshape(width, -1).cumsum(1)
+                here = at[drawn] * self.bins
+                for j in asked:
+                    key = here + binned[j, drawn]
+                    gs = np.bincount(key, its_g, width * self.bins).reshape(width, -1).cumsum(1)
+                    hs = np.bincount(key, its_h, width * self.bins).reshape(width, -1).cumsum(1)
                     left, right = gs[:, :-1], gs[:, -1:] - gs[:, :-1]
                     gain = left**2 / (hs[:, :-1] + self.smooth) + right**2 / (hs[:, -1:] - hs[:, :-1] + self.smooth) - gs[:, -1:] ** 2 / (hs[:, -1:] + self.smooth)
                     gain[:, len(cuts[j]) :] = 0
@@ -315,6 +321,17 @@ class BoostedTrees:
             score += self.value[t][at]
         return self
 
+    def _cuts(self, values: np.ndarray) -> np.ndarray:
+        """Fewer than bins cuts: between all distinct values if they are few, else half of them by rows and half by values.
+
+        By rows alone, a mark that few nodes bear would have no cut.
+        """
+        distinct = np.unique(values)
+        if len(distinct) <= self.bins:
+            return (distinct[1:] + distinct[:-1]) / 2
+        at = np.linspace(0, 1, self.bins // 2 + 1)[1:-1]
+        return np.unique(np.concatenate((np.quantile(values, at), np.quantile(distinct, at))))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log-odds for each row."""
         rows, out = np.arange(len(x)), np.full(len(x), self.base, np.float32)
@@ -328,17 +345,16 @@ class BoostedTrees:
 
 
 def decode(parent: list[int], scores: np.ndarray) -> np.ndarray:
-    """The set with the most nodes expected to be right in which no node is kept without its parent.
+    """Top-down choice in which no node is kept without its parent.
 
-    scores are log-odds given that the parent is kept, so a node's probability is the product along
-    its path from the root. It never exceeds its parent's: keeping the nodes above one half is both
-    free of contradictions and the best such set, however many nodes a page has.
+    scores are log-odds given that the parent is kept, so each node below a kept one takes its more
+    likely side and everything below a dropped one is dropped. A node's depth alone, and the number
+    of nodes of a page, weigh nothing.
     """
-    given = (1 / (1 + np.exp(-np.clip(scores.astype(np.float64), -500, 500)))).tolist()
-    whole = [0.0] * len(given)
-    for v, p in enumerate(given):
-        whole[v] = p * (whole[parent[v]] if parent[v] >= 0 else 1.0)
-    return np.array(whole) > 0.5
+    kept = np.zeros(len(parent), bool)
+    for v, p in enumerate(parent):
+        kept[v] = scores[v] > 0 and (p < 0 or kept[p])
+    return kept
 
 
 def text_of(tree: Tree, kept: np.ndarray) -> str:

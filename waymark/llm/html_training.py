@@ -14,7 +14,7 @@ import numpy as np
 
 from waymark.llm.html_text import BoostedTrees, Tree, features, parse
 
-PAGES = 700
+PAGES = 1500
 SEED = 20240517
 _MAIN = "⁣"  # an invisible mark at each run of main text; taken out before training
 
