@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.engine import Engine, ExportFailed, TrackConflict, TrackNotFound
+from waymark.operators.tracks import import_report
 from waymark.plans import oracle, queries
 from waymark.sources.files import content_hash, parse_any, parse_gpx, parse_plt, sniff, unreadable
 from waymark.streaming import trips
@@ -60,6 +61,34 @@ def test_sniffing_and_parsing(spark):
     assert len(files.select(content_hash(F.col("value")).alias("h")).first().h) == 32
 
 
+def test_gpx_of_odd_segments_and_times(spark):
+    point = lambda k, t="2024-03-01T08:00:00Z": f'<trkpt lat="39.{k}" lon="116.3"><time>{t}</time></trkpt>'
+    gpx = lambda inner: f'<?xml version="1.0"?><gpx xmlns="http://www.topografix.com/GPX/1/1">{inner}</gpx>'
+    times = ["2024-03-01T08:00:00", "2024-03-01", "2024-03-01 08:00:00Z", "2024-03-01 08:00:00", "2024-03-01T08:00Z", "2024-03-01t08:00:00.5z", "2024-03-01T08:00:00+08:00"]
+    rows = [
+        ("empty segment", gpx(f"<trk><trkseg>{point(1)}</trkseg><trkseg></trkseg></trk>")), ("short segment", gpx(f"<trk><trkseg/><trkseg>{point(1)}{point(2)}</trkseg></trk>")),
+        ("no segment", gpx(f"<trk><name>a</name></trk><trk><trkseg>{point(1)}</trkseg></trk>")), ("bare track", gpx(f"<trk/><trk><trkseg>{point(1)}</trkseg></trk>")),
+        ("nothing", gpx("<trk/>")), ("times", gpx("<trk><trkseg>" + "".join(point(k, t) for k, t in enumerate(times)) + "</trkseg></trk>")),
+    ]
+    got = parse_gpx(spark.createDataFrame(rows, "file string, value string")).groupBy("file").agg(F.sort_array(F.collect_list("line")).alias("lines")).collect()
+    assert {r.file: len(r.lines) for r in got} == {"empty segment": 1, "short segment": 2, "no segment": 1, "bare track": 1, "times": 3}
+    assert next(r.lines for r in got if r.file == "times") == [4, 5, 6]
+
+
+ZONED = ["plt_parse", "gpx_parse", "hour_filter", "date_filter", "density_morning", "track_summary", "stay_points", "hotspots", "similarity_topk", "geojson_export", "trip_sessions", "within_stats", "cells_except", "random_points_near", "demo_points"]
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="no tables here")
+@pytest.mark.parametrize("zone", ["Asia/Kathmandu", "America/New_York"])
+def test_results_do_not_depend_on_the_session_zone(spark, duck, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for name in ZONED:
+            test_query_against_sql(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_store(spark, tmp_path):
     store, inbox = Engine(spark, str(tmp_path / "store")), tmp_path / "in"
     (inbox / "deep").mkdir(parents=True)
@@ -79,7 +108,22 @@ def test_store(spark, tmp_path):
     assert head.count() == 1 and [r.seq for r in rows.collect()] == list(range(40))
     assert [r.name for r in store.similarity(one).collect()][0] == "two"
     assert store.density("116.2,39.8,116.4,40.0", metric="points").agg(F.sum("value")).first()[0] == 82
-    found, total = store.within({"type": "Point", "coordinates": [116.3, 39.9]}, 200.0)
+    found, total, answer = store.within({"type": "Point", "coordinates": [116.3, 39.9]}, 200.0, limit=2)
+    assert found.count() == 2 and (answer.first().total_hits, answer.first().truncated) == (3, True) and "Polygon" in answer.first().geometry
+    found, total, answer = store.within({"type": "Point", "coordinates": [116.3, 39.9]}, 200.0, limit=3)
+    assert not answer.first().truncated
+    with pytest.raises(ValueError, match="after its end"):
+        store.within({"type": "Point", "coordinates": [116.3, 39.9]}, 200.0, start="2024-02-01T00:00:00Z", end="2024-01-01T00:00:00Z")
+    assert {r.compared for r in store.similarity(one).collect()} == {store.similarity(one).count()} and store.similarity(one, min_similarity=100.1).count() == 0
+    report = import_report(store.import_dir(str(inbox)))
+    assert (report["files"], report["imported"], report["skipped"], report["failed"]) == (5, 0, 4, 1) and len(report["errors"]) == 1
+    fenced = Engine(spark, str(tmp_path / "fenced"), import_roots=[str(inbox / "deep"), " "])
+    assert import_report(fenced.import_dir(str(inbox / "deep")))["imported"] == 1
+    for place in (str(inbox), str(inbox / "deep/../"), str(inbox) + "/deeper"):
+        with pytest.raises(ValueError, match="allowed"):
+            fenced.import_dir(place)
+    with pytest.raises(ValueError, match="allowed"):
+        Engine(spark, str(tmp_path / "fenced"), import_roots=[]).import_dir(str(inbox))
     assert found.count() == 3 and total.where("source is null").first().track_count == 3
     assert store.stay_points(one).count() == 0
     with pytest.raises(ValueError):

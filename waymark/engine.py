@@ -8,6 +8,8 @@ the second to write a version fails.
 
 from __future__ import annotations
 
+import os
+import posixpath
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -40,9 +42,23 @@ class ExportFailed(RuntimeError):
     """The track could not be written before its removal, so it was kept."""
 
 
+def _below(path: str, root: str) -> bool:
+    """Whether path is root or lies below it, with . and .. resolved."""
+
+    def parts(text: str) -> list[str]:
+        scheme, colon, rest = text.partition("://")
+        if not colon:
+            scheme, rest = "file", os.path.abspath(text)
+        return [scheme, *[p for p in posixpath.normpath("/" + rest).split("/") if p]]
+
+    wanted = parts(root)
+    return parts(path)[: len(wanted)] == wanted
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, base: str) -> None:
-        self.spark, self.base = spark, base.rstrip("/")
+    def __init__(self, spark: SparkSession, base: str, import_roots: list[str] | None = None) -> None:
+        """import_roots: the folders below which import_dir() may read; None allows all, an empty list none."""
+        self.spark, self.base, self.import_roots = spark, base.rstrip("/"), import_roots
         self._kept: dict[tuple, DataFrame] = {}
         try:
             self._version()
@@ -78,6 +94,12 @@ class Engine:
             self._kept[key] = make().persist()
         return self._kept[key]
 
+    def _points_of(self, track: DataFrame) -> DataFrame:
+        """Points of one track, read from its own import's folder alone."""
+        row = track.first()
+        rows = self.spark.read.schema(f"{POINTS}, batch string").parquet(f"{self.base}/points")
+        return rows.where((F.col("batch") == row["batch"]) & (F.col("track_id") == row["track_id"])).drop("batch")
+
     def _known(self, track_id: int) -> DataFrame:
         found = self.tracks().where(F.col("track_id") == track_id)
         if not found.take(1):
@@ -88,6 +110,8 @@ class Engine:
 
     def import_dir(self, path: str, glob: str | None = None, most_tracks: int | None = None) -> DataFrame:
         """Append all track files below path; repeated contents are skipped. Rows (file, action, track_id)."""
+        if self.import_roots is not None and not any(_below(path, root) for root in self.import_roots if root.strip()):
+            raise ValueError(f"{path} is not below one of the allowed folders {self.import_roots}")
         return self.import_texts(read_texts(self.spark, path, glob), allow_same_name=True, most_tracks=most_tracks, strict=False)
 
     def import_file(self, path: str, name: str | None = None, mode: str = "append", replace_id: int | None = None, allow_same_name: bool = False) -> DataFrame:
@@ -158,7 +182,7 @@ class Engine:
     def export(self, track_id: int) -> DataFrame:
         """One row, one column: the track as GeoJSON text."""
         found = self._known(track_id)
-        return tracks.geojson(self.points().where(F.col("track_id") == track_id), found).select("geojson")
+        return tracks.geojson(self._points_of(found), found).select("geojson")
 
     # Questions
 
@@ -167,7 +191,8 @@ class Engine:
 
     def track_detail(self, track_id: int) -> tuple[DataFrame, DataFrame]:
         """The track's row and its points in order."""
-        return self._known(track_id), tracks.points_of(self.points(), [track_id])
+        found = self._known(track_id)
+        return found, self._points_of(found).orderBy("seq")
 
     def _stays(self) -> DataFrame:
         return self._cached(("stays",), lambda: stays.stay_points(self.points()))
@@ -184,16 +209,18 @@ class Engine:
         box = parse_bbox(bbox)
         return density.density(self.points(), box, cell_size or pick_cell_size(box), **limits)
 
-    def similarity(self, track_id: int, tolerance_m: float = 50.0, limit: int = 20) -> DataFrame:
+    def similarity(self, track_id: int, tolerance_m: float = 50.0, limit: int = 20, min_similarity: float = 0.0) -> DataFrame:
         check_limit(limit), check_tolerance(tolerance_m)
         if self._known(track_id).first()["point_count"] < 2:
             raise ValueError(f"track {track_id} has fewer than two points")
-        most = self.points().agg(F.max(F.abs("lat"))).first()[0]
-        made = lambda: similarity.most_similar(self.points(), self.tracks(), track_id, tolerance_m, 500, max(60.0, most))
-        return self._cached(("similarity", track_id, tolerance_m), made).orderBy(F.desc("similarity"), "track_id").limit(limit)
+        made = lambda: similarity.most_similar(self.points(), self.tracks(), track_id, tolerance_m, 500)
+        found = similarity.at_least(self._cached(("similarity", track_id, tolerance_m), made), min_similarity)
+        return found.orderBy(F.desc("similarity"), "track_id").limit(limit)
 
-    def within(self, geometry: str | dict, buffer_m: float | None = None, start: str | None = None, end: str | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
-        """The tracks that cross a region, most points inside first, and totals over all of them."""
+    def within(self, geometry: str | dict, buffer_m: float | None = None, start: str | None = None, end: str | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The tracks that cross a region, most points inside first; totals over all of them; and the answer's
+        one row of total_hits, truncated, inside_points and geometry."""
         check_limit(limit)
-        found = within.matched(self.points(), self.tracks(), parse_region(geometry, buffer_m), start, end)
-        return within.items(found, limit), within.stats(found)
+        region = parse_region(geometry, buffer_m)
+        found = within.matched(self.points(), self.tracks(), region, start, end)
+        return within.items(found, limit), within.stats(found), within.response(found, region, limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Mean earth radius in metres (fixed value).
@@ -36,12 +36,24 @@ def degrees_for(tolerance_m: float, max_abs_lat: float) -> float:
     return tolerance_m / min(LAT_M, LON_M * max(math.cos(math.radians(max_abs_lat)), 0.01)) * 1.05
 
 
+def utc(ts: Column) -> Column:
+    """A timestamp's wall clock in UTC, whatever the session's zone is."""
+    seconds = F.unix_seconds(ts)
+    day = F.floor(seconds / 86400).cast("int")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(day, F.lit(0), F.lit(0), (seconds - day.cast("long") * 86400).cast("decimal(18,6)"))
+
+
+def utc_date(ts: Column) -> Column:
+    return utc(ts).cast("date")
+
+
 def local_hour(ts: Column, zone: str = ZONE) -> Column:
-    return F.hour(F.from_utc_timestamp(ts, zone))
+    return F.hour(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc(ts)))
 
 
 def iso(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """yyyy-MM-ddTHH:mm:ssZ."""
+    return F.concat(F.translate(utc(ts).cast("string"), " ", "T"), F.lit("Z"))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -59,7 +71,7 @@ def bounds_of(rings: Sequence[Ring]) -> tuple[float, float, float, float]:
     return min(xs), min(ys), max(xs), max(ys)
 
 
-def _sum(parts: list[Column]) -> Column:
+def _sum(parts: list):
     while len(parts) > 1:
         parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     return parts[0]
@@ -128,27 +140,44 @@ GCJ_A, GCJ_EE = 6378245.0, 0.00669342162296594323
 GCJ_BOUNDS = (73.66, 3.86, 135.05, 53.55)
 
 
-def gcj02_offset(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """(d_lon, d_lat) that the Chinese datum adds to WGS84; zero outside its bounds."""
+def _gcj02_degrees(lon, lat, m):
+    """(d_lon, d_lat) by the published formula; m has sin, cos, sqrt, absolute and radians for numbers or for Columns."""
     x, y, pi = lon - 105.0, lat - 35.0, math.pi
 
-    def waves(v: Column, *terms: tuple[float, float]) -> Column:
-        return _sum([F.lit(k) * F.sin(v * F.lit(w)) for k, w in terms]) * F.lit(2.0) / F.lit(3.0)
+    def waves(v, *terms: tuple[float, float]):
+        return _sum([m.sin(v * w) * k for k, w in terms]) * 2.0 / 3.0
 
     ripple = waves(x, (20.0, 6.0 * pi), (20.0, 2.0 * pi))
-    d_lat = -100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * F.sqrt(F.abs(x)) + ripple
+    d_lat = -100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * m.sqrt(m.absolute(x)) + ripple
     d_lat = d_lat + waves(y, (20.0, pi), (40.0, pi / 3)) + waves(y, (160.0, pi / 12), (320.0, pi / 30))
-    d_lon = 300.0 + x + 2.0 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * F.sqrt(F.abs(x)) + ripple
+    d_lon = 300.0 + x + 2.0 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * m.sqrt(m.absolute(x)) + ripple
     d_lon = d_lon + waves(x, (20.0, pi), (40.0, pi / 3)) + waves(x, (150.0, pi / 12), (300.0, pi / 30))
-    phi = F.radians(lat)
-    magic = 1 - F.lit(GCJ_EE) * F.sin(phi) * F.sin(phi)
-    root = F.sqrt(magic)
+    phi = m.radians(lat)
+    magic = 1 - m.sin(phi) * m.sin(phi) * GCJ_EE
+    root = m.sqrt(magic)
+    return d_lon * 180.0 / (GCJ_A / root * m.cos(phi) * pi), d_lat * 180.0 / (GCJ_A * (1 - GCJ_EE) / (magic * root) * pi)
+
+
+class _ColumnMath:
+    sin, cos, sqrt, absolute, radians = F.sin, F.cos, F.sqrt, F.abs, F.radians
+
+
+class _NumberMath:
+    sin, cos, sqrt, absolute, radians = math.sin, math.cos, math.sqrt, abs, math.radians
+
+
+def gcj02_offset(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """(d_lon, d_lat) that the Chinese datum adds to WGS84; zero outside its bounds."""
     west, south, east, north = GCJ_BOUNDS
     within = (lon > west) & (lon < east) & (lat > south) & (lat < north)
-    return (
-        F.when(within, d_lon * 180.0 / (F.lit(GCJ_A) / root * F.cos(phi) * pi)).otherwise(0.0),
-        F.when(within, d_lat * 180.0 / (F.lit(GCJ_A * (1 - GCJ_EE)) / (magic * root) * pi)).otherwise(0.0),
-    )
+    d_lon, d_lat = _gcj02_degrees(lon, lat, _ColumnMath)
+    return F.when(within, d_lon).otherwise(0.0), F.when(within, d_lat).otherwise(0.0)
+
+
+def gcj02_offset_at(lon: float, lat: float) -> tuple[float, float]:
+    """gcj02_offset() of one place, as numbers."""
+    west, south, east, north = GCJ_BOUNDS
+    return _gcj02_degrees(lon, lat, _NumberMath) if west < lon < east and south < lat < north else (0.0, 0.0)
 
 
 def to_gcj02(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -160,3 +189,25 @@ def from_gcj02(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Approximate inverse: takes off the offset found at the shifted point (a few metres off)."""
     d_lon, d_lat = gcj02_offset(lon, lat)
     return lon - d_lon, lat - d_lat
+
+
+def shifted(rows: DataFrame, lon: str = "lon", lat: str = "lat", to_display: bool = True) -> DataFrame:
+    """rows with two columns shifted between the datums, such as points, cells or, by other names, hotspots; null places stay null."""
+    move = to_gcj02 if to_display else from_gcj02
+    new_lon, new_lat = move(F.col(lon), F.col(lat))
+    return rows.withColumns({lon: new_lon, lat: new_lat})
+
+
+def shift_place(lon: float, lat: float, to_display: bool = True) -> tuple[float, float]:
+    d_lon, d_lat = gcj02_offset_at(lon, lat)
+    return (lon + d_lon, lat + d_lat) if to_display else (lon - d_lon, lat - d_lat)
+
+
+def shift_geometry(geometry: dict, to_display: bool = True) -> dict:
+    """A GeoJSON Polygon or MultiPolygon with each place shifted; other geometries as they are."""
+    ring = lambda r: [list(shift_place(p[0], p[1], to_display)) for p in r]
+    if geometry.get("type") == "Polygon":
+        return {**geometry, "coordinates": [ring(r) for r in geometry["coordinates"]]}
+    if geometry.get("type") == "MultiPolygon":
+        return {**geometry, "coordinates": [[ring(r) for r in p] for p in geometry["coordinates"]]}
+    return geometry

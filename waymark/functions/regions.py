@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
+from datetime import datetime
+from decimal import Decimal
 
-from waymark.functions.geo import EARTH_M, Ring, edges_of
+from waymark.functions.geo import EARTH_M, Ring, edges_of, gcj02_offset_at
 
 #: Grid sizes in degrees that a caller may ask for (fixed values), coarse to fine.
 LADDER = (5.0, 2.0, 1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001, 0.0005, 0.0002, 0.0001)
@@ -28,6 +30,8 @@ class Region:
     rings: tuple[tuple[tuple[float, float], ...], ...]
     buffered: bool
     vertex_count: int
+    #: The GeoJSON of the area that is searched: of a buffered point, its circle.
+    geometry: str = ""
 
 
 def parse_bbox(text: str) -> Bbox:
@@ -107,6 +111,12 @@ def check_hotspot(radius_m: float, min_visits: int) -> None:
         raise ValueError("min_visits must be at least 1")
 
 
+def check_window(start: str | None, end: str | None) -> None:
+    """ISO times with their offsets, or none; the start must not lie after the end."""
+    if start is not None and end is not None and datetime.fromisoformat(start) > datetime.fromisoformat(end):
+        raise ValueError("the window's start lies after its end")
+
+
 def check_name(raw: str | None, most: int = MAX_NAME) -> str:
     """A track name on one line, trimmed; ValueError if empty or too long."""
     name = " ".join(part for part in (raw or "").replace("\r", "\n").replace("\t", "\n").split("\n") if part).strip() if raw else ""
@@ -173,7 +183,8 @@ def parse_region(geometry: str | dict, buffer_m: float | None = None) -> Region:
     count = sum(map(len, rings))
     if count > MAX_VERTICES:
         raise ValueError(f"more than {MAX_VERTICES} vertices")
-    region = Region(tuple(rings), kind == "Point", count)
+    shown = {"type": "Polygon", "coordinates": rings} if kind == "Point" else {"type": kind, "coordinates": [[_ring(r) for r in p] for p in raw] if kind == "MultiPolygon" else rings}
+    region = Region(tuple(rings), kind == "Point", count, json.dumps(shown))
     if not is_valid(region.rings):
         raise ValueError("the region crosses itself or has no area")
     return region
@@ -226,3 +237,30 @@ def polygon(points: list[tuple[float, float]]) -> dict | None:
 
 def point(lon: float, lat: float) -> dict:
     return {"type": "Point", "coordinates": [lon, lat]}
+
+
+def shift_box(box: Bbox, to_display: bool = True) -> Bbox:
+    """A box moved between the datums by the offset of its centre."""
+    d_lon, d_lat = gcj02_offset_at((box.west + box.east) / 2, (box.south + box.north) / 2)
+    sign = 1 if to_display else -1
+    return Bbox(box.west + sign * d_lon, box.south + sign * d_lat, box.east + sign * d_lon, box.north + sign * d_lat)
+
+
+def plain(value: float) -> str:
+    """A number without an exponent or trailing zeros."""
+    text = format(Decimal(repr(float(value))) + 0, "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
+def wkt(geometry: dict) -> str:
+    """The WKT of a GeoJSON Point, Polygon or MultiPolygon."""
+    place = lambda p: f"{plain(p[0])} {plain(p[1])}"
+    rings = lambda polygon: "(" + ",".join("(" + ",".join(map(place, r)) + ")" for r in polygon) + ")"
+    kind, at = geometry["type"], geometry["coordinates"]
+    if kind == "Point":
+        return f"POINT({place(at)})"
+    if kind == "Polygon":
+        return f"POLYGON{rings(at)}"
+    if kind == "MultiPolygon":
+        return "MULTIPOLYGON(" + ",".join(map(rings, at)) + ")"
+    raise ValueError(f"no WKT for {kind}")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from waymark.functions.geo import LAT_M, LON_M, haversine
+from waymark.functions.geo import EARTH_M, haversine
 from waymark.functions.regions import check_hotspot
+from waymark.operators.cells import around, at_home
 from waymark.operators.graph import components
 from waymark.operators.storage import materialize
 
@@ -22,26 +25,54 @@ def within_time(stays: DataFrame, start: str | None = None, end: str | None = No
 
 
 def near_pairs(stays: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs (u, v) of stay ids within radius_m: an equality join on grid cells, then the distance.
+    """Pairs (u, v) of stay ids within radius_m: an equality join on grid cells, then the distance."""
+    here = at_home(stays.select("stay_id", "center_lon", "center_lat"), "center_lon", "center_lat", radius_m)
+    there = around(stays.select(F.col("stay_id").alias("other"), F.col("center_lon").alias("lon2"), F.col("center_lat").alias("lat2")), "lon2", "lat2", radius_m)
+    near = haversine(F.col("center_lon"), F.col("center_lat"), F.col("lon2"), F.col("lat2")) <= radius_m
+    return here.join(there, ["by", "bx"]).where((F.col("stay_id") < F.col("other")) & near).select(F.col("stay_id").alias("u"), F.col("other").alias("v"))
+
 
-    Cells are radius_m high; a cell's width in degrees is set by its latitude band, and both rows of a
-    pair look for each other in the cells around.
+def links(stays: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs (u, v) of stay ids that connect what near_pairs() connects, of far fewer rows in a crowded place.
+
+    All stays of a small cell, whose diagonal is under radius_m, are linked to its first stay. Beyond
+    that only stays at distinct places are compared: of stays at one place the first stands for all.
     """
-    high = radius_m / LAT_M * 1.05
-    band = F.floor(F.col("center_lat") / high)
-
-    def column(of_band):
-        edge = F.greatest(F.abs(of_band * high), F.abs((of_band + 1) * high))
-        wide = F.lit(radius_m * 1.05) / (F.lit(LON_M) * F.greatest(F.cos(F.radians(edge)), F.lit(0.01)))
-        return F.floor(F.col("center_lon") / wide)
-
-    here = stays.select("stay_id", "center_lon", "center_lat", band.alias("row")).withColumn("column", column(F.col("row")))
-    there = stays.select(F.col("stay_id").alias("other"), F.col("center_lon"), F.col("center_lat"), band.alias("band"))
-    there = there.withColumn("row", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
-    there = there.withColumn("mid", column(F.col("row"))).withColumn("column", F.explode(F.sequence(F.col("mid") - 1, F.col("mid") + 1)))
-    there = there.select("other", F.col("center_lon").alias("lon2"), F.col("center_lat").alias("lat2"), "row", "column")
-    near = haversine(F.col("center_lon"), F.col("center_lat"), F.col("lon2"), F.col("lat2")) <= radius_m
-    return here.join(there, ["row", "column"]).where((F.col("stay_id") < F.col("other")) & near).select(F.col("stay_id").alias("u"), F.col("other").alias("v")).distinct()
+    place = stays.groupBy("center_lon", "center_lat").agg(F.min("stay_id").alias("stay_id"))
+    side = math.degrees(radius_m / 2**0.5 / 1.01 / EARTH_M)
+    row = F.floor(F.col("center_lat") / F.lit(side))
+    low = F.least(F.abs(row * F.lit(side)), F.abs((row + 1) * F.lit(side)))
+    small = place.withColumns({"cy": row, "cx": F.floor(F.col("center_lon") / (F.lit(side) / F.greatest(F.cos(F.radians(low)), F.lit(1e-9))))})
+    firsts = small.groupBy("cy", "cx").agg(F.min("stay_id").alias("first"))
+    tied = small.join(firsts, ["cy", "cx"]).where("stay_id != first").select(F.col("stay_id").alias("u"), F.col("first").alias("v"))
+    at = [F.col("center_lon"), F.col("center_lat")]
+    same = stays.select(F.col("stay_id").alias("u"), *at).join(place.withColumnRenamed("stay_id", "v"), ["center_lon", "center_lat"]).where("u != v").select("u", "v")
+    # Stays of one small cell are tied already; of others one pair of two small cells is enough.
+    a = at_home(small, "center_lon", "center_lat", radius_m)
+    b = around(small.select(F.col("stay_id").alias("other"), F.col("center_lon").alias("lon2"), F.col("center_lat").alias("lat2"), F.col("cy").alias("cy2"), F.col("cx").alias("cx2")), "lon2", "lat2", radius_m)
+    near = haversine(*at, F.col("lon2"), F.col("lat2")) <= radius_m
+    apart = (F.col("cy") < F.col("cy2")) | ((F.col("cy") == F.col("cy2")) & (F.col("cx") < F.col("cx2")))
+    met = a.join(b, ["by", "bx"]).where(apart & near).groupBy("cy", "cx", "cy2", "cx2").agg(F.min(F.struct(F.col("stay_id").alias("u"), F.col("other").alias("v"))).alias("one")).select("one.*")
+    return tied.unionByName(same).unionByName(met)
+
+
+def ranked(spots: DataFrame) -> DataFrame:
+    """(spot, rank): by track_count, visit_count and total_duration_s, largest first, then by latitude and longitude.
+
+    Spots are counted by (track_count, visit_count) first; only spots alike in both meet in one task.
+    """
+    alike = ["track_count", "visit_count"]
+    sizes = spots.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"))
+    order = W.orderBy(F.desc("track_count"), F.desc("visit_count"))  # over a row for each pair of counts
+    before = sizes.select(*alike, (F.sum("n").over(order) - F.col("n")).alias("before"))
+    inner = F.row_number().over(W.partitionBy(*alike).orderBy(F.desc("total_duration_s"), "lat", "lon"))
+    return spots.withColumn("_inner", inner).join(before, alike).select("spot", (F.col("before") + F.col("_inner")).cast("int").alias("rank"))
+
+
+def resorted(found: DataFrame, by: str = "track_count") -> DataFrame:
+    """Hotspots again, largest first by track_count (as for unknown keys), visit_count or total_duration_s; ties keep their rank."""
+    key = by if by in ("track_count", "visit_count", "total_duration_s") else "track_count"
+    return found.orderBy(F.desc_nulls_last(key), "rank")
 
 
 def hotspots(stays: DataFrame, radius_m: float = RADIUS_M, min_visits: int = MIN_VISITS) -> DataFrame:
@@ -49,13 +80,13 @@ def hotspots(stays: DataFrame, radius_m: float = RADIUS_M, min_visits: int = MIN
     check_hotspot(radius_m, min_visits)
     ids = F.xxhash64("track_id", "seq_start")
     stays = materialize(stays.withColumn("stay_id", ids), "stays")
-    root = components(near_pairs(stays, radius_m))
+    root = components(links(stays, radius_m))
     tagged = stays.join(root, stays["stay_id"] == root["node"], "left").withColumn("spot", F.coalesce("root", "stay_id")).drop("node", "root")
     spots = tagged.groupBy("spot").agg(
         F.avg("center_lon").alias("lon"), F.avg("center_lat").alias("lat"), F.count(F.lit(1)).alias("visit_count"), F.countDistinct("track_id").alias("track_count"),
         F.sum(F.col("duration_s").cast("long")).alias("total_duration_s"), F.min("start_time").alias("first_visit"), F.max("end_time").alias("last_visit"), F.sort_array(F.collect_set("track_id")).alias("track_ids"),
     ).where(F.col("visit_count") >= min_visits)
     reach = tagged.join(spots, "spot").groupBy("spot").agg(F.max(haversine(F.col("lon"), F.col("lat"), F.col("center_lon"), F.col("center_lat"))).alias("radius_m"))
-    order = W.orderBy(F.desc("track_count"), F.desc("visit_count"), F.desc("total_duration_s"), "lat", "lon")
-    out = spots.join(reach, "spot").withColumn("rank", F.row_number().over(order))
+    out = materialize(spots.join(reach, "spot"), "spots")
+    out = out.join(ranked(out), "spot")
     return out.select("rank", F.col("lon").alias("center_lon"), F.col("lat").alias("center_lat"), "visit_count", "track_count", "total_duration_s", "radius_m", "first_visit", "last_visit", "track_ids")

@@ -5,37 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import degrees_for, haversine, percent
+from waymark.functions.geo import haversine, percent, utc_date
 from waymark.functions.regions import check_limit, check_tolerance
+from waymark.operators.cells import around, at_home
 
 
-def _bucketed(points: DataFrame, cell: float, lon: str, lat: str) -> DataFrame:
-    return points.withColumns({"bx": F.floor(F.col(lon) / cell), "by": F.floor(F.col(lat) / cell)})
+def near_points(points: DataFrame, baseline: int | None, tolerance_m: float, most_broadcast: int = 100_000) -> DataFrame:
+    """(a_track, a_seq, b_track, b_seq): points of two tracks within tolerance_m, at any latitude.
 
-
-def _neighbours(points: DataFrame) -> DataFrame:
-    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    return points.withColumn("bx", around("bx")).withColumn("by", around("by"))
-
-
-def near_points(points: DataFrame, baseline: int | None, tolerance_m: float, max_abs_lat: float = 60.0, most_broadcast: int = 100_000) -> DataFrame:
-    """(a_track, a_seq, b_track, b_seq): points of two tracks within tolerance_m.
-
-    With a baseline, a is that track; otherwise a_track < b_track. Buckets are at least the tolerance
-    wide at any latitude up to max_abs_lat, the baseline looks into the nine around, and the distance
-    decides. A baseline of up to most_broadcast points is broadcast.
+    With a baseline, a is that track; otherwise a_track < b_track. The baseline looks into the nine
+    cells around, and the distance decides. A baseline of up to most_broadcast points is broadcast.
     """
     check_tolerance(tolerance_m)
-    cell = degrees_for(tolerance_m, max_abs_lat)
     slim = points.select("track_id", "seq", "lon", "lat")
     side = slim.where(F.col("track_id") == baseline) if baseline is not None else slim
-    a = _neighbours(_bucketed(side.select(F.col("track_id").alias("a_track"), F.col("seq").alias("a_seq"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat")), cell, "a_lon", "a_lat"))
-    b = _bucketed(slim.select(F.col("track_id").alias("b_track"), F.col("seq").alias("b_seq"), F.col("lon").alias("b_lon"), F.col("lat").alias("b_lat")), cell, "b_lon", "b_lat")
+    a = around(side.select(F.col("track_id").alias("a_track"), F.col("seq").alias("a_seq"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat")), "a_lon", "a_lat", tolerance_m)
+    b = at_home(slim.select(F.col("track_id").alias("b_track"), F.col("seq").alias("b_seq"), F.col("lon").alias("b_lon"), F.col("lat").alias("b_lat")), "b_lon", "b_lat", tolerance_m)
     if baseline is not None and side.limit(most_broadcast + 1).count() <= most_broadcast:
         a = F.broadcast(a)
     pair = F.col("a_track") != F.col("b_track") if baseline is not None else F.col("a_track") < F.col("b_track")
     near = haversine(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat")) <= tolerance_m
-    return b.join(a, ["bx", "by"]).where(pair & near).select("a_track", "a_seq", "b_track", "b_seq")
+    return b.join(a, ["by", "bx"]).where(pair & near).select("a_track", "a_seq", "b_track", "b_seq")
 
 
 def hits(near: DataFrame) -> DataFrame:
@@ -45,22 +35,37 @@ def hits(near: DataFrame) -> DataFrame:
     return once.groupBy("a_track", "b_track").agg(F.count_if(F.col("s") == 0).alias("a_hit"), F.count_if(F.col("s") == 1).alias("b_hit"))
 
 
-def scores(points: DataFrame, baseline: int | None, tolerance_m: float = 50.0, max_abs_lat: float = 60.0) -> DataFrame:
+def scores(points: DataFrame, baseline: int | None, tolerance_m: float = 50.0) -> DataFrame:
     """(a_track, b_track, a_hit, b_hit, forward, reverse, similarity): percents to one decimal, similarity the smaller."""
-    found = hits(near_points(points, baseline, tolerance_m, max_abs_lat))
+    found = hits(near_points(points, baseline, tolerance_m))
     totals = points.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
     a, b = totals.select(F.col("track_id").alias("a_track"), F.col("n").alias("a_n")), totals.select(F.col("track_id").alias("b_track"), F.col("n").alias("b_n"))
     both = found.join(a, "a_track").join(b, "b_track").withColumns({"forward": percent(F.col("a_hit"), F.col("a_n")), "reverse": percent(F.col("b_hit"), F.col("b_n"))})
     return both.select("a_track", "b_track", "a_hit", "b_hit", "forward", "reverse", F.least("forward", "reverse").alias("similarity"))
 
 
-def most_similar(points: DataFrame, tracks: DataFrame, baseline: int, tolerance_m: float = 50.0, limit: int = 20, max_abs_lat: float = 60.0) -> DataFrame:
-    """The tracks most like a baseline, with name, source, length and days apart; tracks: track_id, name, source, start_time, distance_m."""
+def compared(found: DataFrame) -> DataFrame:
+    """One row (compared): how many tracks were compared, which is how many have a point near the baseline."""
+    return found.agg(F.count(F.lit(1)).alias("compared"))
+
+
+def at_least(found: DataFrame, least: float) -> DataFrame:
+    """Matches of at least this similarity in percent; 0 and less keep all."""
+    return found if least <= 0 else found.where(F.col("similarity") >= least)
+
+
+def most_similar(points: DataFrame, tracks: DataFrame, baseline: int, tolerance_m: float = 50.0, limit: int = 20) -> DataFrame:
+    """The tracks most like a baseline, with name, source, length and days apart; tracks: track_id, name, source, start_time, distance_m.
+
+    compared tells, in each row, how many tracks come near the baseline at all.
+    """
     check_limit(limit)
     meta = tracks.select("track_id", "name", "source", "start_time", "distance_m")
-    base = meta.where(F.col("track_id") == baseline).select(F.to_date("start_time").alias("base_day"))
-    best = scores(points, baseline, tolerance_m, max_abs_lat).orderBy(F.desc("similarity"), "b_track").limit(limit)
+    base = meta.where(F.col("track_id") == baseline).select(utc_date(F.col("start_time")).alias("base_day"))
+    found = scores(points, baseline, tolerance_m)
+    base = compared(found).join(base, how="left")  # one row
+    best = found.orderBy(F.desc("similarity"), "b_track").limit(limit)
     out = best.join(meta, best["b_track"] == meta["track_id"], "left").join(F.broadcast(base), how="left")
-    days = F.coalesce(F.abs(F.datediff(F.to_date("start_time"), "base_day")), F.lit(0))
+    days = F.coalesce(F.abs(F.datediff(utc_date(F.col("start_time")), "base_day")), F.lit(0))
     name = F.coalesce("name", F.concat(F.lit("track-"), F.col("b_track").cast("string")))
-    return out.select(F.col("b_track").alias("track_id"), name.alias("name"), "source", "distance_m", "forward", "reverse", "similarity", days.alias("days_away"))
+    return out.select(F.col("b_track").alias("track_id"), name.alias("name"), "source", "distance_m", "forward", "reverse", "similarity", days.alias("days_away"), "compared")

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from waymark.functions.geo import EARTH_M
 
 DIAMETER_M, MIN_STAY_S, MAX_GAP_S = 50.0, 300, 300
 SCHEMA = "track_id long, seq_start long, seq_end long, start_time timestamp, end_time timestamp, duration_s int, center_lon double, center_lat double, radius_m double, point_count int"
+_FOUND = SCHEMA.replace("timestamp", "long")
 
 
 def _spread(lon: np.ndarray, lat: np.ndarray, c_lon: float, c_lat: float) -> float:
@@ -21,19 +25,39 @@ def _spread(lon: np.ndarray, lat: np.ndarray, c_lon: float, c_lat: float) -> flo
     return float(2 * EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(a))).max())
 
 
-def _windows(ms: np.ndarray, lon: np.ndarray, lat: np.ndarray, diameter_m: float, min_s: int, gap_s: int) -> list[tuple[int, int, float, float, float]]:
-    out, i, n = [], 0, len(ms)
+def _far(lon: float, lat: float, c_lon: float, c_lat: float) -> float:
+    a = math.sin(math.radians(lat - c_lat) / 2) ** 2 + math.cos(math.radians(c_lat)) * math.cos(math.radians(lat)) * math.sin(math.radians(lon - c_lon) / 2) ** 2
+    return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(a)))
+
+
+def _windows(ms: np.ndarray, lon: np.ndarray, lat: np.ndarray, diameter_m: float, min_s: int) -> list[tuple[int, int, float, float, float]]:
+    """Stays (first, last, lon, lat, radius) of points without a gap among them.
+
+    The newest point's distance from the centre is a lower bound of the radius and the window's box
+    gives an upper one; all distances are taken only where the two leave the answer open.
+    """
+    x, y, out, i, n = lon.tolist(), lat.tolist(), [], 0, len(ms)
     while i < n:
-        s_lon, s_lat, end, held = lon[i], lat[i], i, (lon[i], lat[i], 0.0)
-        while end + 1 < n and (ms[end + 1] - ms[end]) // 1000 <= gap_s:
+        s_lon, s_lat, end = x[i], y[i], i
+        west = east = x[i]
+        south = north = y[i]
+        while end + 1 < n:
             # Sums run from left to right; the centre moves with each point.
-            t_lon, t_lat, count = s_lon + lon[end + 1], s_lat + lat[end + 1], end + 2 - i
-            radius = _spread(lon[i : end + 2], lat[i : end + 2], t_lon / count, t_lat / count)
-            if radius * 2 > diameter_m:
+            p, q, count = x[end + 1], y[end + 1], end + 2 - i
+            t_lon, t_lat = s_lon + p, s_lat + q
+            c_lon, c_lat = t_lon / count, t_lat / count
+            if _far(p, q, c_lon, c_lat) * 2 > diameter_m * 1.000001:
+                break
+            west, east, south, north = min(west, p), max(east, p), min(south, q), max(north, q)
+            # No place of the box is further off than its two sides together, measured where they are longest.
+            wide, high = max(east - c_lon, c_lon - west), max(north - c_lat, c_lat - south)
+            level = math.cos(math.radians(max(0.0, min(abs(south), abs(north)) if south * north > 0 else 0.0)))
+            if math.radians(math.hypot(wide * level, high)) * EARTH_M * 2 > diameter_m * 0.999 and _spread(lon[i : end + 2], lat[i : end + 2], c_lon, c_lat) * 2 > diameter_m:
                 break
-            s_lon, s_lat, end, held = t_lon, t_lat, end + 1, (t_lon / count, t_lat / count, radius)
+            s_lon, s_lat, end = t_lon, t_lat, end + 1
         if end > i and (ms[end] - ms[i]) // 1000 >= min_s:
-            out.append((i, end, *held))
+            c_lon, c_lat = s_lon / (end - i + 1), s_lat / (end - i + 1)
+            out.append((i, end, c_lon, c_lat, _spread(lon[i : end + 1], lat[i : end + 1], c_lon, c_lat)))
             i = end + 1
         else:
             i += 1
@@ -41,23 +65,53 @@ def _windows(ms: np.ndarray, lon: np.ndarray, lat: np.ndarray, diameter_m: float
 
 
 def stay_points(points: DataFrame, diameter_m: float = DIAMETER_M, min_stay_s: int = MIN_STAY_S, max_gap_s: int = MAX_GAP_S) -> DataFrame:
-    """One row a stay; a track is one group, of bounded length like any recorded track.
+    """One row a stay.
 
     From each point a window grows while gaps stay within max_gap_s and twice the distance from
     its centroid within diameter_m; if it lasts min_stay_s it is a stay and the next window begins
-    after it, else one point further on.
+    after it, else one point further on. No window crosses a longer gap, so a track falls into runs
+    without one: each is read by one task, which holds no more than a batch and the run at its end.
     """
+    columns = [c.split()[0] for c in _FOUND.split(", ")]
 
-    def detect(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("seq", kind="stable")
-        ms = track["ms"].to_numpy()
-        found = _windows(ms, track["lon"].to_numpy(), track["lat"].to_numpy(), diameter_m, min_stay_s, max_gap_s)
-        seq = track["seq"].to_numpy()
-        rows = [(track["track_id"].iat[0], seq[i], seq[j], ms[i], ms[j], (ms[j] - ms[i]) // 1000, lon, lat, r, j - i + 1) for i, j, lon, lat, r in found]
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        for c in ("start_time", "end_time"):
-            out[c] = pd.to_datetime(out[c], unit="ms", utc=True).dt.tz_localize(None)
-        return out
+    def detect(run: pd.DataFrame) -> list[tuple]:
+        ms, seq = run["ms"].to_numpy(), run["seq"].to_numpy()
+        found = _windows(ms, run["lon"].to_numpy(), run["lat"].to_numpy(), diameter_m, min_stay_s)
+        track = run["track_id"].iat[0]
+        return [(track, seq[i], seq[j], ms[i], ms[j], (ms[j] - ms[i]) // 1000, lon, lat, r, j - i + 1) for i, j, lon, lat, r in found]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the run at the end of what was read
+        for batch in chain(batches, [None]):
+            if batch is not None and not len(batch):
+                continue
+            rows: list[tuple] = []
+            runs = _runs(batch) if batch is not None else []
+            if held and (not runs or _key(held[0]) != _key(runs[0])):
+                rows += detect(pd.concat(held))
+                held = []
+            for k, run in enumerate(runs):
+                held.append(run)
+                if k + 1 < len(runs):
+                    rows += detect(pd.concat(held) if len(held) > 1 else run)
+                    held = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     slim = points.select("track_id", "seq", F.unix_millis("recorded_at").alias("ms"), "lon", "lat")
-    return slim.groupBy("track_id").applyInPandas(detect, SCHEMA)
+    along = W.partitionBy("track_id").orderBy("seq")
+    gap = F.floor((F.col("ms") - F.lag("ms").over(along)) / 1000) > max_gap_s
+    slim = slim.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("run", F.sum("gap").over(along)).drop("gap")
+    found = slim.repartition("track_id", "run").sortWithinPartitions("track_id", "run", "seq").mapInPandas(scan, _FOUND)
+    return found.select(*[F.timestamp_millis(c).alias(c) if c.endswith("_time") else c for c in columns])
+
+
+def _key(run: pd.DataFrame) -> tuple:
+    return run["track_id"].iat[0], run["run"].iat[0]
+
+
+def _runs(batch: pd.DataFrame) -> list[pd.DataFrame]:
+    """The batch cut where the track or the run changes."""
+    track, run = batch["track_id"].to_numpy(), batch["run"].to_numpy()
+    cuts = np.nonzero((track[1:] != track[:-1]) | (run[1:] != run[:-1]))[0] + 1
+    return [batch.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True)]

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder."""
+    """The session's spark.checkpoint.dir; only where it is unset on a local master, as in tests, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="waymark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -26,9 +26,13 @@ def normalize_name(raw: Column) -> Column:
     return F.when((name != "") & (F.char_length(name) <= 200), name)
 
 
+#: Fixed value: characters that file names must not hold.
+_NOT_IN_NAMES = r'[\\/:*?"<>|\s]+'
+
+
 def safe_file_name(raw: Column) -> Column:
-    name = F.regexp_replace(raw, r'[\\/:*?"<>|\s]+', "_")
-    return F.when(F.coalesce(F.trim(raw), F.lit("")) == "", "unnamed").when(name.isin(".", ".."), "unnamed").otherwise(F.substring(name, 1, 80))
+    name = F.regexp_replace(raw, _NOT_IN_NAMES, "_")
+    return F.when(F.coalesce(raw, F.lit("")).rlike(r"^\s*$"), "unnamed").when(name.isin(".", ".."), "unnamed").otherwise(F.substring(name, 1, 80))
 
 
 def export_name(stamp: Column, name: Column, points: Column) -> Column:
@@ -68,6 +72,16 @@ def import_plan(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return met.select("file", action.alias("action"), concerned.alias("track_id"))
 
 
+def import_report(result: DataFrame, most_errors: int = 5) -> dict:
+    """Counts of an import's rows (file, action) and at most most_errors of its failures, by file."""
+    counts = {r.action: r.n for r in result.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row an action
+    failed = ~F.col("action").isin("insert", "replace", "skip", "left")
+    errors = [f"{r.file}: {r.action}" for r in result.where(failed).orderBy("file").limit(most_errors).collect()]
+    done, passed = counts.get("insert", 0) + counts.get("replace", 0), counts.get("skip", 0) + counts.get("left", 0)
+    total = sum(counts.values())
+    return {"files": total, "imported": done, "skipped": passed, "failed": total - done - passed, "errors": errors}
+
+
 def without(table: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose track_id is not among ids: one side of a cascading delete."""
     return table.join(ids.select("track_id"), "track_id", "left_anti")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import crosses, inside
-from waymark.functions.regions import Region, check_limit
+from waymark.functions.geo import bounds_of, crosses, inside
+from waymark.functions.regions import Region, check_limit, check_window
 from waymark.operators.clean import along_track, track_summary
 from waymark.operators.density import in_window
 
@@ -21,7 +21,11 @@ def overlapping(tracks: DataFrame, start: str | None = None, end: str | None = N
 def crossing_tracks(points: DataFrame, region: Region) -> DataFrame:
     """(track_id): tracks with a point inside or a segment that meets an edge, touching included."""
     lag = lambda c: F.lag(c).over(along_track())
-    lines = points.select("track_id", "lon", "lat", lag("lon").alias("lon0"), lag("lat").alias("lat0"))
+    # Only tracks whose own box meets the region's are put in order.
+    west, south, east, north = bounds_of(region.rings)
+    boxes = points.groupBy("track_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("least", F.min), ("most", F.max))])
+    near = boxes.where((F.col("least_lon") <= east) & (F.col("most_lon") >= west) & (F.col("least_lat") <= north) & (F.col("most_lat") >= south))
+    lines = points.join(near.select("track_id"), "track_id", "left_semi").select("track_id", "lon", "lat", lag("lon").alias("lon0"), lag("lat").alias("lat0"))
     hit = inside(F.col("lon"), F.col("lat"), region.rings) | F.coalesce(crosses(F.col("lon0"), F.col("lat0"), F.col("lon"), F.col("lat"), region.rings), F.lit(False))
     return lines.where(hit).select("track_id").distinct()
 
@@ -34,6 +38,7 @@ def inside_counts(points: DataFrame, region: Region, start: str | None = None, e
 
 def matched(points: DataFrame, tracks: DataFrame, region: Region, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows of tracks that cross the region in the window, with inside_count."""
+    check_window(start, end)
     ids = crossing_tracks(points, region)
     counts = inside_counts(points, region, start, end)
     hit = overlapping(tracks, start, end).join(ids, "track_id", "left_semi")
@@ -45,6 +50,13 @@ def items(found: DataFrame, limit: int) -> DataFrame:
     return found.orderBy(F.desc("inside_count"), "track_id").limit(limit)
 
 
+def response(found: DataFrame, region: Region, limit: int) -> DataFrame:
+    """One row: total_hits, truncated (whether items() leaves some out), inside_points and the geometry searched, as GeoJSON."""
+    check_limit(limit)
+    total = F.count(F.lit(1))
+    return found.agg(total.alias("total_hits"), (total > limit).alias("truncated"), F.coalesce(F.sum("inside_count"), F.lit(0)).alias("inside_points")).withColumn("geometry", F.lit(region.geometry))
+
+
 def stats(found: DataFrame) -> DataFrame:
     """Totals by source and over all (source null; zeros where nothing was found): track_count, distance_m, start_time, end_time."""
     by = found.groupBy("source").agg(

@@ -104,15 +104,15 @@ def _waves(v: str, *terms: tuple[float, str]) -> str:
     return "(" + " + ".join(f"{k}::DOUBLE * sin({v} * {w})" for k, w in terms) + ") * 2.0::DOUBLE / 3.0::DOUBLE"
 
 
-def gcj() -> str:
+def gcj(sign: str = "+", source: str = f"WITH {PTS}", table: str = "pts", keys: str = "track_id, seq") -> str:
     w, s, e, n = GCJ_BOUNDS
     ripple = _waves("x", (20.0, "6 * pi()"), (20.0, "2 * pi()"))
     lat = f"-100.0::DOUBLE + 2 * x + 3 * y + 0.2::DOUBLE * y * y + 0.1::DOUBLE * x * y + 0.2::DOUBLE * sqrt(abs(x)) + {ripple} + {_waves('y', (20.0, 'pi()'), (40.0, 'pi() / 3'))} + {_waves('y', (160.0, 'pi() / 12'), (320.0, 'pi() / 30'))}"
     lon = f"300.0::DOUBLE + x + 2 * y + 0.1::DOUBLE * x * x + 0.1::DOUBLE * x * y + 0.1::DOUBLE * sqrt(abs(x)) + {ripple} + {_waves('x', (20.0, 'pi()'), (40.0, 'pi() / 3'))} + {_waves('x', (150.0, 'pi() / 12'), (300.0, 'pi() / 30'))}"
     inside = f"lon > {w} AND lon < {e} AND lat > {s} AND lat < {n}"
-    return f"""WITH {PTS}, xy AS (SELECT *, lon - 105 AS x, lat - 35 AS y, 1 - {GCJ_EE}::DOUBLE * pow(sin(radians(lat)), 2) AS m FROM pts),
+    return f"""{source}, xy AS (SELECT *, lon - 105 AS x, lat - 35 AS y, 1 - {GCJ_EE}::DOUBLE * pow(sin(radians(lat)), 2) AS m FROM {table}),
 raw2 AS (SELECT *, {lat} AS rlat, {lon} AS rlon FROM xy)
-SELECT track_id, seq, round(lon + CASE WHEN {inside} THEN rlon * 180 / ({GCJ_A}::DOUBLE / sqrt(m) * cos(radians(lat)) * pi()) ELSE 0 END, 7) AS lon, round(lat + CASE WHEN {inside} THEN rlat * 180 / (({GCJ_A}::DOUBLE * (1 - {GCJ_EE}::DOUBLE)) / (m * sqrt(m)) * pi()) ELSE 0 END, 7) AS lat FROM raw2"""
+SELECT {keys}, round(lon {sign} CASE WHEN {inside} THEN rlon * 180 / ({GCJ_A}::DOUBLE / sqrt(m) * cos(radians(lat)) * pi()) ELSE 0 END, 7) AS lon, round(lat {sign} CASE WHEN {inside} THEN rlat * 180 / (({GCJ_A}::DOUBLE * (1 - {GCJ_EE}::DOUBLE)) / (m * sqrt(m)) * pi()) ELSE 0 END, 7) AS lat FROM raw2"""
 
 
 def sample_track() -> str:
@@ -128,11 +128,26 @@ SELECT CAST(id AS BIGINT) AS seq, strftime(make_timestamp((1788823800 + id * 25)
 
 
 def names(what: str) -> str:
-    cases = " ".join("WHEN {} THEN {}".format(i, "'" + n.replace("'", "''") + "'") for i, n in enumerate(Q.NAMES)).replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '")
+    cases = " ".join("WHEN {} THEN {}".format(i, "'" + n.replace("'", "''") + "'") for i, n in enumerate(Q.NAMES)).replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '")
     raw = f"raw_n AS (SELECT track_id, CASE track_id % {len(Q.NAMES)} {cases} END AS raw FROM pts WHERE seq = 0)"
     return f"WITH {PTS}, {raw} SELECT track_id, {what} FROM raw_n"
 
 
+def _uniform(i: str, k: int) -> str:
+    return f"((({i} * 48271 + {k * 7919 + 11}) * 16807 % 2147483647) / 2147483647.0::DOUBLE)"
+
+
+RANDOM = f"""WITH r AS (SELECT range AS i FROM range(300000)),
+q AS (SELECT 116.2::DOUBLE + {_uniform("i", 1)} * 0.4::DOUBLE AS lon, 39.8::DOUBLE + {_uniform("i", 2)} * 0.3::DOUBLE AS lat, make_timestamp(CAST((1704067200 + floor({_uniform("i", 3)} * 2592000)) * 1000000 AS BIGINT)) AS ts FROM r)
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS points FROM q WHERE {hav("116.4::DOUBLE", "39.9::DOUBLE", "lon", "lat")} <= 1000 GROUP BY 1"""
+DEMO = f"""WITH r AS (SELECT range AS i, range % 14 AS t, range // 14 AS s FROM range(1680)),
+a AS (SELECT *, (t // 2) % 4 AS place, CASE WHEN s < 60 THEN s - 60 WHEN s < 90 THEN 0 ELSE s - 89 END AS away, s >= 60 AND s < 90 AS still FROM r)
+SELECT CAST(t AS BIGINT) AS track_id, CAST(s AS BIGINT) AS seq, {iso("make_timestamp(CAST((1788220800 + t * 25200 + s * 25) * 1000000 AS BIGINT))")} AS recorded_at,
+  round(116.35::DOUBLE + place * 0.02::DOUBLE + away * (0.0002::DOUBLE + t * 0.00001::DOUBLE) + CASE WHEN still THEN ({_uniform("i", 4)} - 0.5::DOUBLE) * 0.0001::DOUBLE ELSE 0 END, 6) AS lon,
+  round(39.9::DOUBLE + place * 0.015::DOUBLE + away * 0.0001::DOUBLE + CASE WHEN still THEN ({_uniform("i", 5)} - 0.5::DOUBLE) * 0.0001::DOUBLE ELSE 0 END, 6) AS lat,
+  CASE WHEN t % 3 <> 2 THEN round(40 + s / 10.0::DOUBLE, 1) END AS elevation_m FROM a"""
+
+
 def oracle_sql() -> dict[str, str]:
     p, ps = f"WITH {PTS}", f"WITH {PTS}, {STEP}"
     rec = f"WITH RECURSIVE {PTS}, {STAY}"
@@ -142,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
     half = Q.CELL / 2
     return {
         "plt_parse": f"{p} SELECT track_id, seq, lat, lon, round(CASE WHEN seq % 5 = 0 THEN NULL ELSE seq * 10 * 0.3048::DOUBLE END, 4) AS elevation_m, {iso('ts')} AS recorded_at FROM pts WHERE {plt_ok}",
-        "gpx_parse": f"{p} SELECT track_id, 'track ' || track_id AS name, seq, lat, lon, CASE WHEN seq % 5 = 0 THEN NULL ELSE seq * 2 + 0.5::DOUBLE END AS elevation_m, {iso('ts')} AS recorded_at FROM pts WHERE seq % 17 <> 3 AND seq % 11 <> 2",
+        "gpx_parse": f"{p} SELECT track_id, 'track ' || track_id AS name, seq, lat, lon, CASE WHEN seq % 5 = 0 THEN NULL ELSE seq * 2 + 0.5::DOUBLE END AS elevation_m, {iso('ts')} AS recorded_at FROM pts WHERE seq % 17 <> 3 AND seq % 11 <> 2 AND seq % 13 NOT IN (5, 6)",
         "sample_track": sample_track(),
         "content_hash": f"{p} SELECT track_id, substr(sha256('content of ' || track_id), 1, 32) AS hash FROM pts WHERE seq = 0",
         "geojson_export": f"{p} SELECT track_id, 'LineString' AS kind, 'track-' || track_id AS name, count(*) AS points, arg_min(lat, seq) AS first_lat, {iso('min(ts)')} AS first_time FROM pts GROUP BY track_id",
@@ -160,12 +175,14 @@ def oracle_sql() -> dict[str, str]:
         "track_time_overlap": f"{ps} SELECT {TRACK} FROM trk WHERE start_time <= {END} AND end_time >= {START}",
         "planar_dwithin": f"{p} SELECT track_id, seq, lon, lat FROM pts WHERE (lon - 116.3::DOUBLE) * (lon - 116.3::DOUBLE) + (lat - 39.95::DOUBLE) * (lat - 39.95::DOUBLE) <= {0.003 * 0.003!r}::DOUBLE",
         "name_normalize": names(f"CASE WHEN {name} <> '' AND length({name}) <= 200 THEN {name} END AS name"),
-        "safe_file_name": names(f"CASE WHEN trim(raw) = '' OR {safe} IN ('.', '..') THEN 'unnamed' ELSE left({safe}, 80) END AS file_name"),
+        "safe_file_name": names(f"CASE WHEN regexp_matches(raw, '^\\s*$') OR {safe} IN ('.', '..') THEN 'unnamed' ELSE left({safe}, 80) END AS file_name"),
         "similarity_forward": f"{p}, {ONE} SELECT b_track AS track_id, a_hit AS hits FROM hit",
         "similarity_reverse": f"{p}, {ONE} SELECT b_track AS track_id, b_hit AS hits FROM hit",
         "similarity_scores": f"{p}, {ONE} SELECT *, least(forward, reverse) AS similarity FROM sco",
         "similarity_all_pairs": f"{p}, {ALL} SELECT *, least(forward, reverse) AS similarity FROM sco",
-        "similarity_topk": f"{ps}, {ONE}, top AS (SELECT *, least(forward, reverse) AS similarity FROM sco ORDER BY similarity DESC, b_track LIMIT 10) SELECT b_track AS track_id, name, source, round(distance_m, 3) AS distance_m, forward, reverse, similarity, CAST(abs(date_diff('day', CAST((SELECT start_time FROM trk WHERE track_id = {Q.BASELINE}) AS DATE), CAST(start_time AS DATE))) AS INTEGER) AS days_away FROM top JOIN trk ON trk.track_id = b_track",
+        "similarity_topk": f"{ps}, {ONE}, top AS (SELECT *, least(forward, reverse) AS similarity FROM sco ORDER BY similarity DESC, b_track LIMIT 10) SELECT b_track AS track_id, name, source, round(distance_m, 3) AS distance_m, forward, reverse, similarity, CAST(abs(date_diff('day', CAST((SELECT start_time FROM trk WHERE track_id = {Q.BASELINE}) AS DATE), CAST(start_time AS DATE))) AS INTEGER) AS days_away, (SELECT count(*) FROM sco) AS compared FROM top JOIN trk ON trk.track_id = b_track",
+        "similarity_min": f"{p}, {ONE} SELECT b_track, least(forward, reverse) AS similarity FROM sco WHERE least(forward, reverse) >= 50",
+        "similarity_compared": f"{p}, {ONE} SELECT CAST({Q.BASELINE} AS BIGINT) AS track_id, count(*) AS compared FROM sco",
         "semi_join_ids": f"{ps} SELECT track_id, name FROM trk WHERE track_id IN (SELECT track_id FROM trk WHERE source = 'gpx')",
         "grid_method_diff": f"{p}, a AS (SELECT {CELL}, count(*) AS n FROM pts GROUP BY 1, 2), b AS (SELECT CAST(round_even(lon * {1 / Q.CELL!r}::DOUBLE, 0) AS INTEGER) AS nx, CAST(round_even(lat * {1 / Q.CELL!r}::DOUBLE, 0) AS INTEGER) AS ny, count(*) AS m FROM pts GROUP BY 1, 2) SELECT count(*) AS cells, count(*) FILTER (WHERE n IS DISTINCT FROM m) AS differing FROM a FULL JOIN b USING (nx, ny)",
         "delete_cascade": f"{p} SELECT track_id, count(*) AS points FROM pts WHERE track_id NOT IN (SELECT track_id FROM pts WHERE seq = 59 AND track_id % 3 = 1) GROUP BY 1",
@@ -190,11 +207,17 @@ b AS (SELECT track_id, any_value(a) AS a, max(ms) FILTER (WHERE ms <= a) AS m0,
 SELECT track_id, round(CASE WHEN m0 IS NULL THEN v1 WHEN m1 IS NULL OR m0 = m1 THEN v0 ELSE v0 + (v1 - v0) * ((a - m0) / (m1 - m0)::DOUBLE) END, 6) AS value FROM b""",
         "trip_sessions": f"{p}, g AS (SELECT *, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY track_id ORDER BY ts) > 300000 THEN 1 ELSE 0 END AS cut FROM pts), t AS (SELECT *, sum(cut) OVER (PARTITION BY track_id ORDER BY ts) AS trip FROM g) SELECT track_id, {iso('min(ts)')} AS trip_start, {iso('max(ts) + INTERVAL 300 SECOND')} AS trip_end, count(*) AS points FROM t GROUP BY track_id, trip",
         "within_items": f"{ps}, {region(Q.POLYGON)} SELECT track_id, name, inside_count FROM (SELECT * FROM mat ORDER BY inside_count DESC, track_id LIMIT 20)",
+        "within_response": f"{ps}, {region(Q.POLYGON)} SELECT count(*) AS total_hits, count(*) > 20 AS truncated, CAST(coalesce(sum(inside_count), 0) AS BIGINT) AS inside_points, '{Q.POLYGON.geometry}' AS geometry FROM mat",
+        "hotspots_resorted": f"{rec}, {spots()} SELECT rank, track_count, visit_count, total_duration_s FROM spt",
+        "random_points_near": RANDOM,
+        "demo_points": DEMO,
         "cells_except": f"{p}, c AS (SELECT {CELL}, {LOCAL} BETWEEN 7 AND 9 AS am FROM pts) SELECT *, 'morning' AS side FROM (SELECT nx, ny FROM c WHERE am EXCEPT SELECT nx, ny FROM c WHERE NOT am) UNION ALL SELECT *, 'other' AS side FROM (SELECT nx, ny FROM c WHERE NOT am EXCEPT SELECT nx, ny FROM c WHERE am)",
         "haversine": f"{p} SELECT track_id, seq, round({hav('116.3::DOUBLE', '39.95::DOUBLE', 'lon', 'lat')}, 3) AS metres FROM pts",
         "line_stats": f"{p} SELECT track_id, CAST(count(*) AS INTEGER) AS n_points, min(lat) AS min_lat, max(lat) AS max_lat, arg_min(lon, seq) AS start_lon, arg_min(lat, seq) AS start_lat, arg_max(lon, seq) AS end_lon, arg_max(lat, seq) AS end_lat FROM pts GROUP BY 1",
         "distance_three_ways": f"{p} SELECT a.track_id, round(sqrt((b.lon - a.lon) * (b.lon - a.lon) + (b.lat - a.lat) * (b.lat - a.lat)), 9) AS planar_deg, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) AS sphere_m FROM pts a JOIN pts b ON a.track_id = b.track_id AND a.seq = 0 AND b.seq = 59",
         "gcj02_shift": gcj(),
+        "gcj02_back": gcj("-"),
+        "gcj02_cells": gcj("+", f"{p}, {dens()}", "den", "points"),
         "density_ratio": f"{p}, {dens()} SELECT round(lon, 7) AS lon, round(lat, 7) AS lat, round(least(1.0::DOUBLE, ln(1 + tracks::DOUBLE) / ln(65::DOUBLE)), 6) AS ratio FROM den",
         "cell_rect": f"{p}, {dens()} SELECT round(lon - {half}::DOUBLE, 7) AS west, round(lat - {half}::DOUBLE, 7) AS south, round(lon + {half}::DOUBLE, 7) AS east, round(lat + {half}::DOUBLE, 7) AS north FROM den",
         "playback_stats": f"{p}, a AS (SELECT track_id, count(*) >= 2 AND max(ts) > min(ts) AS can_play, (epoch_ms(max(ts)) - epoch_ms(min(ts))) / 1000.0::DOUBLE AS span_s FROM pts GROUP BY 1) SELECT track_id, can_play, round(span_s, 3) AS span_s, round(CASE WHEN can_play THEN span_s / 20 ELSE 1 END, 4) AS multiplier FROM a",

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import haversine, iso, local_hour, to_gcj02
+from waymark.functions.geo import from_gcj02, haversine, iso, local_hour, shifted, to_gcj02
 from waymark.functions.regions import Bbox, Region, parse_region, rectangle
 from waymark.operators import clean, density, hotspots, similarity, stays, tracks, within
 from waymark.sources.files import content_hash, parse_gpx, parse_plt
-from waymark.sources.virtual import named, virtual_points
+from waymark.sources.virtual import demo_points, named, random_points, virtual_points
 from waymark.streaming import trips
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BOX = Bbox(116.28, 39.94, 116.68, 39.97)
 SMALL_BOX = Bbox(116.299, 39.949, 116.306, 39.957)
 CELL = 0.002
-BASELINE, TOLERANCE_M, MAX_LAT = 0, 50.0, 41.0
+BASELINE, TOLERANCE_M = 0, 50.0
 IDS = [0, 3, 5, 8]
 WINDOW = ("2024-01-05T00:00:00Z", "2024-01-12T23:59:59Z")
 RECT = parse_region(rectangle((116.2995, 39.9495), (116.3045, 39.9535)))
@@ -29,7 +29,7 @@ HOLE = parse_region({"type": "Polygon", "coordinates": [[[116.295, 39.948], [116
 MULTI = parse_region({"type": "MultiPolygon", "coordinates": [[[[116.299, 39.949], [116.301, 39.949], [116.301, 39.951], [116.299, 39.951], [116.299, 39.949]]], [[[116.3105, 39.954], [116.314, 39.954], [116.314, 39.9595], [116.3105, 39.954]]]]})
 BUFFER = parse_region({"type": "Point", "coordinates": [116.304, 39.953]}, 400.0)
 ROUTE = [(116.3974, 39.9093), (116.3948, 39.9245), (116.3880, 39.9400), (116.3900, 39.9550), (116.3920, 39.9700), (116.3900, 39.9850), (116.3880, 39.9930)]
-NAMES = ["a/b:c", "  ", ".", "..", "two  words\t\nhere", "x" * 90, 'q"<>|*?', "plain"]
+NAMES = ["a/b:c", "  ", ".", "..", "two  words\t\nhere", "x" * 90, 'q"<>|*?', "plain", "\t\n", " \r\n "]
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,16 +103,16 @@ def _within_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(baseline: int | None) -> Query:
-    return _on_points(lambda p: similarity.scores(p, baseline, TOLERANCE_M, MAX_LAT).select("a_track", "b_track", "a_hit", "b_hit", "forward", "reverse", "similarity"))
+    return _on_points(lambda p: similarity.scores(p, baseline, TOLERANCE_M).select("a_track", "b_track", "a_hit", "b_hit", "forward", "reverse", "similarity"))
 
 
 def _hits(column: str) -> Query:
-    return _on_points(lambda p: similarity.hits(similarity.near_points(p, BASELINE, TOLERANCE_M, MAX_LAT)).where(F.col(column) > 0).select(F.col("b_track").alias("track_id"), F.col(column).alias("hits")))
+    return _on_points(lambda p: similarity.hits(similarity.near_points(p, BASELINE, TOLERANCE_M)).where(F.col(column) > 0).select(F.col("b_track").alias("track_id"), F.col(column).alias("hits")))
 
 
 def _similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = virtual_points(spark, sf_dir)
-    return similarity.most_similar(p, named(clean.track_summary(p)), BASELINE, TOLERANCE_M, 10, MAX_LAT).withColumn("distance_m", F.round("distance_m", 3))
+    return similarity.most_similar(p, named(clean.track_summary(p)), BASELINE, TOLERANCE_M, 10).withColumn("distance_m", F.round("distance_m", 3))
 
 
 def _grid_pair(p: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +151,7 @@ def _plt_files(p: DataFrame) -> DataFrame:
     micro = lambda c: F.round(F.col(c) * 1e6).cast("long")
     lat = F.when(F.col("seq") % 17 == 3, "95.5").when(F.col("seq") % 19 == 4, "n/a").otherwise(_text6(micro("lat")))
     feet = F.when(F.col("seq") % 5 == 0, "?").otherwise((F.col("seq") * 10).cast("string"))
-    row = F.concat_ws(",", lat, _text6(micro("lon")), F.lit("0"), feet, F.lit("39744.1"), F.date_format("recorded_at", "yyyy-MM-dd"), F.date_format("recorded_at", "HH:mm:ss"))
+    row = F.concat_ws(",", lat, _text6(micro("lon")), F.lit("0"), feet, F.lit("39744.1"), F.substring(iso(F.col("recorded_at")), 1, 10), F.substring(iso(F.col("recorded_at")), 12, 8))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))), lambda x: x["row"])
     head = F.array(*[F.lit(h) for h in ("Geolife trajectory", "WGS 84", "Altitude is in Feet", "Reserved 3", "0,2,255,My Track,0,0,2,8421376", "0")])
     return p.groupBy("track_id").agg(F.array_join(F.concat(head, rows), "\r\n").alias("value")).withColumn("file", F.col("track_id").cast("string"))
@@ -165,12 +165,15 @@ def _plt_parse(p: DataFrame) -> DataFrame:
 def _gpx_files(p: DataFrame) -> DataFrame:
     micro = lambda c: F.round(F.col(c) * 1e6).cast("long")
     ele = F.when(F.col("seq") % 5 == 0, "").otherwise(F.concat(F.lit("<ele>"), (F.col("seq") * 2).cast("string"), F.lit(".5</ele>")))
-    time = F.when(F.col("seq") % 11 == 2, "").otherwise(F.concat(F.lit("<time>"), iso(F.col("recorded_at")), F.lit("</time>")))
+    zone = F.when(F.col("seq") % 13 == 5, F.substring(iso(F.col("recorded_at")), 1, 19)).when(F.col("seq") % 13 == 6, F.substring(iso(F.col("recorded_at")), 1, 10)).otherwise(iso(F.col("recorded_at")))
+    time = F.when(F.col("seq") % 11 == 2, "").otherwise(F.concat(F.lit("<time>"), zone, F.lit("</time>")))
     lat = F.when(F.col("seq") % 17 == 3, "95.5").otherwise(_text6(micro("lat")))
     row = F.concat(F.lit('<trkpt lat="'), lat, F.lit('" lon="'), _text6(micro("lon")), F.lit('">'), ele, time, F.lit("</trkpt>"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))), lambda x: x["row"]), "")
     head = F.concat(F.lit('<?xml version="1.0"?><gpx version="1.0" xmlns="http://www.topografix.com/GPX/1/0"><trk><name>track '), F.col("track_id").cast("string"), F.lit("</name><trkseg>"))
-    return p.groupBy("track_id").agg(rows.alias("rows")).select(F.col("track_id").cast("string").alias("file"), F.concat(head, "rows", F.lit("</trkseg></trk></gpx>")).alias("value"))
+    # Some files have segments without points, and tracks without segments.
+    tail = F.when(F.col("track_id") % 3 == 1, "</trkseg><trkseg></trkseg><trkseg/></trk><trk><name>no segment</name></trk><trk/></gpx>").otherwise("</trkseg></trk></gpx>")
+    return p.groupBy("track_id").agg(rows.alias("rows")).select(F.col("track_id").cast("string").alias("file"), F.concat(head, "rows", tail).alias("value"))
 
 
 def _gpx_parse(p: DataFrame) -> DataFrame:
@@ -243,6 +246,40 @@ def _gcj02(p: DataFrame) -> DataFrame:
     return p.select("track_id", "seq", _degrees(lon, "lon"), _degrees(lat, "lat"))
 
 
+def _gcj02_back(p: DataFrame) -> DataFrame:
+    lon, lat = from_gcj02(F.col("lon"), F.col("lat"))
+    return p.select("track_id", "seq", _degrees(lon, "lon"), _degrees(lat, "lat"))
+
+
+def _similarity_min(p: DataFrame) -> DataFrame:
+    return similarity.at_least(similarity.scores(p, BASELINE, TOLERANCE_M), 50.0).select("b_track", "similarity")
+
+
+def _similarity_compared(p: DataFrame) -> DataFrame:
+    return similarity.compared(similarity.scores(p, BASELINE, TOLERANCE_M)).select(F.lit(BASELINE).cast("long").alias("track_id"), "compared")
+
+
+def _within_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = virtual_points(spark, sf_dir)
+    return within.response(within.matched(p, named(clean.track_summary(p)), POLYGON), POLYGON, 20)
+
+
+def _hotspots_resorted(p: DataFrame) -> DataFrame:
+    found = hotspots.resorted(hotspots.hotspots(_stays(p)), "total_duration_s")
+    return found.select("rank", "track_count", "visit_count", "total_duration_s")
+
+
+def _random_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 300,000 random points, those within 1 km of a place, by day."""
+    p = random_points(spark)
+    near = p.where(haversine(F.lit(116.4), F.lit(39.9), F.col("lon"), F.col("lat")) <= 1000.0)
+    return near.groupBy(F.substring(iso(F.col("recorded_at")), 1, 10).alias("day")).agg(F.count(F.lit(1)).alias("points"))
+
+
+def _demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _point(demo_points(spark)).select("track_id", "seq", "recorded_at", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "elevation_m")
+
+
 def _cell_rect(p: DataFrame) -> DataFrame:
     half, lon, lat = F.lit(CELL / 2), F.col("lon"), F.col("lat")
     return density.density(p, BOX, CELL).select(_degrees(lon - half, "west"), _degrees(lat - half, "south"), _degrees(lon + half, "east"), _degrees(lat + half, "north"))
@@ -254,6 +291,8 @@ def queries() -> dict[str, Query]:
         "plt_parse": _on_points(_plt_parse),
         "gpx_parse": _on_points(_gpx_parse),
         "sample_track": _sample_track,
+        "random_points_near": _random_near,
+        "demo_points": _demo,
         "content_hash": _on_points(lambda p: p.where("seq = 0").select("track_id", content_hash(F.concat(F.lit("content of "), F.col("track_id").cast("string"))).alias("hash"))),
         "geojson_export": _on_points(lambda p: tracks.geojson(p, named(clean.track_summary(p))).select("track_id", F.get_json_object("geojson", "$.features[0].geometry.type").alias("kind"), F.get_json_object("geojson", "$.features[0].properties.name").alias("name"), F.get_json_object("geojson", "$.features[0].properties.pointCount").cast("long").alias("points"), F.get_json_object("geojson", "$.features[0].geometry.coordinates[0][1]").cast("double").alias("first_lat"), F.get_json_object("geojson", "$.features[0].properties.times[0]").alias("first_time"))),
         "track_list": _on_tracks(lambda t: _shown(tracks.list_tracks(t, limit=50))),
@@ -278,6 +317,8 @@ def queries() -> dict[str, Query]:
         "similarity_scores": _scores(BASELINE),
         "similarity_all_pairs": _scores(None),
         "similarity_topk": _similarity_topk,
+        "similarity_min": _on_points(_similarity_min),
+        "similarity_compared": _on_points(_similarity_compared),
         "semi_join_ids": _on_tracks(lambda t: t.join(t.where("source = 'gpx'").select("track_id"), "track_id", "left_semi").select("track_id", "name")),
         "grid_method_diff": _on_points(_grid_method_diff),
         "delete_cascade": _on_points(lambda p: tracks.without(p, p.where("seq = 59 and track_id % 3 = 1")).groupBy("track_id").agg(F.count(F.lit(1)).alias("points"))),
@@ -303,12 +344,16 @@ def queries() -> dict[str, Query]:
         "trip_sessions": _on_points(lambda p: trips.trips(p).select("track_id", iso(F.col("trip_start")).alias("trip_start"), iso(F.col("trip_end")).alias("trip_end"), "points")),
         # Sorting and sets
         "within_items": _within_items,
+        "within_response": _within_response,
+        "hotspots_resorted": _on_points(_hotspots_resorted),
         "cells_except": _on_points(_cells_except),
         # Scalar functions
         "haversine": _on_points(lambda p: p.select("track_id", "seq", F.round(haversine(F.lit(116.3), F.lit(39.95), F.col("lon"), F.col("lat")), 3).alias("metres"))),
         "line_stats": _on_points(_line_stats),
         "distance_three_ways": _on_points(_distance_ways),
         "gcj02_shift": _on_points(_gcj02),
+        "gcj02_back": _on_points(_gcj02_back),
+        "gcj02_cells": _on_points(lambda p: shifted(density.density(p, BOX, CELL)).select(_degrees(F.col("lon"), "lon"), _degrees(F.col("lat"), "lat"), "points")),
         "density_ratio": _on_points(lambda p: density.density(p, BOX, CELL).select(_degrees(F.col("lon"), "lon"), _degrees(F.col("lat"), "lat"), F.round(F.least(F.lit(1.0), F.log1p(F.col("value").cast("double")) / F.log1p(F.lit(64.0))), 6).alias("ratio"))),
         "cell_rect": _on_points(_cell_rect),
         "playback_stats": _on_points(_playback),

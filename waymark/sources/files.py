@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 HEAD_BYTES, SCAN_LINES, FEET_M = 4096, 50, 0.3048
 _NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+#: ISO times of a known offset; others name no instant.
+_OFFSET_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2}(:\d{2})?)$"
 _GPX = "trk array<struct<name:string,trkseg:array<struct<trkpt:array<struct<_lat:string,_lon:string,ele:string,time:string>>>>>>"
 
 
@@ -34,12 +36,12 @@ def _on_earth(lat: Column, lon: Column) -> Column:
 
 
 def parse_plt(files: DataFrame) -> DataFrame:
-    """(file, value) texts to file, line, lat, lon, elevation_m, recorded_at; unreadable rows are left out."""
+    """(file, value) texts to file, line, lat, lon, elevation_m, recorded_at; unreadable rows are left out. Times are in UTC."""
     rows = files.select("file", F.posexplode(F.split("value", r"\R")).alias("line", "row")).withColumn("f", F.split("row", ","))
     at = lambda i: F.trim(F.try_element_at("f", F.lit(i)))
     parsed = rows.where(F.size("f") >= 7).select(
         "file", "line", at(1).try_cast("double").alias("lat"), at(2).try_cast("double").alias("lon"), (at(4).try_cast("double") * FEET_M).alias("elevation_m"),
-        F.try_to_timestamp(F.concat_ws(" ", at(6), at(7)), F.lit("yyyy-MM-dd HH:mm:ss")).alias("recorded_at"),
+        F.try_to_timestamp(F.concat(at(6), F.lit(" "), at(7), F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX")).alias("recorded_at"),
     )
     return parsed.where(F.col("recorded_at").isNotNull() & _on_earth(F.col("lat"), F.col("lon")))
 
@@ -47,17 +49,20 @@ def parse_plt(files: DataFrame) -> DataFrame:
 def parse_gpx(files: DataFrame) -> DataFrame:
     """(file, value) documents to file, line, lat, lon, elevation_m, recorded_at, name.
 
-    Points without a place or a time are left out; name is the first that is not blank.
+    Points without a place, or without a time with its offset, are left out; name is the first that is not blank.
     """
     trk = F.from_xml("value", _GPX, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})["trk"]
     docs = files.select("file", trk.alias("trk"))
     name = F.element_at(F.filter(F.transform("trk", lambda t: F.trim(t["name"])), lambda n: n != ""), 1)
-    segments = F.flatten(F.transform("trk", lambda t: F.flatten(F.transform(t["trkseg"], lambda s: s["trkpt"]))))
+    # A track without segments and a segment without points are null; one null would make all of flatten() null.
+    some = lambda lists: F.flatten(F.filter(lists, lambda x: x.isNotNull()))
+    segments = some(F.transform("trk", lambda t: some(F.transform(t["trkseg"], lambda s: s["trkpt"]))))
     name = F.when(F.exists("trk", lambda t: F.trim(t["name"]) != ""), name)
     rows = docs.select("file", name.alias("name"), F.posexplode(segments).alias("line", "p"))
+    when = F.regexp_replace(F.upper(F.trim("p.time")), r"T(\d{2}:\d{2})(Z|[+-])", "T$1:00$2")  # seconds may be left out
     parsed = rows.select(
         "file", "line", F.col("p._lat").try_cast("double").alias("lat"), F.col("p._lon").try_cast("double").alias("lon"),
-        F.col("p.ele").try_cast("double").alias("elevation_m"), F.trim("p.time").try_cast("timestamp").alias("recorded_at"), "name",
+        F.col("p.ele").try_cast("double").alias("elevation_m"), F.when(when.rlike(_OFFSET_TIME), when.try_cast("timestamp")).alias("recorded_at"), "name",
     )
     return parsed.where(F.col("recorded_at").isNotNull() & _on_earth(F.col("lat"), F.col("lon")))
 

@@ -31,3 +31,37 @@ def named(tracks: DataFrame) -> DataFrame:
     """Add name, source and external_id to rows with track_id."""
     external = F.substring(F.sha2(F.concat(F.lit("track-"), F.col("track_id").cast("string")), 256), 1, 32)
     return tracks.withColumns({"name": F.concat(F.lit("track-"), F.col("track_id").cast("string")), "source": source_of(F.col("track_id")), "external_id": external})
+
+
+def _uniform(i: Column, k: int) -> Column:
+    """Numbers from 0 to under 1 that follow from i and k alone, so that any engine draws the same."""
+    return ((i * 48271 + k * 7919 + 11) * 16807 % 2147483647).cast("double") / F.lit(2147483647.0)
+
+
+def random_points(spark: SparkSession, rows: int = 300_000) -> DataFrame:
+    """point_id, recorded_at, lon, lat: points all over a box of 0.4 by 0.3 degrees and over thirty days."""
+    i = F.col("id")
+    return spark.range(rows).select(
+        i.alias("point_id"), F.timestamp_seconds(F.lit(1704067200) + F.floor(_uniform(i, 3) * 30 * 86400)).alias("recorded_at"),
+        (F.lit(116.2) + _uniform(i, 1) * 0.4).alias("lon"), (F.lit(39.8) + _uniform(i, 2) * 0.3).alias("lat"),
+    )
+
+
+def demo_points(spark: SparkSession, tracks: int = 14, steps: int = 120) -> DataFrame:
+    """track_id, seq, recorded_at, lon, lat, elevation_m of demo tracks from a fixed seed.
+
+    A track walks in a straight line of its own, stays near one of four shared places for the third
+    quarter of its points (ten minutes and more, within ten metres), and walks on; every third track
+    has no elevation. Two tracks in turn take the same place, so that hotspots and likenesses show.
+    """
+    t, s = F.col("id") % tracks, F.floor(F.col("id") / tracks)
+    place = F.floor(t / 2) % 4
+    lon0, lat0 = F.lit(116.35) + place * 0.02, F.lit(39.9) + place * 0.015
+    still = (s >= steps // 2) & (s < steps * 3 // 4)
+    away = F.when(s < steps // 2, s - steps // 2).when(still, 0).otherwise(s - steps * 3 // 4 + 1)
+    jitter = lambda k: F.when(still, (_uniform(F.col("id"), k) - 0.5) * 0.0001).otherwise(0.0)
+    return spark.range(tracks * steps).select(
+        t.alias("track_id"), s.cast("long").alias("seq"), F.timestamp_seconds(F.lit(1788220800) + t * 3600 * 7 + s * 25).alias("recorded_at"),
+        (lon0 + away * (F.lit(0.0002) + t * 0.00001) + jitter(4)).alias("lon"), (lat0 + away * 0.0001 + jitter(5)).alias("lat"),
+        F.when(t % 3 != 2, F.round(40 + s / F.lit(10.0), 1)).alias("elevation_m"),
+    )
