@@ -1,6 +1,8 @@
 """Operators on small tables whose results are known."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +184,55 @@ def test_names(spark):
     got = rows.select(tracks.normalize_name(F.col("raw")).alias("n"), tracks.safe_file_name(F.col("raw")).alias("f")).collect()
     assert [r.n for r in got] == ["a b", None, None, "..", "a/b", None]
     assert [r.f for r in got][1:5] == ["unnamed", "unnamed", "unnamed", "a_b"] and len(got[5].f) == 80
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from waymark.operators.storage import materialize, scratch, shared_dir
+
+    folder = f"{shared_dir(spark)}/waymark".removeprefix("file:")
+    outer = materialize(spark.range(3), "outer-kept")
+    before = set(os.listdir(folder))
+    with pytest.raises(KeyError), scratch(spark):
+        assert materialize(spark.range(5), "inner").count() == 5 and set(os.listdir(folder)) > before
+        raise KeyError
+    assert set(os.listdir(folder)) == before and outer.count() == 3
+
+
+def test_links_connect_what_near_pairs_connect(spark):
+    rng = random.Random(3)
+    spots = [(0.0, 0.0), (116.3, 39.9), (10.0, 80.0), (-70.0, -65.0)]
+    rows = [(i, lon + rng.gauss(0, 0.003) / max(0.2, math.cos(math.radians(lat))), lat + rng.gauss(0, 0.003)) for i, (lon, lat) in enumerate(rng.choice(spots) for _ in range(400))]
+    rows += [(1000 + i, 5.0, 5.0) for i in range(20)]
+    stays_ = spark.createDataFrame(rows, "stay_id long, center_lon double, center_lat double")
+    from waymark.operators.graph import components
+
+    root = lambda edges: {r.node: r.root for r in components(edges).collect()}
+    assert root(hotspots.links(stays_, 200.0)) == root(hotspots.near_pairs(stays_, 200.0))
+    assert hotspots.links(stays_, 200.0).count() < hotspots.near_pairs(stays_, 200.0).count()
+
+
+def test_similarity_at_high_latitudes(spark):
+    rows = [(t, s, T0, 20.0 + 0.0001 * s, lat + t * 0.0004, None) for lat in (80.0,) for t in range(2) for s in range(5)]
+    p = spark.createDataFrame(rows, POINTS)
+    assert similarity.scores(p, None, 50.0).first().similarity == 100.0
+
+
+def test_datum_shift_and_wkt():
+    from waymark.functions import geo, regions
+
+    lon, lat = geo.shift_place(116.4, 39.9)
+    assert abs(lon - 116.406245) < 1e-4 and abs(lat - 39.901403) < 1e-4 and geo.shift_place(10.0, 50.0) == (10.0, 50.0)
+    back = geo.shift_place(lon, lat, False)
+    assert abs(back[0] - 116.4) < 1e-4 and abs(back[1] - 39.9) < 1e-4
+    shape = {"type": "Polygon", "coordinates": [[[116.0, 39.0], [117.0, 39.0], [117.0, 40.0], [116.0, 39.0]]]}
+    moved = geo.shift_geometry(shape)
+    assert moved["coordinates"][0][0] == list(geo.shift_place(116.0, 39.0)) and geo.shift_geometry({"type": "Point", "coordinates": [1, 2]})["coordinates"] == [1, 2]
+    assert geo.shift_geometry({"type": "MultiPolygon", "coordinates": [shape["coordinates"]]})["coordinates"][0] == moved["coordinates"]
+    box = regions.shift_box(regions.Bbox(116.0, 39.0, 117.0, 40.0), False)
+    d = geo.gcj02_offset_at(116.5, 39.5)
+    assert box.west == 116.0 - d[0] and box.north == 40.0 - d[1]
+    assert [regions.plain(v) for v in (1e-5, 100.0, -0.0, 1e16, 116.25)] == ["0.00001", "100", "0", "10000000000000000", "116.25"]
+    assert regions.wkt(shape) == "POLYGON((116 39,117 39,117 40,116 39))" and regions.wkt({"type": "Point", "coordinates": [1e-7, 2]}) == "POINT(0.0000001 2)"
+    assert regions.wkt({"type": "MultiPolygon", "coordinates": [shape["coordinates"]]}) == "MULTIPOLYGON(((116 39,117 39,117 40,116 39)))"
