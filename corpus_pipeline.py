@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm import decontaminate, language_id, mixing, sharding, simhash_dedup
-from waymark.llm.common import shared_dir
+from waymark.llm.common import scratch, shared_dir
 from waymark.llm.queries import WEIGHTS, domain_labels, table
 
 
@@ -50,7 +50,7 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: SQL cannot express these stages; tests/llm compares them with brute force.
+#: SQL cannot express these stages; tests/llm tests them one by one.
 ORACLE_SQL = None
 
 
@@ -59,6 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/waymark/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
     return docs
