@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-#: Words for word shingles: runs of letters, marks and digits of the lower-cased text.
-NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
-
+from waymark.operators.graph import components
+from waymark.operators.storage import materialize, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+__all__ = ["components", "global_rank", "heavy_join", "hinted", "materialize", "scratch", "shared_dir", "shingle_hashes", "small_enough", "words"]
 
-    Only where that is unset (a single machine, tests) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="waymark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and no executor's loss undoes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words for word shingles: runs of letters, marks and digits of the lower-cased text.
+NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def words(text: Column) -> Column:
@@ -77,8 +60,6 @@ def global_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str,
     orders each bucket, and the buckets' offsets, one small row a bucket, join back. No task ever
     sorts a whole key.
     """
-    from pyspark.sql import Window as W
-
     buckets = max(least_buckets, -(-df.count() // rows_per_bucket))
     cut = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
@@ -89,38 +70,3 @@ def global_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str,
     on = [ranked[k].eqNullSafe(offsets[k]) for k in [*keys, "_bucket"]]
     joined = ranked.join(offsets, on, "left")
     return joined.select(*[ranked[c] for c in df.columns], (ranked["_inner"] + offsets["_before"]).cast("long").alias(rank))
-
-
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """Connected components of edges (u long, v long): rows (node, root), root the smallest node reached.
-
-    Alternating large-star and small-star steps; each round's edges go to the shared folder. The
-    rounds end when the edge set no longer changes, after about log(nodes) of them.
-    """
-
-    def stamp(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    def distinct(e: DataFrame) -> DataFrame:
-        return e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    now = materialize(distinct(edges.select("u", "v")), "edges")
-    mark = stamp(now)
-    for _ in range(most_rounds):
-        if mark[0] == 0:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = distinct(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(low, "u")
-        small = met.select("u", F.col("m").alias("v")).unionByName(met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = materialize(distinct(small), "edges")
-        was, mark = mark, stamp(now)
-        if was == mark:
-            break
-    else:
-        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

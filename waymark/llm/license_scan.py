@@ -2,8 +2,10 @@
 
 Templates are license notices and headers. For each length of template, documents are read in
 overlapping windows of that many words, one every eighth of a window (every word where that is
-less). A window without a shingle of any template has similarity 0 with all of them and is passed
-over before hashing. The others get a MinHash signature of BANDS one-row bands. The window nearest
+less). Each gets a MinHash signature of BANDS one-row bands. A band of a window equals that of a
+template only if one shingle is the least of both, so a window without a shingle of any template
+matches no band: such windows are passed over before hashing, which changes nothing of what the bands
+retrieve. The window nearest
 to a notice is off by a sixteenth at most; where 0.8 of the template is there its Jaccard similarity
 J is over 0.5, and it misses every band with probability (1 - J) ** BANDS, under one in four
 thousand. Windows and templates that share a band meet; exact containment of the template's
