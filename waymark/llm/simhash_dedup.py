@@ -121,15 +121,16 @@ def _row_hash(docs: DataFrame) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one row left of each near-duplicate group: that with the smallest id.
 
-    Null ids come after others; ties go to the smallest row hash. All columns return as they were.
+    Null ids come after others; ties go to the smallest row hash, and of rows alike in every column one
+    is left. All columns return as they were.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     printed = docs.select(whole.alias("row"), F.col(id_col).alias("id"), _row_hash(docs).alias("hash"), fingerprint(F.col(text_col)).alias("fp"))
-    printed = materialize(printed, "printed")
-    prints = materialize(printed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("rank")), "prints")
+    # The number is written with its row, so it names one row for good; rows alike in every column differ by it.
+    printed = materialize(printed.withColumn("number", F.monotonically_increasing_id()), "printed")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "number")
+    prints = materialize(printed.groupBy("fp").agg(F.min(rank).alias("rank")), "prints")
     classed = prints.join(print_classes(prints.select("fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = classed.groupBy("root").agg(F.min(F.struct("rank", "fp")).alias("best"))
-    best = best.select("best.fp", "best.rank.hash", F.col("best.rank.id").alias("its_id"))
-    # The hash is the row's own, so copies spread over all tasks; rows alike in every column count once.
-    kept = printed.join(best, ["fp", "hash"]).where(F.col("id").eqNullSafe(F.col("its_id")))
-    return kept.dropDuplicates(["fp", "hash"]).select("row.*")
+    best = classed.groupBy("root").agg(F.min("rank").alias("best")).select("best.number")
+    # Whole rows are shuffled once, by a key that no two of them share, so copies spread over all tasks.
+    return printed.join(best, "number", "left_semi").select("row.*")
