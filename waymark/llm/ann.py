@@ -11,13 +11,15 @@ rows, then within all that a task has reranked so far. A task reranks, on the or
 double precision, exactly those rows whose upper bound reaches the bar; the best K of all tasks are
 the answer. The sample sets only where the bar begins: every row is coded, estimated and bounded.
 
-Queries are a stated set and meet all rows in blocks: a task holds one block of queries and one of
-rows, so work grows with rows times queries and nothing else.
+Queries are a stated set and meet all rows in blocks: each block of queries is sent to the tasks that
+read the coded rows, which are written once and neither copied nor shuffled for it. A task holds one
+block of queries, a batch of rows and K results a query; work grows with rows times queries and nothing else.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows
 without an id, take no part, and neither do vectors of another length than the commonest (of equally
-common ones, the smallest); ties go to the smaller id; rows with one id and different vectors are
-candidates each; an empty table gives no rows; extra columns are ignored.
+common ones, the smallest); ties go to the smaller id; rows that repeat are candidates
+as often as they come; queries that repeat id and vector ask once, those of one id and different vectors
+each on its own (told apart by ``query``), and none has rows of its own id as candidates; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from waymark.llm.common import materialize, query_blocks
+
 K = 20
 BITS = 256
 SEED = 20240601
@@ -37,12 +41,14 @@ SEED = 20240601
 EPSILON = 3.2
 #: Bit planes of a rounded query.
 PLANES = 4
-QUERY_BLOCK, ROW_BLOCK = 4096, 8192
+#: Queries sent to tasks at once, and rows of a task (fewer where all cores would else not be used).
+QUERY_BLOCK, ROW_BLOCK = 4096, 65_536
 #: Rows, chosen by a hash, from which the first bars come (a bound that the task allows).
 SAMPLE_ROWS = 16_384
 #: Queries and rows that are estimated at a time.
 _TILE = (64, 2048)
 _SLACK = 1e-9
+_FOUND = "query long, query_id long, vec_id long, score double, n_reranked long"
 
 
 def frame(dimensions: int, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -121,47 +127,50 @@ def _vectors(column: pd.Series) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float64) for b in column])
 
 
-def best_of_block(near: pd.DataFrame, far: pd.DataFrame, rotation: np.ndarray, k: int) -> pd.DataFrame:
-    """The best k rows of far for each query of near (id, v, bar), with the number of rows reranked."""
-    out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0), "n_reranked": np.empty(0, np.int64)})]
-    if not len(near) or not len(far):
-        return out[0]
-    wanted, query_ids, bars = _vectors(near["v"]), near["id"].to_numpy(), near["bar"].to_numpy().astype(np.float64)
-    vectors, ids = _vectors(far["v"]), far["id"].to_numpy()
-    codes = np.stack([np.frombuffer(c, np.uint64) for c in far["code"]])
-    lengths, cosines, set_bits = far["length"].to_numpy(), far["cosine"].to_numpy(), np.bitwise_count(codes).sum(1)
-    rounded = Rounded(wanted, rotation)
-    for at in range(0, len(near), _TILE[0]):
-        part = slice(at, min(len(near), at + _TILE[0]))
-        bar, asked, asked_ids = bars[part].copy(), wanted[part], query_ids[part]
-        q, r, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        reranked = np.zeros(len(asked), np.int64)
-        for lo in range(0, len(far), _TILE[1]):
-            tile = slice(lo, lo + _TILE[1])
-            guess, error = rounded.estimate(codes[tile], set_bits[tile], lengths[tile], cosines[tile], part)
-            guess += error
-            i, j = np.nonzero(guess >= bar.astype(np.float32)[:, None] - np.float32(1e-6) * rounded.size[part].astype(np.float32)[:, None])
-            j += lo
-            other = asked_ids[i] != ids[j]
-            i, j = i[other], j[other]
-            reranked += np.bincount(i, minlength=len(asked))
-            q, r, scores = np.concatenate((q, i)), np.concatenate((r, j)), np.concatenate((scores, np.einsum("ij,ij->i", asked[i], vectors[j])))
-            # What lies under the k-th best of a query is out, and the bar rises to it.
-            order = np.lexsort((-scores, q))
-            q, r, scores = q[order], r[order], scores[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            full = np.nonzero(place == k - 1)[0]
-            bar[q[full]] = np.maximum(bar[q[full]], scores[full] - _SLACK * np.abs(scores[full]))
-            keep = scores >= bar[q]
-            q, r, scores = q[keep], r[keep], scores[keep]
-        found = pd.DataFrame({"q": q, "query_id": asked_ids[q], "vec_id": ids[r], "score": inner(asked[q], vectors[r]), "n_reranked": reranked[q]})
-        found = found.sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
-        out.append(found[found.groupby("q").cumcount() < k].drop(columns="q"))
-    return pd.concat(out)
+class Best:
+    """The k best rows so far for each query of a block (arrays ids, vectors and bars), and how many rows each had reranked."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bars: np.ndarray, rotation: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.bars, self.k = ids, vectors, bars.astype(np.float64), k
+        self.rounded = Rounded(vectors, rotation)
+        self.reranked = np.zeros(len(ids), np.int64)
+        self.q, self.found, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, lengths: np.ndarray, cosines: np.ndarray) -> None:
+        """Estimate all rows for all queries, rerank those whose upper bound reaches the bar, and raise the bars."""
+        set_bits = np.bitwise_count(codes).sum(1)
+        out = [(self.q, self.found, self.scores)]
+        for at in range(0, len(self.ids), _TILE[0]):
+            part = slice(at, min(len(self.ids), at + _TILE[0]))
+            bar, asked, size = self.bars[part], self.vectors[part], self.rounded.size[part].astype(np.float32)
+            for lo in range(0, len(ids), _TILE[1]):
+                tile = slice(lo, lo + _TILE[1])
+                guess, error = self.rounded.estimate(codes[tile], set_bits[tile], lengths[tile], cosines[tile], part)
+                guess += error
+                i, j = np.nonzero(guess >= bar.astype(np.float32)[:, None] - np.float32(1e-6) * size[:, None])
+                j += lo
+                other = self.ids[part][i] != ids[j]
+                i, j = i[other], j[other]
+                self.reranked[part] += np.bincount(i, minlength=len(asked))
+                scores = inner(asked[i], vectors[j])
+                keep = scores >= bar[i]
+                i, j, scores = i[keep], j[keep], scores[keep]
+                out.append((i + at, ids[j], scores))
+                # What k rows of this tile reach, the bar rises to.
+                order = np.lexsort((-scores, i))
+                place = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+                full = order[place == self.k - 1]
+                bar[i[full]] = np.maximum(bar[i[full]], scores[full] - _SLACK * np.abs(scores[full]))
+        q, found, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((found, -scores, q))
+        order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < self.k]
+        self.q, self.found, self.scores = q[order], found[order], scores[order]
+        last = np.nonzero(np.arange(len(self.q)) - np.searchsorted(self.q, self.q) == self.k - 1)[0]
+        self.bars[self.q[last]] = np.maximum(self.bars[self.q[last]], self.scores[last] - _SLACK * np.abs(self.scores[last]))
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Per query and rank: query_id, rank (from 1), vec_id, score, n_reranked (of the row's block)."""
+    """Per query and rank: query_id, rank (from 1), vec_id, score, n_reranked (by the row's task), query (a number of its own for each id and vector)."""
     spark = rows.sparkSession
 
     def sound(df: DataFrame) -> DataFrame:
@@ -171,10 +180,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
     base = sound(rows)
     shape = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if shape is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, n_reranked long")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, n_reranked long, query long")
     base, asked = base.where(F.size("v") == shape.d), sound(queries).where(F.size("v") == shape.d)
     rotation = frame(shape.d)
-    row_blocks, query_blocks = -(-shape.n // ROW_BLOCK), max(1, -(-asked.count() // QUERY_BLOCK))
 
     # About SAMPLE_ROWS rows by a hash of their ids; the limit bounds what ids that repeat could add.
     share = int(min(1.0, SAMPLE_ROWS / shape.n) * 1_000_000)
@@ -208,17 +216,25 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
                     bar -= 1e-5 * np.linalg.norm(vectors, axis=1) * np.linalg.norm(its_vectors, axis=1).max()  # what single precision may be off
                 yield pd.DataFrame({"id": own, "v": bytes_of(vectors), "bar": bar})
 
-    blocked = base.mapInPandas(coded, "id long, v binary, code binary, length double, cosine double")
-    blocked = blocked.withColumn("row_block", F.pmod(F.xxhash64("id", "code"), F.lit(row_blocks)))
-    blocked = blocked.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    met = asked.mapInPandas(barred, "id long, v binary, bar double").withColumn("query_block", F.pmod(F.xxhash64("id", "v"), F.lit(query_blocks)).cast("int"))
-    met = met.withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
-
-    def block(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
-        return best_of_block(near, far, sent.value[0], k)
-
-    keys = ["query_block", "row_block"]
-    best = met.groupBy(*keys).cogroup(blocked.groupBy(*keys)).applyInPandas(block, "query_id long, vec_id long, score double, n_reranked long")
+    # Codes are written once, dealt round robin so that equal rows spread too; each block of queries reads them where they lie.
+    parts = max(spark.sparkContext.defaultParallelism, -(-shape.n // ROW_BLOCK))
+    codes = materialize(base.repartition(parts).mapInPandas(coded, "id long, v binary, code binary, length double, cosine double"), "codes")
+    found = spark.createDataFrame([], _FOUND)
+    for block in query_blocks(asked.mapInPandas(barred, "id long, v binary, bar double"), QUERY_BLOCK):
+        number, ids, vectors, bars = zip(*block, strict=True)
+        near = spark.sparkContext.broadcast((np.array(number), np.array(ids), np.stack([np.frombuffer(v, np.float64) for v in vectors]), np.array(bars)))
+
+        def scan(batches: Iterator[pd.DataFrame], near=near) -> Iterator[pd.DataFrame]:
+            numbers, *queries = near.value
+            best = Best(*queries, sent.value[0], k)
+            for pdf in batches:
+                if len(pdf):
+                    best.add(pdf["id"].to_numpy(), _vectors(pdf["v"]), np.stack([np.frombuffer(c, np.uint64) for c in pdf["code"]]), pdf["length"].to_numpy(), pdf["cosine"].to_numpy())
+            if len(best.q):
+                yield pd.DataFrame({"query": numbers[best.q], "query_id": best.ids[best.q], "vec_id": best.found, "score": best.scores, "n_reranked": best.reranked[best.q]})
+
+        found = found.unionByName(materialize(codes.mapInPandas(scan, _FOUND), "nearest"))
+        near.unpersist()
     # -0.0 and 0.0 compare equal; ids break all ties.
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_reranked")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_reranked", "query")
