@@ -7,14 +7,16 @@ only if its parent is kept, so that no choice contradicts one above it. The tree
 generated pages whose main text is known.
 
 Defined results: null and empty html give an empty text; a page without main text gives an empty
-text; broken markup is closed as browsers do (open paragraphs end at the next block); repeated
-rows come back as often; an empty table gives no rows; very long pages are read whole.
+text; broken markup is closed as browsers do (open paragraphs end at the next block; a tag or comment
+that never ends takes what follows with it); repeated rows come back as often; an empty table gives no
+rows; very long pages are read whole, in time that grows with their length, whatever their markup.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -57,7 +59,9 @@ TOKENS = [
     "form login search register contact subscribe input".split(),
 ]
 _TOKEN_CLASS = {w: [i for i, group in enumerate(TOKENS) if w in group] for group in TOKENS for w in group}
-_LEX = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+#: A tag's name, and what may stand up to its end: quotes hold a value only after an equals sign.
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=(?!\s*+[\"']))*+>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?=[\s/]|$))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 N_FEATURES = 16 + 2 * len(TAG_GROUPS) + 2 * len(TOKENS)
@@ -82,9 +86,16 @@ class Tree:
         return len(self.tag) - 1
 
 
-@lru_cache(4096)
+#: Raw attributes up to this length are kept in the cache.
+_CACHED = 512
+
+
 def _attributes(raw: str) -> tuple[tuple[int, ...], bool, bool]:
     """Token classes of class, id and role; whether there are any such attributes; whether it is hidden."""
+    return _kept_attributes(raw) if len(raw) <= _CACHED else _read_attributes(raw)
+
+
+def _read_attributes(raw: str) -> tuple[tuple[int, ...], bool, bool]:
     got, some, hidden = [], False, False
     for m in _ATTR.finditer(raw):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -96,11 +107,96 @@ def _attributes(raw: str) -> tuple[tuple[int, ...], bool, bool]:
     return tuple(got), some, hidden
 
 
+_kept_attributes = lru_cache(4096)(_read_attributes)
+
+
+def lex(page: str) -> Iterator[tuple[str, str, str]]:
+    """The page's parts as (kind, tag, rest): text (its characters in tag), open and close (lower-case name, raw attributes).
+
+    Time grows with the page's length alone: each character is passed once, but for one look to the
+    page's end for a tag that quotes keep open. After such a look quotes bound nothing any more. A tag
+    or a comment that never ends takes the rest of the page with it, as in browsers.
+    """
+    at, end, quotes = 0, len(page), True
+    while at < end:
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = end if stop < 0 else stop
+            yield "text", page[at:stop], ""
+            at = stop
+        elif m := _NAME.match(page, at):
+            rest = _REST.match(page, m.end()) if quotes else None
+            if rest is None:
+                quotes = False
+                stop = page.find(">", m.end()) + 1
+                if not stop:
+                    return
+            else:
+                stop = rest.end()
+            yield ("close" if m[1] else "open"), m[2].lower(), page[m.end() : stop - 1]
+            at = stop
+            tag = m[2].lower()
+            if not m[1] and tag in SKIPPED and (not page.endswith("/", m.end(), stop - 1) or tag in ("script", "style", "title", "textarea")):
+                close = _CLOSERS[tag].search(page, at)
+                at = close.end() if close else end
+        elif page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = end if stop < 0 else stop + 3
+        elif page.startswith(("<!", "<?", "</"), at):
+            stop = page.find(">", at)
+            at = end if stop < 0 else stop + 1
+        else:
+            yield "text", "<", ""
+            at += 1
+
+
+_CLOSERS = {tag: re.compile(rf"</{tag}[\s/]*>", re.I) for tag in SKIPPED}
+
+
+class _Open:
+    """The open elements of a page, with the places of each name, of blocks and of table cells at hand."""
+
+    def __init__(self, tag: str, node: int) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.cells: list[int] = []
+        self.push(tag, node)
+
+    def push(self, tag: str, node: int) -> None:
+        place = len(self.stack)
+        self.stack.append((tag, node))
+        self.at.setdefault(tag, []).append(place)
+        if tag in BLOCK:
+            self.blocks.append(place)
+        if tag in ("td", "th", "table"):
+            self.cells.append(place)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The innermost place of any of the tags; 0, the page's own, if none is open."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+    def cut(self, depth: int) -> list[str]:
+        """Close all elements from depth on; their names."""
+        gone = [tag for tag, _ in self.stack[depth:]]
+        for tag in gone:
+            self.at[tag].pop()
+        del self.stack[depth:]
+        for places in (self.blocks, self.cells):
+            while places and places[-1] >= depth:
+                places.pop()
+        return gone
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page. Scripts, styles, comments and markup are left out; references stay encoded."""
+    """The tree of a page. Scripts, styles, comments and markup are left out; references are decoded run by run.
+
+    A reference does not reach over a tag: ``&am<i>p;</i>`` is no ampersand.
+    """
     tree = Tree()
     root = tree.add("html", -1)
-    stack: list[tuple[str, int]] = [("html", root)]  # open elements; an inline one without a node has its parent's
+    opened = _Open("html", root)  # an inline element without a node has its parent's
+    stack = opened.stack
     pieces: list[str] = []
     linked, links, block = 0, 0, 0
 
@@ -117,39 +213,28 @@ def parse(page: str) -> Tree:
         nonlocal links, block
         if stack[-1][1] != stack[depth - 1][1]:
             flush()
-        for tag, _ in stack[depth:]:
+        for tag in opened.cut(depth):
             links -= tag == "a"
             if tag in BLOCK:
                 block += 1
-        del stack[depth:]
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _LEX.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            s = m[0]
-            if s[0] != "<" or len(s) == 1:
-                pieces.append(s)
-                if links:
-                    linked += len(s)
+    for kind, tag, rest in lex(page):
+        if kind == "text":
+            text = entities.unescape(tag)
+            pieces.append(text)
+            if links:
+                linked += len(text)
             continue
-        tag = tag.lower()
-        if m[1]:
+        if kind == "close":
             if tag == "br":
                 pieces.append(" ")
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th"):
-                    break
+            depth = opened.last((tag,))
+            # An end tag does not reach out of a table cell, but for those of tables and of the page.
+            bounded = tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th")
+            if depth and not (bounded and opened.cells and opened.cells[-1] > depth):
+                pop_to(depth)
             continue
         if tag in SKIPPED:
-            if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea"):
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
             if tag == "textarea":
                 tree.controls[stack[-1][1]] += 1
             continue
@@ -160,24 +245,15 @@ def parse(page: str) -> Tree:
             tree.controls[stack[-1][1]] += 1
         if tag in VOID and tag != "hr":
             continue
-        if tag in ("html", "body") and len(stack) > 1 and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and len(stack) > 1 and opened.at.get(tag):
             continue
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
+        if tag in CLOSES_P and opened.blocks and opened.blocks[-1] and stack[opened.blocks[-1]][0] == "p":
+            pop_to(opened.blocks[-1])
         if tag in CLOSED_BY:
             ends, stops = CLOSED_BY[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in stops:
-                    break
-                if stack[depth][0] in ends:
-                    pop_to(depth)
-                    break
-        tokens, some, hidden = _attributes(m[3]) if m[3] else ((), False, False)
+            if (depth := opened.last(ends)) and depth > opened.last(stops):
+                pop_to(depth)
+        tokens, some, hidden = _attributes(rest) if rest else ((), False, False)
         if tag in BLOCK:
             flush()
             block += 1
@@ -185,13 +261,13 @@ def parse(page: str) -> Tree:
                 continue
         if tag == "html":
             continue
-        if m[3].endswith("/") and tag not in BLOCK:
+        if rest.endswith("/") and tag not in BLOCK:
             continue
         if tag in BLOCK or some or hidden:
             flush()
-            stack.append((tag, tree.add(tag, stack[-1][1], tokens, hidden)))
+            opened.push(tag, tree.add(tag, stack[-1][1], tokens, hidden))
         else:
-            stack.append((tag, stack[-1][1]))
+            opened.push(tag, stack[-1][1])
         links += tag == "a"
     flush()
     return tree
@@ -363,14 +439,23 @@ def text_of(tree: Tree, kept: np.ndarray) -> str:
     for v, tag in enumerate(tree.tag):
         if tag == "#text" and kept[v]:
             blocks.setdefault(tree.block[v], []).append(tree.text[v])
-    joined = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
+    joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(b for b in joined if b)
 
 
+#: Pages whose nodes are scored at once, and their characters about.
+_PAGES, _CHARS = 64, 1 << 21
+
+
 def extract(pages: list[str | None], model: BoostedTrees) -> list[str]:
     out: list[str] = []
-    for at in range(0, len(pages), 64):
-        trees = [parse(p or "") for p in pages[at : at + 64]]
+    at = 0
+    while at < len(pages):
+        trees, chars = [], 0
+        while at < len(pages) and len(trees) < _PAGES and chars < _CHARS:
+            trees.append(parse(pages[at] or ""))
+            chars += len(pages[at] or "")
+            at += 1
         scores = model.score(np.concatenate([features(t) for t in trees]))
         for tree in trees:
             mine, scores = scores[: len(tree.tag)], scores[len(tree.tag) :]
