@@ -274,8 +274,10 @@ def test_languages_held_out(spark):
     model = language_id.train(spark.createDataFrame(languages(300, 1) + [(900, None, "aa"), (901, "x", None)], schema))
     test = languages(200, 2)
     extra = [(1000, None, "aa"), (1001, "", "aa"), (1002, "123 !?", "aa"), (1003, "ABCDEFGHIJ abcdefghij " * 20_000, "aa")]
-    docs = spark.createDataFrame(test + extra, schema).withColumns({"score": F.lit("x"), "lang_pred": F.lit(1)})
-    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    docs = spark.createDataFrame(test + extra, schema).withColumns({"score": F.lit("x"), "Lang_Pred": F.lit(1), "_language": F.lit(2), "_language0": F.lit(3)})
+    found = language_id.predict(docs, model)
+    assert found.columns == ["doc_id", "text", "lang", "_language", "_language0", "lang_pred", "score"]
+    got = {r.doc_id: r for r in found.collect()}
     assert np.mean([got[i].lang_pred == lang for i, _, lang in test]) > 0.97
     assert [(got[i].lang_pred, got[i].score) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3 and got[1003].lang_pred == "aa"
     assert all(0 <= r.score <= 1 for r in got.values())
@@ -289,8 +291,7 @@ def naive_profile(text):
     low = "".join(c if c.isalpha() else " " for c in text.lower()).split()
     if not low:
         return np.zeros(language_id.DIMENSIONS)
-    _, letters = language_id._tables()
-    own = lambda c: letters[0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37].astype(int)
+    own = lambda c: language_id.letter_vectors(np.array([0 if c == " " else ord(c)]))[0].astype(int)
     line, total = " " + " ".join(low) + " ", np.zeros(language_id.DIMENSIONS)
     for x, y, z in zip(line, line[1:], line[2:]):
         total += np.roll(own(x), 2) * np.roll(own(y), 1) * own(z)
@@ -307,6 +308,23 @@ def test_profiles_against_plain_bundling_whatever_the_blocks():
             assert all((a == b).all() for a, b in zip(whole, language_id._gram_counts(text, block)))
 
 
+def test_every_letter_has_a_vector_of_its_own():
+    points = np.array([0, *range(97, 123), 0xE9, 0xE9 + 37, 0x416, 0x4E2D, 0x4E2D + 37, 0x10428])
+    vectors = language_id.letter_vectors(points).astype(int)
+    assert set(np.unique(vectors)) == {-1, 1} and (vectors == language_id.letter_vectors(points[::-1])[::-1]).all()
+    cosines = vectors @ vectors.T / language_id.DIMENSIONS
+    assert np.abs(cosines - np.eye(len(points))).max() < 0.15
+
+
+def test_a_text_repeated_over_a_third_of_the_rows_is_learned_from_once(spark):
+    schema = "doc_id long, text string, lang string"
+    rows = languages(200, 5)
+    hot = [(10_000 + i, rows[0][1], rows[0][2]) for i in range(100)]
+    a = language_id.train(spark.createDataFrame(rows, schema))
+    b = language_id.train(spark.createDataFrame(rows + hot, schema))
+    assert a[0] == b[0] and np.allclose(a[1], b[1], atol=1e-6)
+
+
 def test_a_very_long_text_scores_as_its_whole_profile(spark):
     schema = "doc_id long, text string, lang string"
     model = language_id.train(spark.createDataFrame(languages(300, 1), schema))

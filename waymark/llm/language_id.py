@@ -1,18 +1,21 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter class has a random +-1 vector. An n-gram's vector binds its letters' vectors, rotated
-by their place, by element-wise product; a text's vector bundles its n-grams by addition; a
+Each letter, a code point, has a random +-1 vector of its own, drawn from the code point alone; so has
+the gap between words. An n-gram's vector binds its letters' vectors, permuted (rotated) by their
+place, by element-wise product; a text's vector bundles its n-grams by addition; a
 language's prototype bundles its training texts, each at unit length. A text takes the language
 whose prototype, with the mean prototype taken off, has the largest cosine with it.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; rows repeat as they
 come; equal cosines go to the language first in order; an empty table gives no rows; with nothing
-to learn from every text is ``und``.
+to learn from every text is ``und``; a text that repeats within a language is learned from once;
+columns of docs named as those added are replaced, others stay whatever their names are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -21,48 +24,43 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1024
 N = 3
-CLASSES = 64  # 0 a gap between words, 1-26 a-z, 27-63 all other letters by code point
 SEED = 20240229
 #: Training takes this many labelled rows a language at most (a bound that the task allows).
 TRAINING_ROWS = 4_000
 _BATCH_CHARS = 1 << 20
 
 
-def _letter_classes() -> np.ndarray:
-    """Class of each code point of the Basic Multilingual Plane; above it, letters share one rule."""
-    table = np.zeros(1 << 16, np.uint8)
-    for cp in range(1 << 16):
-        c = chr(cp)
-        if c.isalpha():
-            table[cp] = cp - 96 if "a" <= c <= "z" else 27 + cp % 37
-    return table
-
-
-_TABLE: np.ndarray | None = None
+#: Bits of a code point in an n-gram's code.
+_POINT_BITS = 21
 _LETTERS: np.ndarray | None = None
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    global _TABLE, _LETTERS
-    if _TABLE is None:
-        _TABLE = _letter_classes()
-        _LETTERS = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CLASSES, DIMENSIONS))
-    return _TABLE, _LETTERS
+def _letters(points: np.ndarray) -> np.ndarray:
+    """Lower-case code points as they are where they are letters, else 0, the gap."""
+    global _LETTERS
+    if _LETTERS is None:
+        _LETTERS = np.array([chr(cp).isalpha() for cp in range(1 << 16)])
+    is_letter = _LETTERS[np.minimum(points, 0xFFFF)]
+    if (high := points > 0xFFFF).any():
+        is_letter[high] = [chr(p).isalpha() for p in points[high]]
+    return np.where(is_letter, points, 0).astype(np.int64)
 
 
-def _classes(points: np.ndarray) -> np.ndarray:
-    """Letter classes of lower-case code points; 0 where there is no letter."""
-    table, _ = _tables()
-    got = np.where(points < (1 << 16), table[np.minimum(points, 0xFFFF)], 0).astype(np.int64)
-    if (high := points >= (1 << 16)).any():
-        got[high] = [27 + int(p) % 37 if chr(p).isalpha() else 0 for p in points[high]]
-    return got
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """A random +-1 vector for each code point (0, the gap, has one too): the bits of a mixed counter (splitmix64)."""
+    with np.errstate(over="ignore"):
+        counter = points.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS // 64) + np.arange(DIMENSIONS // 64, dtype=np.uint64)
+        z = (counter + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)  # fixed values of splitmix64
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return np.unpackbits(z.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
 def _gram_counts(text: str, block: int = _BATCH_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """The text's n-gram codes and their counts, with single gaps between words and at both ends.
 
-    Blocks bound the memory; the last N - 1 classes go over into the next block, so their size
+    Blocks bound the memory; the last N - 1 letters go over into the next block, so their size
     changes nothing.
     """
     codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -70,15 +68,15 @@ def _gram_counts(text: str, block: int = _BATCH_CHARS) -> tuple[np.ndarray, np.n
     carried = np.zeros(1, np.int64)
     for at in range(0, len(lower) or 1, block):
         points = np.frombuffer(lower[at : at + block].encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.concatenate((carried, _classes(points), np.zeros(int(at + block >= len(lower)), np.int64)))
+        c = np.concatenate((carried, _letters(points), np.zeros(int(at + block >= len(lower)), np.int64)))
         gap = c == 0
         c = c[~(gap & np.concatenate(([False], gap[:-1])))]
         carried = c[1 - N :]
         if len(c) < N:
             continue
-        got, n = np.unique(((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]).astype(np.uint32), return_counts=True)
+        got, n = np.unique((c[:-2] << 2 * _POINT_BITS) + (c[1:-1] << _POINT_BITS) + c[2:], return_counts=True)
         if not len(codes):
-            codes, counts = got.astype(np.int64), n
+            codes, counts = got, n
         else:
             codes, back = np.unique(np.concatenate((codes, got)), return_inverse=True)
             counts = np.bincount(back, np.concatenate((counts, n))).astype(np.int64)
@@ -86,8 +84,10 @@ def _gram_counts(text: str, block: int = _BATCH_CHARS) -> tuple[np.ndarray, np.n
 
 
 def _gram_vectors(codes: np.ndarray) -> np.ndarray:
-    _, letters = _tables()
-    a, b, c = codes // CLASSES**2, codes // CLASSES % CLASSES, codes % CLASSES
+    whole = (1 << _POINT_BITS) - 1
+    own, at = np.unique(np.stack([codes >> 2 * _POINT_BITS, codes >> _POINT_BITS & whole, codes & whole]), return_inverse=True)
+    letters = letter_vectors(own)
+    a, b, c = at.reshape(3, -1)
     return np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]
 
 
@@ -115,7 +115,7 @@ def bundle(texts: list[str | None]) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes, from at most about rows_per_language rows of each.
+    """Languages in order and their prototypes, from at most about rows_per_language distinct texts of each.
 
     Rows are chosen by a hash of their text, so every task agrees on them. What reaches the driver and
     later every task is a vector a language, 4 KB: as many as there are language names in the column.
@@ -126,7 +126,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     if not langs:
         return [], np.zeros((0, DIMENSIONS), np.float32)
     shares = labelled.sparkSession.createDataFrame([(k, min(1.0, rows_per_language / sizes[k])) for k in langs], "lang string, share double")
-    chosen = known.join(F.broadcast(shares), "lang").where((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) + 0.0) < F.col("share") * 1_000_000).select("text", "lang")
+    chosen = known.join(F.broadcast(shares), "lang").where((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) + 0.0) < F.col("share") * 1_000_000).select("text", "lang").distinct()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -172,6 +172,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 score[at : at + 256] = np.where(found, np.clip(cosines.max(1), 0, 1), 0)
         return pd.DataFrame({"lang_pred": names[best], "score": score})
 
-    got = docs.withColumn("_language", of(F.col(text_col)))
-    kept = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
-    return got.select(*kept, F.col("_language.lang_pred").alias("lang_pred"), F.col("_language.score").alias("score"))
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for i in count() if (n := f"_language{i}") not in taken)
+    got = docs.withColumn(name, of(F.col(text_col)))
+    kept = [docs[c] for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return got.select(*kept, F.col(f"{name}.lang_pred").alias("lang_pred"), F.col(f"{name}.score").alias("score"))
