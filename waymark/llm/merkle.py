@@ -143,7 +143,7 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
     spark = docs.sparkSession
-    ranked = ordered_rank(leaves(docs, id_col, text_col), ["src"], ["doc_id", "leaf"], "pos", "n")
+    ranked = ordered_rank(materialize(leaves(docs, id_col, text_col), "digests"), ["src"], ["doc_id", "leaf"], "pos", "n")
     total = ranked.count()
     if not total:
         return spark.createDataFrame([], _FOLDED)
