@@ -105,25 +105,38 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.clean(docs, table.limit(0)).count() == len(rows)
 
 
-def test_fingerprint_blocks_meet_within_the_radius(spark):
+def _words_of(bits):
+    return [(w + (1 << 63)) % (1 << 64) - (1 << 63) for w in (bits >> 64 * k & (1 << 64) - 1 for k in range(decontaminate.WORDS))]
+
+
+def test_fingerprint_blocks_meet_within_the_radius_and_seldom_else(spark):
     rng = random.Random(9)
     rows = []
-    for _ in range(200):
-        a = rng.getrandbits(64)
-        b = a
-        for k in rng.sample(range(64), decontaminate.RADIUS):
-            b ^= 1 << k
-        rows.append((a - (1 << 63), b - (1 << 63)))
-    got = spark.createDataFrame(rows, "a long, b long").select(F.arrays_overlap(decontaminate._blocks("a"), decontaminate._variants("b")).alias("met")).collect()
-    assert all(r.met for r in got)
+    for i in range(400):
+        a = rng.getrandbits(256)
+        b = rng.getrandbits(256)
+        if i < 200:
+            b = a
+            for k in rng.sample(range(256), decontaminate.RADIUS):
+                b ^= 1 << k
+        rows.append((i, _words_of(a), _words_of(b)))
+    table = spark.createDataFrame(rows, "i long, a array<long>, b array<long>").repartition(8)
+    got = table.select("i", decontaminate._apart("a", "b").alias("apart"), F.size(F.array_intersect(decontaminate._blocks("a"), decontaminate._variants("b"))).alias("met")).collect()
+    assert all(r.met and r.apart == decontaminate.RADIUS for r in got if r.i < 200)
+    assert sum(r.met for r in got if r.i >= 200) < 0.25 * 200  # rows of a join, of unrelated pairs
 
 
 def test_weighted_fingerprint(spark):
     rng = random.Random(10)
-    rows = [[(rng.getrandbits(64) - (1 << 63), rng.randint(1, 1000)) for _ in range(n)] for n in (1, 2, 11, 60)]
-    got = spark.createDataFrame([(r,) for r in rows], "p array<struct<shingle:long,weight:long>>").select(decontaminate.fingerprint(F.col("p")).alias("fp")).collect()
-    for pairs, r in zip(rows, got, strict=True):
-        assert r.fp % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(w for h, w in pairs if h >> b & 1) > sum(w for _, w in pairs))
+    rows = [(i, rng.getrandbits(64) - (1 << 63), rng.randint(1, 1000)) for i, n in enumerate((1, 2, 11, 60)) for _ in range(n)]
+    each = spark.createDataFrame(rows, "i long, shingle long, weight long")
+    sums = each.groupBy("i").agg(F.sum("weight").alias("total"), *decontaminate.bit_sums("shingle", "weight"))
+    got = {r.i: r.fp for r in sums.select("i", decontaminate.fingerprint("total").alias("fp")).collect()}
+    hashes = {r.shingle: [r.shingle, r.h1, r.h2, r.h3] for r in each.select("shingle", *[F.xxhash64("shingle", F.lit(k)).alias(f"h{k}") for k in (1, 2, 3)]).collect()}
+    for i in range(4):
+        own = [(h, w) for j, h, w in rows if j == i]
+        for k in range(4):
+            assert got[i][k] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(w for h, w in own if hashes[h][k] >> b & 1) > sum(w for _, w in own))
 
 
 def test_decontamination_without_broadcasts_and_with_odd_items(spark, monkeypatch):

@@ -1,14 +1,16 @@
 """Benchmark decontamination by SimHash of item-sized windows. DataFrame operations only.
 
-Windows of a document are as long as a benchmark item. A window has a SimHash fingerprint of its
-distinct five-word shingles, each as heavy as it is rare among the items. Multi-index Hamming blocks
-retrieve, for each window, all items of its length whose fingerprint is within RADIUS bits: a
-fingerprint has eight blocks of eight bits, items are indexed under every value of a block that is
-at most two bits off, and of two fingerprints at 23 or fewer differing bits one block differs by at
-most two. The exact weighted Jaccard similarity of the shingles, 0.8 or more, verifies the pairs.
-
-At similarity 0.8 the angle between the two shingle sets is 27 degrees, so 9.7 of the 64 bits differ
-on average with a deviation of 2.9: RADIUS is 4.6 deviations off.
+Windows of a document are as long as a benchmark item. A window has a SimHash fingerprint of 256 bits
+of its distinct five-word shingles, each as heavy as it is rare among the items. Multi-index Hamming
+blocks retrieve, for each window, all items of its length whose fingerprint is within RADIUS bits: a
+fingerprint has sixteen blocks of sixteen bits, items are indexed under every value of a block that is
+at most three bits off, and of two fingerprints at 63 or fewer differing bits one block differs by at
+most three. Of unrelated pairs a block brings together one in 94, so the sixteen make 0.17 rows a pair
+that the radius then tests. The exact weighted Jaccard similarity of the shingles, 0.8 or more,
+verifies the pairs.
+
+At similarity 0.8 the angle between the two shingle sets is 27 degrees, so 38 of the 256 bits differ
+on average with a deviation of 5.7: RADIUS is 4.3 deviations off.
 
 A window that shares no shingle with the benchmark has similarity 0 with every item, whatever its
 fingerprint, so windows are laid only where a shared shingle stands: with each shared shingle at each
@@ -23,6 +25,8 @@ columns are ignored, and ``clean`` keeps them.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +34,11 @@ from waymark.llm.common import hinted, materialize, shingle_hashes, small_enough
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BLOCKS, BLOCK_BITS = 8, 8
+#: 64-bit words of a fingerprint, and the blocks that it is cut into.
+WORDS = 4
+BLOCKS, BLOCK_BITS = 16, 16
 #: Bits that one block may be off, and what that makes certain for whole fingerprints.
-BLOCK_RADIUS = 2
+BLOCK_RADIUS = 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Rows up to which a table made from the benchmark is broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 500_000
@@ -40,30 +46,42 @@ BROADCAST_ROWS = 500_000
 
 def _blocks(fp: str) -> Column:
     """The blocks of a fingerprint, each with its place."""
-    whole = (1 << BLOCK_BITS) - 1
-    return F.array(*[F.shiftrightunsigned(F.col(fp), BLOCK_BITS * b).bitwiseAND(F.lit(whole)) + F.lit(b << BLOCK_BITS).cast("long") for b in range(BLOCKS)])
+    whole, each = (1 << BLOCK_BITS) - 1, 64 // BLOCK_BITS
+    return F.array(*[F.shiftrightunsigned(F.element_at(fp, b // each + 1), BLOCK_BITS * (b % each)).bitwiseAND(F.lit(whole)) + F.lit(b << BLOCK_BITS).cast("long") for b in range(BLOCKS)])
 
 
 def _variants(fp: str) -> Column:
     """Every value that is at most BLOCK_RADIUS bits off a block of a fingerprint, each with its place."""
-    masks = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= BLOCK_RADIUS]
-    return F.flatten(F.transform(_blocks(fp), lambda block: F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: block.bitwiseXOR(m))))
+    bits = range(BLOCK_BITS)
+    masks = [sum(1 << b for b in off) for n in range(BLOCK_RADIUS + 1) for off in combinations(bits, n)]
+    listed = F.expr(f"array({', '.join(f'{m}L' for m in masks)})")
+    return F.flatten(F.transform(_blocks(fp), lambda block: F.transform(listed, lambda m: block.bitwiseXOR(m))))
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two fingerprints differ."""
+    words = [F.bit_count(F.element_at(a, w + 1).bitwiseXOR(F.element_at(b, w + 1))) for w in range(WORDS)]
+    return words[0] + words[1] + words[2] + words[3]
+
 
+#: Two bits of a word, 32 apart, are counted in one long: the weights of a window's shingles stay under 2^32.
+_LANES, _LANE = (1 << 32) + 1, (1 << 32) - 1
 
-def fingerprint(weighted: Column) -> Column:
-    """SimHash of an array of (shingle long, weight long) structs: the bits that over half the weight has."""
 
-    def of(pairs: Column) -> Column:
-        whole = F.aggregate(pairs, F.lit(0).cast("long"), lambda n, x: n + x["weight"])
+def bit_sums(shingle: str, weight: str) -> list[Column]:
+    """Aggregates over a window's distinct shingles: the weight that has each bit, two bits a column."""
+    words = [shingle, *[f"xxhash64({shingle}, {w})" for w in range(1, WORDS)]]
+    return [F.expr(f"sum((shiftrightunsigned({words[w]}, {b}) & {_LANES}L) * {weight})").alias(f"bits{w}_{b}") for w in range(WORDS) for b in range(32)]
 
-        def bit(b: Column) -> Column:
-            ones = F.aggregate(pairs, F.lit(0).cast("long"), lambda n, x: n + x["weight"] * F.getbit(x["shingle"], b))
-            return F.when(ones * 2 > whole, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda n, b: n.bitwiseOR(bit(b)))
+def fingerprint(total: str) -> Column:
+    """SimHash from the columns of bit_sums(): the bits that over half the total weight has."""
+    # Each lane is a choice between two literals: built as text, for a Column a bit would take seconds to build.
+    def bit(w: int, b: int) -> str:
+        lane = f"bits{w}_{b} & {_LANE}L" if b < 32 else f"shiftrightunsigned(bits{w}_{b - 32}, 32)"
+        return f"if(({lane}) * 2 > {total}, shiftleft(1L, {b}), 0L)"
 
-    # The array is bound to a lambda's variable, so that it is made once.
-    return F.element_at(F.transform(F.array(weighted), of), 1)
+    return F.expr("array(" + ", ".join(" | ".join(bit(w, b) for b in range(64)) for w in range(WORDS)) + ")")
 
 
 def _total(pairs: Column) -> Column:
@@ -112,16 +130,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     def weighted(rows: DataFrame, keys: list[str], shingles: Column) -> DataFrame:
         """keys, pairs (the distinct shingles with their weights; unknown ones are as rare as can be), total, fp."""
         each = rows.select(*keys, F.explode(F.array_distinct(shingles)).alias("shingle")).join(hinted(shingle_weight, small), "shingle", "left")
-        pairs = F.collect_list(F.struct("shingle", F.coalesce("weight", F.lit(1000).cast("long")).alias("weight"))).alias("pairs")
-        return each.groupBy(*keys).agg(pairs).select("*", _total(F.col("pairs")).alias("total"), fingerprint(F.col("pairs")).alias("fp"))
+        each = each.withColumn("weight", F.coalesce("weight", F.lit(1000).cast("long")))
+        sums = each.groupBy(*keys).agg(F.collect_list(F.struct("shingle", "weight")).alias("pairs"), F.sum("weight").alias("total"), *bit_sums("shingle", "weight"))
+        return sums.select(*keys, "pairs", "total", fingerprint("total").alias("fp"))
 
     held = materialize(weighted(distinct, ["window", "n"], shingle_hashes(F.col("words"), SHINGLE_WORDS)), "window-prints")
     asked = materialize(weighted(items.dropDuplicates(["item"]), ["item", "n"], F.col("shingles")), "item-prints")
-    few = small and small_enough(asked, BROADCAST_ROWS // (BLOCKS * 64))
-    index = asked.select("item", "n", F.col("fp").alias("its_fp"), F.explode(F.array_distinct(_variants("fp"))).alias("block"))
-    probes = held.select("window", "n", "fp", F.explode(_blocks("fp")).alias("block"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("its_fp"))) <= RADIUS
-    met = probes.join(hinted(index, few), ["n", "block"]).where(near).select("window", "item").distinct()
+    few = small and small_enough(asked, BROADCAST_ROWS // 1_000)
+    # One long is the key: the block with its place, and the length.
+    key = lambda block: (block + F.col("n").cast("long") * F.lit(BLOCKS << BLOCK_BITS)).alias("key")
+    index = asked.select("item", F.explode(F.array_distinct(_variants("fp"))).alias("block"), "n").select(key(F.col("block")), F.xxhash64("item").alias("item_key"))
+    probes = held.select("window", "n", F.explode(_blocks("fp")).alias("block")).select(key(F.col("block")), F.xxhash64("window").alias("window_key"))
+    met = probes.join(hinted(index, small and small_enough(index, BROADCAST_ROWS)), "key").select("window_key", "item_key").distinct()
+    met = met.join(held.select(F.xxhash64("window").alias("window_key"), "window", "n", "fp"), "window_key")
+    met = met.join(hinted(asked.select(F.xxhash64("item").alias("item_key"), "item", F.col("n").alias("its_n"), F.col("fp").alias("its_fp")), few), "item_key")
+    met = met.where((F.col("n") == F.col("its_n")) & (_apart("fp", "its_fp") <= RADIUS)).select("window", "item")
     theirs = asked.select("item", F.col("pairs").alias("its_pairs"), F.col("total").alias("its_total"))
     both = met.join(held.select("window", "pairs", "total"), "window").join(hinted(theirs, few), "item")
     # A shingle weighs the same wherever it stands, so the structs are equal where the shingles are.
