@@ -183,7 +183,7 @@ def test_mixing(spark):
     docs, labels = labelled_corpus()
     table = spark.createDataFrame(docs + [(900, None), (901, ""), (None, "no id"), (5, docs[5][1])], DOCS).withColumns({"rate": F.lit("x"), "text_hash": F.lit(1)})
     marks = spark.createDataFrame(labels + [(1, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int").select("doc_id", mixing.labelled_domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    got = {r.doc_id: r for r in mixing.mix(table, marks, queries.WEIGHTS, keep="high").collect()}
+    got = {r.doc_id: r for r in mixing.mix(table, marks, queries.target_shares(spark), keep="high").collect()}
     assert len(got) == 603 and got[900].n_tokens == got[901].n_tokens == 0 and got[5].copies == 2
     for i, t in docs:
         assert got[i].n_tokens == len(t.split())
@@ -191,10 +191,10 @@ def test_mixing(spark):
     toxic = [got[i] for i in range(0, 600, 10)]
     assert sum(r.p_toxic > 0.5 for r in toxic) >= 0.9 * len(toxic)
     assert all(r.draws in (math.floor(r.rate), math.floor(r.rate) + 1) for r in got.values())
-    kept = mixing.mixed(table, marks, queries.WEIGHTS, keep="high")
+    kept = mixing.mixed(table, marks, queries.target_shares(spark), keep="high")
     assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i in [*range(600), 5, 900, 901, None] if got[i].draws) and kept.columns == table.columns
-    assert mixing.mix(table, marks.limit(0), queries.WEIGHTS, keep="high").count() == 603
-    assert mixing.mix(table.limit(0), marks, queries.WEIGHTS, keep="high").count() == 0
+    assert mixing.mix(table, marks.limit(0), queries.target_shares(spark), keep="high").count() == 603
+    assert mixing.mix(table.limit(0), marks, queries.target_shares(spark), keep="high").count() == 0
 
 
 SMALL = "/root/testdata/sf0.001"

@@ -4,10 +4,15 @@ A classifier learned from a labelled table gives each document a posterior over
 (words, word beginnings, trailing symbols, share of distinct words) that speak clearly for one domain
 are found on one half of a bounded sample of labelled rows; a document's evidence for a domain is the
 sum of their log-ratios, in halves up to MOST_EVIDENCE; a logistic model fitted on the other half
-turns the evidence for all domains into a posterior. Then nonnegative document rates are fitted
-so that the expected tokens of each domain meet the targets in the least-squares sense: of such
-rates those closest to 1 are max(0, 1 - p . x) with one number x a domain, found by projected Newton
-steps of one aggregate each, until the gradient is within TOLERANCE of each domain's own target.
+turns the evidence for all domains into a posterior. Then nonnegative document rates are fitted by
+projected gradient so that the expected tokens of each domain meet the targets in the least-squares
+sense. Rates begin at 1. A step aggregates the expected tokens of each domain, takes from each rate its
+gradient, which is the document's posterior times the domains' residuals, and sets what falls below 0
+to 0. Rates depend on the posterior alone, so they are held in a table with a row for each distinct
+posterior, written anew each step by the job that also aggregates for the next. Steps are first scaled
+by the second moments of the posteriors of documents with a rate above 0, with which rare domains converge as
+fast as common ones. Where no rates seem to meet all targets, plain steps with momentum go on until the
+sum of squares falls no further.
 ``residuals`` tells how far the fitted mixture is from the targets.
 
 Defined results: null and empty texts have no tokens and the posterior of documents without
@@ -21,7 +26,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from waymark.llm.common import materialize, shingle_hashes, small_enough, words
@@ -36,9 +41,9 @@ MIN_STATISTIC, MIN_SUPPORT = 18.0, 5
 MOST_EVIDENCE, STRONG = 12.0, 6.0
 #: MinHash values by which near copies among the labelled rows are told.
 COPY_HASHES = 3
-#: Newton steps at most, the gradient at which they end, as a share of the target, and the weight of squared x
-#: (a target missed for good by d gives x = d / RIDGE).
-STEPS, TOLERANCE, RIDGE = 60, 1e-6, 1e-9
+#: A target is met within this share of it. Rates that miss targets are looked for where weighed squares fall
+#: by less than half in PATIENCE steps; the plain sum of squares falls no further where it does so by less than SETTLED of itself.
+TOLERANCE, SETTLED, PATIENCE = 1e-3, 1e-3, 10
 #: Rows up to which the feature weights are broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 200_000
 _SENTINEL = "\u0001document"
@@ -196,55 +201,79 @@ def posteriors(docs: DataFrame, model: Model, domains: list[str]) -> DataFrame:
     return got.withColumn("whole", whole).select("doc_id", "text_hash", "n_tokens", "copies", F.transform("e", lambda v: F.round(v / F.col("whole"), 10)).alias("p"))
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """members (n_tokens, copies, p, ...) with column rate: nonnegative rates whose expected domain
-    tokens come closest to targets, and of these the closest to 1.
-
-    A document's rate does not depend on its length: it is max(0, 1 - p . x), where x minimizes the
-    convex function sum(tokens x rate^2) / 2 + targets . x, in shares of all tokens and with a ridge
-    that matters only for targets which no rates meet. Ends when the gradient is within tolerance of
-    each target; raises if steps do not suffice.
-    """
-    size = len(targets)
-    p = [F.element_at("p", i + 1) for i in range(size)]
+class _Descent:
+    """Projected-gradient steps on a table of rates (p, share, rate), written anew each step by the job that also aggregates for the next."""
+
+    def __init__(self, state: DataFrame, goal: np.ndarray, tolerance: float) -> None:
+        self.goal, self.tolerance, self.size = goal, tolerance, len(goal)
+        self.p = [F.element_at("p", i + 1) for i in range(self.size)]
+        self.squares: list[float] = []
+        self._write(state.withColumn("before", F.col("rate")), 0.0)
+        spread, axes = np.linalg.eigh(self.moments)
+        self.axes, self.steepest = axes[:, spread > 1e-12 * spread[-1]], spread[-1]  # no document lies in other directions
+
+    def _write(self, state: DataFrame, momentum: float) -> None:
+        """Write the state; sum its expected shares, those ahead of it, and the second moments of the documents with a rate above 0."""
+        seen = Observation()
+        ahead = F.col("rate") + momentum * (F.col("rate") - F.col("before"))
+        sums = [F.sum(F.col("share") * r * self.p[i]).alias(f"{n}{i}") for n, r in (("now", F.col("rate")), ("ahead", ahead)) for i in range(self.size)]
+        sums += [F.sum(F.when(ahead > 0, F.col("share") * self.p[i] * self.p[j]).otherwise(0.0)).alias(f"m{i}_{j}") for i in range(self.size) for j in range(i, self.size)]
+        self.state = materialize(state.withColumn("ahead", ahead).observe(seen, *sums), "rates")
+        got = seen.get
+        self.now, self.ahead = (np.array([got[f"{n}{i}"] for i in range(self.size)]) for n in ("now", "ahead"))
+        self.moments = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] for j in range(self.size)] for i in range(self.size)])
+
+    def off(self) -> np.ndarray:
+        return self.axes @ (self.axes.T @ (self.now - self.goal))
+
+    def met(self) -> bool:
+        return bool(np.all(np.abs(self.off()) <= self.tolerance * np.maximum(np.abs(self.goal), 1e-3)))
+
+    def stalled(self, square: float, least_fall: float) -> bool:
+        """Whether the sum of squares has fallen by less than this share of itself in PATIENCE steps."""
+        self.squares.append(square)
+        before = min(self.squares[:-PATIENCE], default=np.inf)
+        return before - min(self.squares) <= least_fall * before if np.isfinite(before) else False
+
+    def step(self, pull: np.ndarray, momentum: float) -> None:
+        gradient = _sum_of([self.p[i] * F.lit(float(pull[i])) for i in range(self.size)])
+        self._write(self.state.select("p", "share", F.greatest(F.lit(0.0), F.col("ahead") - gradient).alias("rate"), F.col("rate").alias("before")), momentum)
+
+    def meet(self) -> bool:
+        """Steps scaled by the second moments of the documents with a rate above 0, until all targets are met or seem not to be."""
+        damping = 1.0
+        while not self.met():
+            relative = self.off() / np.maximum(np.abs(self.goal), 1e-3)
+            if self.stalled(float(relative @ relative), 0.5):
+                return False
+            if len(self.squares) > 1 and self.squares[-1] > self.squares[-2]:
+                damping /= 2
+            inside = self.axes.T @ self.moments @ self.axes
+            self.step(damping * self.axes @ (np.linalg.pinv(inside, 1e-9, hermitian=True) @ (self.axes.T @ self.off())), 0.0)
+        return True
+
+    def settle(self) -> None:
+        """Plain steps with momentum, given up where squares rise, until the sum of squares falls no further."""
+        self.squares, turn = [], 1.0
+        while not self.met() and not self.stalled(float(self.off() @ self.off()), SETTLED):
+            if len(self.squares) > 1 and self.squares[-1] > self.squares[-2]:
+                turn = 1.0
+            nxt = (1 + (1 + 4 * turn * turn) ** 0.5) / 2
+            self.step((self.axes @ (self.axes.T @ (self.ahead - self.goal))) / self.steepest, (turn - 1) / nxt)
+            turn = nxt
+
+
+def fit_rates(members: DataFrame, targets: list[float], tolerance: float = TOLERANCE) -> DataFrame:
+    """members (n_tokens, copies, p, ...) with column rate: nonnegative rates whose expected domain tokens come closest to targets."""
     mass = F.sum((F.col("n_tokens") * F.col("copies")).cast("double")).alias("mass")
-    kinds = materialize(members.groupBy("p").agg(mass), "kinds").where("mass > 0")  # rates depend on p alone
+    kinds = materialize(members.groupBy("p").agg(mass), "kinds")  # rates depend on p alone
     whole = float(kinds.agg(F.sum("mass")).first()[0] or 0)
     if not whole:
         return members.withColumn("rate", F.lit(1.0))
-    share = F.col("mass") / whole
-    goal = np.array(targets) / whole
-
-    def rate(x: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), 1.0 - _sum_of([p[i] * F.lit(float(x[i])) for i in range(size)]))
-
-    def sums(at: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Value, expected shares and second moments of the documents with a rate above 0, for each x."""
-        asked = []
-        for k, x in enumerate(at):
-            r = rate(x)
-            asked += [F.sum(share * r * r).alias(f"v{k}"), *[F.sum(share * r * p[i]).alias(f"e{k}_{i}") for i in range(size)]]
-            asked += [F.sum(F.when(r > 0, share * p[i] * p[j]).otherwise(0.0)).alias(f"m{k}_{i}_{j}") for i in range(size) for j in range(i, size)]
-        got = kinds.agg(*asked).first()
-        out = []
-        for k, x in enumerate(at):
-            moments = np.array([[got[f"m{k}_{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
-            out.append((got[f"v{k}"] / 2 + goal @ x + RIDGE / 2 * x @ x, np.array([got[f"e{k}_{i}"] for i in range(size)]), moments))
-        return out
-
-    x = np.zeros(size)
-    value, expected, moments = sums([x])[0]
-    # Directions in which no document lies cannot be moved in.
-    spread, axes = np.linalg.eigh(moments)
-    axes = axes[:, spread > 1e-12 * spread[-1]]
-    for _ in range(steps):
-        slope = axes @ (axes.T @ (goal - expected + RIDGE * x))
-        if np.all(np.abs(slope) <= tolerance * np.maximum(np.abs(goal), 1e-3) + 1e-14 * np.abs(x).max()):
-            return members.withColumn("rate", rate(x))
-        step = axes @ np.linalg.solve(axes.T @ moments @ axes + RIDGE * np.eye(axes.shape[1]), axes.T @ slope)
-        tried = [x - step * 0.5**k for k in range(4)]
-        x, (value, expected, moments) = min(zip(tried, sums(tried), strict=True), key=lambda t: t[1][0])
-    raise RuntimeError(f"rates do not meet the targets after {steps} steps: shares {expected.tolist()}, wanted {goal.tolist()}")
+    fit = _Descent(kinds.select("p", (F.col("mass") / whole).alias("share"), F.lit(1.0).alias("rate")), np.array(targets) / whole, tolerance)
+    if not fit.meet():
+        fit.settle()
+    return members.join(fit.state.select("p", "rate"), "p").select(*members.columns, "rate")
 
 
 def residuals(fitted: DataFrame, targets: list[float]) -> list[float]:
@@ -253,20 +282,21 @@ def residuals(fitted: DataFrame, targets: list[float]) -> list[float]:
     return [(sums[f"e{i}"] or 0.0) - t for i, t in enumerate(targets)]
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: str, headroom: float = 1.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: DataFrame, keep: str, headroom: float = 1.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per distinct (doc_id, text): doc_id, text_hash, n_tokens, copies, p_<domain>, rate, draws.
 
-    weights: the domains' target shares. The mixture is sized so that domain keep has headroom
+    weights: the domains' target shares (domain, share). The mixture is sized so that domain keep has headroom
     times its present expected tokens. draws is the rate rounded up or down by a hash of the id, so
     that its mean is the rate: how many times the mixture holds the document.
     """
-    domains = sorted(weights)
+    shares = {r.domain: float(r.share) for r in weights.collect()}  # a row a domain
+    domains = sorted(shares)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     members = materialize(posteriors(rows, learn(rows, labels, domains), domains), "posteriors")
     at = domains.index(keep)
     kept = members.agg(F.sum(F.col("n_tokens") * F.col("copies") * F.element_at("p", at + 1))).first()[0] or 0.0
-    size = headroom * kept / weights[keep]
-    fitted = fit_rates(members, [size * weights[d] for d in domains])
+    size = headroom * kept / shares[keep]
+    fitted = fit_rates(members, [size * shares[d] for d in domains])
     chance = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return fitted.select(
         "doc_id", "text_hash", "n_tokens", "copies", *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(domains)],
@@ -274,7 +304,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: str
     )
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights: DataFrame, keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the mixture holds at least once, each as it was."""
     out = mix(docs, labels, weights, keep, id_col=id_col, text_col=text_col).where("draws = 0").select("doc_id", "text_hash")
     return docs.join(out, docs[id_col].eqNullSafe(out["doc_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(out["text_hash"]), "left_anti")

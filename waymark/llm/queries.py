@@ -37,8 +37,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-#: Target shares of the expected tokens: the labelled domains' own proportion, without toxic text.
-WEIGHTS = {"high": 0.848, "low": 0.15, "toxic": 0.002}
+#: Target shares of the expected tokens: of low quality almost three times as much as there is, of toxic text a quarter.
+TARGETS = [("high", 0.6), ("low", 0.37), ("toxic", 0.03)]
+
+
+def target_shares(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TARGETS, "domain string, share double")
 
 
 def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), WEIGHTS, keep="high")
+    found = mixing.mix(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), target_shares(spark), keep="high")
     return found.drop("text_hash")
 
 
