@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm import decontaminate, language_id, mixing, sharding, simhash_dedup
 from waymark.llm.common import scratch, shared_dir
-from waymark.llm.queries import WEIGHTS, domain_labels, table
+from waymark.llm.queries import domain_labels, table, target_shares
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mixture draws at least once."""
-    return mixing.mixed(docs, domain_labels(spark, sf_dir), WEIGHTS, keep="high")
+    return mixing.mixed(docs, domain_labels(spark, sf_dir), target_shares(spark), keep="high")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
