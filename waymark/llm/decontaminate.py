@@ -140,6 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # One long is the key: the block with its place, and the length.
     key = lambda block: (block + F.col("n").cast("long") * F.lit(BLOCKS << BLOCK_BITS)).alias("key")
     index = asked.select("item", F.explode(F.array_distinct(_variants("fp"))).alias("block"), "n").select(key(F.col("block")), F.xxhash64("item").alias("item_key"))
+    index = materialize(index, "index")  # else Spark takes it to be as small as what it is made from, and broadcasts it
     probes = held.select("window", "n", F.explode(_blocks("fp")).alias("block")).select(key(F.col("block")), F.xxhash64("window").alias("window_key"))
     met = probes.join(hinted(index, small and small_enough(index, BROADCAST_ROWS)), "key").select("window_key", "item_key").distinct()
     met = met.join(held.select(F.xxhash64("window").alias("window_key"), "window", "n", "fp"), "window_key")
