@@ -38,9 +38,7 @@ def degrees_for(tolerance_m: float, max_abs_lat: float) -> float:
 
 def utc(ts: Column) -> Column:
     """A timestamp's wall clock in UTC, whatever the session's zone is."""
-    seconds = F.unix_seconds(ts)
-    day = F.floor(seconds / 86400).cast("int")
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(day, F.lit(0), F.lit(0), (seconds - day.cast("long") * 86400).cast("decimal(18,6)"))
+    return F.timestamp_add("SECOND", F.unix_seconds(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def utc_date(ts: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 
-from waymark.functions.geo import EARTH_M, Ring, edges_of, gcj02_offset_at
+from waymark.functions.geo import EARTH_M, gcj02_offset_at
+from waymark.functions.topology import fault
 
 #: Grid sizes in degrees that a caller may ask for (fixed values), coarse to fine.
 LADDER = (5.0, 2.0, 1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001, 0.0005, 0.0002, 0.0001)
@@ -111,9 +112,18 @@ def check_hotspot(radius_m: float, min_visits: int) -> None:
         raise ValueError("min_visits must be at least 1")
 
 
+def instant(text: str) -> int:
+    """Microseconds since 1970 of an ISO time with its offset; ValueError for others, which name no instant."""
+    when = datetime.fromisoformat(text)
+    if when.tzinfo is None:
+        raise ValueError(f"{text!r} has no offset from UTC")
+    return (when - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+
+
 def check_window(start: str | None, end: str | None) -> None:
     """ISO times with their offsets, or none; the start must not lie after the end."""
-    if start is not None and end is not None and datetime.fromisoformat(start) > datetime.fromisoformat(end):
+    ends = [instant(t) for t in (start, end) if t is not None]
+    if len(ends) == 2 and ends[0] > ends[1]:
         raise ValueError("the window's start lies after its end")
 
 
@@ -165,6 +175,7 @@ def parse_region(geometry: str | dict, buffer_m: float | None = None) -> Region:
             raise ValueError("a point needs two numbers")
         (lon, lat), *_ = _ring([raw[:2]] * 4)
         rings: list = [buffer_ring(lon, lat, buffer_m)]
+        parts = [rings]
     elif kind in ("Polygon", "MultiPolygon"):
         if not isinstance(raw, list) or not raw:
             raise ValueError("a polygon needs rings")
@@ -177,48 +188,17 @@ def parse_region(geometry: str | dict, buffer_m: float | None = None) -> Region:
             raw = [raw]
         elif found != wanted:
             raise ValueError("the coordinates are nested wrongly")
-        rings = [_ring(r) for polygon in ([raw] if kind == "Polygon" else raw) for r in polygon]
+        parts = [[_ring(r) for r in polygon] for polygon in ([raw] if kind == "Polygon" else raw)]
+        rings = [r for part in parts for r in part]
     else:
         raise ValueError("a region is a Polygon, a MultiPolygon or a Point with a buffer")
     count = sum(map(len, rings))
     if count > MAX_VERTICES:
         raise ValueError(f"more than {MAX_VERTICES} vertices")
     shown = {"type": "Polygon", "coordinates": rings} if kind == "Point" else {"type": kind, "coordinates": [[_ring(r) for r in p] for p in raw] if kind == "MultiPolygon" else rings}
-    region = Region(tuple(rings), kind == "Point", count, json.dumps(shown))
-    if not is_valid(region.rings):
-        raise ValueError("the region crosses itself or has no area")
-    return region
-
-
-def is_valid(rings: tuple[Ring, ...] | list[Ring]) -> bool:
-    """Whether rings have area and no two edges cross or overlap; rings may touch in single points."""
-    for ring in rings:
-        if abs(sum(x1 * y2 - x2 * y1 for x1, y1, x2, y2 in edges_of([ring]))) == 0:
-            return False
-    tagged = [(k, i, len(ring) - 1, e) for k, ring in enumerate(rings) for i, e in enumerate(edges_of([ring]))]
-    order = sorted(tagged, key=lambda t: min(t[3][0], t[3][2]))
-    open_: list = []
-    for k, i, n, e in order:
-        west = min(e[0], e[2])
-        open_ = [o for o in open_ if max(o[3][0], o[3][2]) >= west]
-        for k2, i2, _, f in open_:
-            adjacent = k == k2 and ((i - i2) % n in (1, n - 1))
-            if _conflict(e, f, adjacent):
-                return False
-        open_.append((k, i, n, e))
-    return True
-
-
-def _conflict(e: tuple, f: tuple, adjacent: bool) -> bool:
-    def side(ax: float, ay: float, bx: float, by: float, px: float, py: float) -> float:
-        return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
-
-    d1, d2, d3, d4 = side(*e, *f[:2]), side(*e, *f[2:]), side(*f, *e[:2]), side(*f, *e[2:])
-    if d1 == d2 == d3 == d4 == 0:  # on one line: sharing more than a point is an overlap
-        axis = 0 if e[0] != e[2] else 1
-        low, high = max(min(e[axis], e[axis + 2]), min(f[axis], f[axis + 2])), min(max(e[axis], e[axis + 2]), max(f[axis], f[axis + 2]))
-        return low < high or (low == high and not adjacent and e[:2] != f[:2])
-    return not adjacent and d1 * d2 < 0 and d3 * d4 < 0
+    if why := fault(parts):
+        raise ValueError(f"the region is invalid: {why}")
+    return Region(tuple(rings), kind == "Point", count, json.dumps(shown))
 
 
 def rectangle(a: tuple[float, float], b: tuple[float, float]) -> dict:

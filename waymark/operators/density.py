@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import ZONE, local_hour
-from waymark.functions.regions import Bbox, check_cell_size, check_cells, check_hours, check_metric
+from waymark.functions.regions import Bbox, check_cell_size, check_cells, check_hours, check_metric, instant
 
 
 def in_box(points: DataFrame, box: Bbox) -> DataFrame:
     return points.where(F.col("lon").between(box.west, box.east) & F.col("lat").between(box.south, box.north))
 
 
+def since(rows: DataFrame, column: str, start: str | None) -> DataFrame:
+    """Rows whose time is not before an ISO time with its offset; all for None."""
+    return rows if start is None else rows.where(F.col(column) >= F.timestamp_micros(F.lit(instant(start))))
+
+
+def until(rows: DataFrame, column: str, end: str | None) -> DataFrame:
+    """Rows whose time is not after an ISO time with its offset; all for None."""
+    return rows if end is None else rows.where(F.col(column) <= F.timestamp_micros(F.lit(instant(end))))
+
+
 def in_window(points: DataFrame, start: str | None = None, end: str | None = None, hours: tuple[int, int] | None = None, zone: str = ZONE) -> DataFrame:
-    """Points from start to end, both included, within hours of the local day."""
-    if start is not None:
-        points = points.where(F.col("recorded_at") >= F.lit(start).cast("timestamp"))
-    if end is not None:
-        points = points.where(F.col("recorded_at") <= F.lit(end).cast("timestamp"))
+    """Points from start to end (ISO times with their offsets), both included, within hours of the local day."""
+    points = since(until(points, "recorded_at", end), "recorded_at", start)
     return points if hours is None else points.where(local_hour(F.col("recorded_at"), zone).between(*hours))
 
 

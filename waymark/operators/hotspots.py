@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from waymark.functions.geo import EARTH_M, haversine
 from waymark.functions.regions import check_hotspot
 from waymark.operators.cells import around, at_home
+from waymark.operators.density import since, until
 from waymark.operators.graph import components
 from waymark.operators.storage import materialize
 
@@ -19,9 +20,7 @@ RADIUS_M, MIN_VISITS = 200.0, 2
 
 def within_time(stays: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Stays that lie wholly within a time window."""
-    if start is not None:
-        stays = stays.where(F.col("start_time") >= F.lit(start).cast("timestamp"))
-    return stays if end is None else stays.where(F.col("end_time") <= F.lit(end).cast("timestamp"))
+    return until(since(stays, "start_time", start), "end_time", end)
 
 
 def near_pairs(stays: DataFrame, radius_m: float) -> DataFrame:
@@ -86,6 +85,7 @@ def hotspots(stays: DataFrame, radius_m: float = RADIUS_M, min_visits: int = MIN
         F.avg("center_lon").alias("lon"), F.avg("center_lat").alias("lat"), F.count(F.lit(1)).alias("visit_count"), F.countDistinct("track_id").alias("track_count"),
         F.sum(F.col("duration_s").cast("long")).alias("total_duration_s"), F.min("start_time").alias("first_visit"), F.max("end_time").alias("last_visit"), F.sort_array(F.collect_set("track_id")).alias("track_ids"),
     ).where(F.col("visit_count") >= min_visits)
+    spots = materialize(spots, "groups")  # two branches read it
     reach = tagged.join(spots, "spot").groupBy("spot").agg(F.max(haversine(F.col("lon"), F.col("lat"), F.col("center_lon"), F.col("center_lat"))).alias("radius_m"))
     out = materialize(spots.join(reach, "spot"), "spots")
     out = out.join(ranked(out), "spot")

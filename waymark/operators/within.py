@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import bounds_of, crosses, inside
 from waymark.functions.regions import Region, check_limit, check_window
 from waymark.operators.clean import along_track, track_summary
-from waymark.operators.density import in_window
+from waymark.operators.density import in_window, since, until
 
 
 def overlapping(tracks: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Tracks whose time overlaps a window, its ends included."""
-    if end is not None:
-        tracks = tracks.where(F.col("start_time") <= F.lit(end).cast("timestamp"))
-    return tracks if start is None else tracks.where(F.col("end_time") >= F.lit(start).cast("timestamp"))
+    return since(until(tracks, "start_time", end), "end_time", start)
 
 
 def crossing_tracks(points: DataFrame, region: Region) -> DataFrame:

@@ -80,6 +80,25 @@ spt AS (SELECT CAST(row_number() OVER (ORDER BY track_count DESC, visit_count DE
 SPOT = f"rank, round(lon, 7) AS center_lon, round(lat, 7) AS center_lat, visit_count, track_count, total_duration_s, round(radius_m, 3) AS radius_m, {iso('first_visit')} AS first_visit, {iso('last_visit')} AS last_visit, track_ids"
 
 
+#: Corners of the regions of the customers, as offsets (a, b) in micro-degrees, ring by ring.
+SHAPES = """CASE kind WHEN 0 THEN [[[0, 0], [2 * w, 0], [2 * w, 2 * w], [0, 2 * w], [0, 0]]]
+  WHEN 1 THEN [[[0, 0], [3 * w, 0], [3 * w, 3 * w], [w, w // 3], [0, 3 * w], [0, 0]]]
+  WHEN 3 THEN [[[0, 0], [17 * w, w], [5 * w, 4 * w], [0, 0]]]
+  WHEN 4 THEN [[[0, 0], [2 * w, 0], [2 * w, 2 * w], [0, 2 * w], [0, 0]], [[w // 2, w // 2], [w, w // 2], [w, w], [w // 2, w], [w // 2, w // 2]], [[w // 2 + 10, w // 2 + 10], [w - 10, w // 2 + 10], [w // 2 + 10, w - 10], [w // 2 + 10, w // 2 + 10]]]
+  WHEN 5 THEN [[[0, 0], [2 * w, 2 * w], [2 * w, 0], [0, 2 * w], [0, 0]]]
+  WHEN 6 THEN [[[0, 0], [2 * w, 0], [2 * w, 2 * w], [0, 2 * w], [0, 0]], [[5 * w, 0], [6 * w, 0], [6 * w, w], [5 * w, 0]]]
+  ELSE [[[0, 0], [2 * w, 0], [2 * w, 2 * w], [0, 2 * w], [0, 0]], [[w // 2, w // 2], [w, w // 2], [w, w], [w // 2, w], [w // 2, w // 2]]] END"""
+MANY = f"""reg AS (SELECT CAST(c_custkey AS BIGINT) AS region_id, c_custkey % 8 AS kind, 116290000 + (c_custkey * 7919) % 390000 AS x, 39938000 + (c_custkey * 104729) % 26000 AS y, 300 + (c_custkey * 31) % 40 * 60 AS w FROM customer),
+shp AS (SELECT *, unnest({SHAPES}) AS ring FROM reg),
+sid AS (SELECT region_id, x, y, ring, unnest(range(1, len(ring))) AS i FROM shp),
+edg AS (SELECT region_id, (x + ring[i][1]) / 1000000.0::DOUBLE AS ax, (y + ring[i][2]) / 1000000.0::DOUBLE AS ay, (x + ring[i + 1][1]) / 1000000.0::DOUBLE AS bx, (y + ring[i + 1][2]) / 1000000.0::DOUBLE AS by_ FROM sid),
+bbx AS (SELECT region_id, min(least(ax, bx)) AS w, max(greatest(ax, bx)) AS e, min(least(ay, by_)) AS s, max(greatest(ay, by_)) AS n FROM edg GROUP BY 1),
+nea AS (SELECT region_id, track_id, seq, lon, lat FROM pts JOIN bbx ON lon BETWEEN w AND e AND lat BETWEEN s AND n),
+ins AS (SELECT region_id, track_id, seq FROM nea JOIN edg USING (region_id) GROUP BY ALL HAVING
+  bool_or((bx - ax) * (lat - ay) - (by_ - ay) * (lon - ax) = 0 AND lon BETWEEN least(ax, bx) AND greatest(ax, bx) AND lat BETWEEN least(ay, by_) AND greatest(ay, by_))
+  OR sum(CASE WHEN (ay > lat) <> (by_ > lat) AND lon < (bx - ax) * (lat - ay) / nullif(by_ - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1)"""
+
+
 def region(r: Region, where: str = "true", tracks: str = "true") -> str:
     """ins: points inside; hits: tracks that cross; mat: matched tracks with counts."""
     values = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE, {d!r}::DOUBLE)" for a, b, c, d in edges_of(r.rings))
@@ -232,6 +251,8 @@ SELECT track_id, round(CASE WHEN m0 IS NULL THEN v1 WHEN m1 IS NULL OR m0 = m1 T
         "within_multipolygon": within(Q.MULTI),
         "within_hole": within(Q.HOLE),
         "within_buffer": within(Q.BUFFER),
+        "within_regions": f"WITH {PTS}, {MANY} SELECT region_id, count(*) AS points, count(DISTINCT track_id) AS tracks FROM ins GROUP BY 1",
+        "region_validity": "SELECT CAST(c_custkey AS BIGINT) AS region_id, c_custkey % 8 < 5 AS valid FROM customer",
         "within_time_window": within(Q.POLYGON, f"ts BETWEEN {START} AND {END}", f"start_time <= {END} AND end_time >= {START}"),
         "import_plan": f"""{ps}, inc AS (SELECT 'file-' || track_id AS file, CASE WHEN track_id % 4 = 0 THEN name ELSE 'new-' || track_id END AS name, source, CASE WHEN track_id % 3 = 0 THEN external_id ELSE 'new-' || track_id END AS external_id,
   track_id % 5 >= 3 AS rep, CASE WHEN track_id % 7 <> 6 THEN track_id + track_id % 2 END AS replace_id, track_id % 8 = 0 AS allow FROM trk),

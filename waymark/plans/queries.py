@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import from_gcj02, haversine, iso, local_hour, shifted, to_gcj02
 from waymark.functions.regions import Bbox, Region, parse_region, rectangle
-from waymark.operators import clean, density, hotspots, similarity, stays, tracks, within
+from waymark.operators import clean, density, hotspots, regions_join, similarity, stays, tracks, within
 from waymark.sources.files import content_hash, parse_gpx, parse_plt
-from waymark.sources.virtual import demo_points, named, random_points, virtual_points
+from waymark.sources.virtual import demo_points, named, random_points, virtual_points, virtual_regions
 from waymark.streaming import trips
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,6 +369,8 @@ def queries() -> dict[str, Query]:
         "within_multipolygon": _within(MULTI),
         "within_hole": _within(HOLE),
         "within_buffer": _within(BUFFER),
+        "within_regions": lambda spark, sf_dir: regions_join.region_counts(virtual_points(spark, sf_dir), virtual_regions(spark, sf_dir)),
+        "region_validity": lambda spark, sf_dir: regions_join.validity(virtual_regions(spark, sf_dir)).select("region_id", "valid"),
         "within_time_window": _within(POLYGON, start=WINDOW[0], end=WINDOW[1]),
         "import_plan": _import_plan,
         "name_conflicts": _on_points(lambda p: tracks.name_conflicts(p.where("seq = 0").select("track_id", F.concat(F.lit("name-"), (F.col("track_id") % 50).cast("string")).alias("name")))),

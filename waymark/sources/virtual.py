@@ -65,3 +65,36 @@ def demo_points(spark: SparkSession, tracks: int = 14, steps: int = 120) -> Data
         (lon0 + away * (F.lit(0.0002) + t * 0.00001) + jitter(4)).alias("lon"), (lat0 + away * 0.0001 + jitter(5)).alias("lat"),
         F.when(t % 3 != 2, F.round(40 + s / F.lit(10.0), 1)).alias("elevation_m"),
     )
+
+
+def _ring(corners: list[tuple[str, str]]) -> str:
+    """A closed ring as SQL: corners are offsets in micro-degrees from (x, y), in terms of w."""
+    return "array(" + ", ".join(f"named_struct('x', (x + {a}) / 1000000.0D, 'y', (y + {b}) / 1000000.0D)" for a, b in [*corners, corners[0]]) + ")"
+
+
+_SQUARE = [("0", "0"), ("2 * w", "0"), ("2 * w", "2 * w"), ("0", "2 * w")]
+_HOLE = [("w div 2", "w div 2"), ("w", "w div 2"), ("w", "w"), ("w div 2", "w")]
+_ISLAND = [("w div 2 + 10", "w div 2 + 10"), ("w - 10", "w div 2 + 10"), ("w div 2 + 10", "w - 10")]
+_NOTCHED = [("0", "0"), ("3 * w", "0"), ("3 * w", "3 * w"), ("w", "w div 3"), ("0", "3 * w")]
+_WEDGE = [("0", "0"), ("17 * w", "w"), ("5 * w", "4 * w")]
+_BOW = [("0", "0"), ("2 * w", "2 * w"), ("2 * w", "0"), ("0", "2 * w")]
+_AWAY = [("5 * w", "0"), ("6 * w", "0"), ("6 * w", "w")]
+
+
+def virtual_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region_id, kind, rings, geometry: a region for each customer, scattered over where virtual points lie.
+
+    Kinds 0 to 4 are valid: squares, notched pentagons, squares with a hole, wedges, squares with an island in
+    their hole. 5 to 7 are not: bow ties, holes away from their shells, polygons within polygons; as
+    rings counted even-odd they hold points all the same.
+    """
+    k = F.col("c_custkey")
+    placed = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        k.cast("long").alias("region_id"), (k % 8).cast("int").alias("kind"), (F.lit(116290000) + (k * 7919) % 390000).alias("x"), (F.lit(39938000) + (k * 104729) % 26000).alias("y"), (F.lit(300) + (k * 31) % 40 * 60).alias("w"),
+    )
+    shapes = [[[_SQUARE]], [[_NOTCHED]], [[_SQUARE, _HOLE]], [[_WEDGE]], [[_SQUARE, _HOLE], [_ISLAND]], [[_BOW]], [[_SQUARE, _AWAY]], [[_SQUARE], [_HOLE]]]
+    nested = "case kind " + " ".join(f"when {i} then array({', '.join('array(' + ', '.join(map(_ring, polygon)) + ')' for polygon in shape)})" for i, shape in enumerate(shapes)) + " end"
+    whole = placed.select("region_id", "kind", F.expr(nested).alias("polygons"))
+    numbers = F.transform("polygons", lambda p: F.transform(p, lambda r: F.transform(r, lambda c: F.array(c["x"], c["y"]))))
+    geometry = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), numbers.alias("coordinates")))
+    return whole.select("region_id", "kind", F.flatten("polygons").alias("rings"), geometry.alias("geometry"))
