@@ -80,6 +80,29 @@ def make_line(points: DataFrame) -> DataFrame:
     return points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("line"))
 
 
+def interpolated(points: DataFrame, fractions: list[float]) -> DataFrame:
+    """(track_id, fraction, lon, lat): the places that lie these fractions of a track's planar length along it.
+
+    Points without a place are passed over; a track of one place, or of no length, gives that place for
+    every fraction. Each fraction is looked for in the steps' cumulative lengths: one row a step and
+    fraction that falls within it.
+    """
+    if not fractions or not all(0 <= f <= 1 for f in fractions):
+        raise ValueError("fractions lie between 0 and 1")
+    lag = lambda c: F.coalesce(F.lag(c).over(along_track()), F.col(c))
+    steps = points.where("lon is not null and lat is not null").select("track_id", "seq", "lon", "lat", lag("lon").alias("lon0"), lag("lat").alias("lat0"))
+    dx, dy = F.col("lon") - F.col("lon0"), F.col("lat") - F.col("lat0")
+    steps = steps.withColumn("len", F.sqrt(dx * dx + dy * dy)).withColumn("end", F.sum("len").over(along_track()))
+    steps = steps.withColumns({"whole": F.max("end").over(whole_track()), "first": F.row_number().over(along_track()) == 1})
+    asked = steps.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    at, begin = F.col("fraction") * F.col("whole"), F.col("end") - F.col("len")
+    # The first point stands for all that lies at 0; after it a step holds its own end but not its beginning.
+    held = F.when(F.col("first"), at <= 0).otherwise((at > F.lag("end").over(W.partitionBy("track_id", "fraction").orderBy("seq"))) & (at <= F.col("end")))
+    share = F.coalesce((at - begin) / F.nullif(F.col("len"), F.lit(0.0)), F.lit(0.0))
+    along = lambda c: F.col(f"{c}0") + (F.col(c) - F.col(f"{c}0")) * share
+    return asked.withColumn("held", held).where("held").select("track_id", "fraction", along("lon").alias("lon"), along("lat").alias("lat"))
+
+
 def mean_speed_kmh(distance_m: Column, duration_s: Column) -> Column:
     return distance_m / F.nullif(duration_s, F.lit(0)) * 3.6
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import haversine, percent, utc_date
+from waymark.functions.geo import EARTH_M, haversine, percent, utc_date
 from waymark.functions.regions import check_limit, check_tolerance
-from waymark.operators.cells import around, at_home
+from waymark.operators.cells import around, at_home, column_at, nested
+from waymark.operators.storage import materialize
 
 
 def near_points(points: DataFrame, baseline: int | None, tolerance_m: float, most_broadcast: int = 100_000) -> DataFrame:
@@ -29,15 +30,112 @@ def near_points(points: DataFrame, baseline: int | None, tolerance_m: float, mos
 
 
 def hits(near: DataFrame) -> DataFrame:
-    """(a_track, b_track, a_hit, b_hit): distinct points of each side that are near the other."""
+    """(a_track, b_track, a_hit, b_hit): distinct points of each side among the pairs of near_points()."""
     sides = near.select("a_track", "b_track", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("a_seq").alias("q")), F.struct(F.lit(1).alias("s"), F.col("b_seq").alias("q")))).alias("x"))
     once = sides.select("a_track", "b_track", "x.s", "x.q").distinct()
     return once.groupBy("a_track", "b_track").agg(F.count_if(F.col("s") == 0).alias("a_hit"), F.count_if(F.col("s") == 1).alias("b_hit"))
 
 
+#: How often cells may be cut in four, and products of points up to which they are compared one by one.
+LEVELS, FEW = 12, 4_096
+#: Bounds of distances closer than this share to the tolerance are left to the points themselves.
+_CLOSE = 1e-9
+_BOX = ["n", "west", "east", "south", "north"]
+
+
+def _boxes(cut: DataFrame, level: int) -> DataFrame:
+    """(t, ry, rx, n, west, east, south, north): the points of a track in a cell of a level, and the box that they fill."""
+    cell = [F.shiftright(c, LEVELS - level).alias(r) for c, r in (("fy", "ry"), ("fx", "rx"))]
+    return cut.groupBy(F.col("track_id").alias("t"), *cell).agg(F.count(F.lit(1)).alias("n"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"))
+
+
+def _side(boxes: DataFrame, side: str) -> DataFrame:
+    return boxes.select(*[F.col(c).alias(f"{side}_{c}") for c in boxes.columns])
+
+
+def _bounds() -> tuple[Column, Column]:
+    """The least and the largest distance that points of box x and of box y can have, on the sphere."""
+    c = F.col
+
+    def gap(low: str, high: str) -> tuple[Column, Column]:
+        return F.greatest(F.lit(0.0), c(f"x_{low}") - c(f"y_{high}"), c(f"y_{low}") - c(f"x_{high}")), F.greatest(c(f"x_{high}") - c(f"y_{low}"), c(f"y_{high}") - c(f"x_{low}"))
+
+    def cosines(side: str) -> tuple[Column, Column]:
+        south, north = c(f"{side}_south"), c(f"{side}_north")
+        nearest = F.when((south <= 0) & (north >= 0), 0.0).otherwise(F.least(F.abs(south), F.abs(north)))
+        return F.cos(F.radians(F.greatest(F.abs(south), F.abs(north)))), F.cos(F.radians(nearest))
+
+    (lat0, lat1), (lon0, lon1) = gap("south", "north"), gap("west", "east")
+    (cx0, cx1), (cy0, cy1) = cosines("x"), cosines("y")
+
+    def metres(lat: Column, lon: Column, cos: Column) -> Column:
+        a = F.pow(F.sin(F.radians(lat) / 2), 2) + cos * F.pow(F.sin(F.radians(lon) / 2), 2)
+        return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+
+    return metres(lat0, lon0, cx0 * cy0), metres(lat1, lon1, cx1 * cy1)
+
+
+def near_counts(points: DataFrame, baseline: int | None, tolerance_m: float) -> DataFrame:
+    """(a_track, b_track, a_hit, b_hit): how many points of each of two tracks lie within tolerance_m of the other.
+
+    With a baseline, a is that track; otherwise a_track < b_track. Tracks are compared cell by cell: of two
+    cells in reach the boxes that the tracks' points fill tell whether all points of one are near the other,
+    none, or some. Where one box of the other track is near throughout, the cell's points all count and are
+    looked at no further; where it stays open, points are compared one by one if they are few, else
+    the cells are cut in four and their boxes compared again. So a crowded cell costs rows for the pairs of
+    tracks in it, not for the pairs of their points. Numbers of a track's points are distinct;
+    points without a place are near nothing.
+    """
+    check_tolerance(tolerance_m)
+    slim = points.select("track_id", "seq", "lon", "lat").where("lon is not null and lat is not null")
+    cut = materialize(nested(slim, "lon", "lat", tolerance_m, LEVELS), "cut-points")
+    boxes = _boxes(cut, 0)
+    mine = boxes.where(F.col("t") == baseline) if baseline is not None else boxes
+    rows = mine.withColumn("by", F.explode(F.sequence(F.col("ry") - 1, F.col("ry") + 1)))
+    reach = F.sequence(column_at(F.col("by"), F.col("west"), tolerance_m) - 1, column_at(F.col("by"), F.col("east"), tolerance_m) + 1)
+    around_mine = _side(rows.withColumn("bx", F.explode(reach)), "x").withColumnsRenamed({"x_by": "y_ry", "x_bx": "y_rx"})
+    pairs = around_mine.join(_side(boxes, "y"), ["y_ry", "y_rx"]).where("x_t != y_t")
+    if baseline is not None:
+        turned = F.struct(*[F.col(("y" if c[0] == "x" else "x") + c[1:]).alias(c) for c in pairs.columns])
+        pairs = pairs.select(F.explode(F.array(F.struct(*pairs.columns), turned)).alias("p")).select("p.*")
+    cell = ["x_t", "x_ry", "x_rx", "y_t"]
+    found = None
+    for level in range(LEVELS + 1):
+        low, high = _bounds()
+        told = pairs.withColumn("all", high <= tolerance_m * (1 - _CLOSE)).withColumn("none", low > tolerance_m * (1 + _CLOSE)).where("not none").drop("none")
+        told = materialize(told, "box-pairs")
+        by_cell = told.groupBy(*cell).agg(F.bool_or("all").alias("any"), F.first("x_n").alias("n"), (F.first("x_n") * F.sum("y_n")).alias("work"))
+        by_cell = materialize(by_cell, "cells")
+        whole = by_cell.where("any").select("x_t", "y_t", "n")
+        left = told.join(by_cell.where("not any").select(*cell, "work"), cell)
+        last = level == LEVELS
+        here = cut.select("track_id", "seq", "lon", "lat", *[F.shiftright(c, LEVELS - level).alias(r) for c, r in (("fy", "ry"), ("fx", "rx"))])
+        sides = [here.select(*[F.col(c).alias(f"{s}_{n}") for c, n in (("track_id", "t"), ("ry", "ry"), ("rx", "rx"), ("seq", "seq"), ("lon", "lon"), ("lat", "lat"))]) for s in "xy"]
+        keys = ["x_t", "x_ry", "x_rx", "y_t", "y_ry", "y_rx"]
+        few = left.where(F.lit(last) | (F.col("work") <= FEW)).select(*keys)
+        close = few.join(sides[0], keys[:3]).join(sides[1], keys[3:]).where(haversine(F.col("x_lon"), F.col("x_lat"), F.col("y_lon"), F.col("y_lat")) <= tolerance_m)
+        some = close.select("x_t", "x_seq", "y_t").distinct().groupBy("x_t", "y_t").agg(F.count(F.lit(1)).alias("n"))
+        counted = whole.unionByName(some)
+        found = counted if found is None else found.unionByName(counted)
+        many = left.where(F.col("work") > FEW)
+        if last or not many.take(1):
+            break
+        finer = _boxes(cut, level + 1)
+        kept = [many.select(*keys)]
+        for s in "xy":
+            child = _side(finer, s).withColumns({f"{s}_cy": F.shiftright(f"{s}_ry", 1), f"{s}_cx": F.shiftright(f"{s}_rx", 1)})
+            above = kept[0].withColumnsRenamed({f"{s}_ry": f"{s}_cy", f"{s}_rx": f"{s}_cx"})
+            kept = [above.join(child, [f"{s}_t", f"{s}_cy", f"{s}_cx"]).drop(f"{s}_cy", f"{s}_cx")]
+        pairs = kept[0]
+    first = F.col("x_t") == baseline if baseline is not None else F.col("x_t") < F.col("y_t")
+    named = found.select(F.when(first, F.col("x_t")).otherwise(F.col("y_t")).alias("a_track"), F.when(first, F.col("y_t")).otherwise(F.col("x_t")).alias("b_track"), first.alias("first"), "n")
+    hit = lambda side: F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0).cast("long"))
+    return named.groupBy("a_track", "b_track").agg(hit(F.col("first")).alias("a_hit"), hit(~F.col("first")).alias("b_hit"))
+
+
 def scores(points: DataFrame, baseline: int | None, tolerance_m: float = 50.0) -> DataFrame:
     """(a_track, b_track, a_hit, b_hit, forward, reverse, similarity): percents to one decimal, similarity the smaller."""
-    found = hits(near_points(points, baseline, tolerance_m))
+    found = near_counts(points, baseline, tolerance_m)
     totals = points.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
     a, b = totals.select(F.col("track_id").alias("a_track"), F.col("n").alias("a_n")), totals.select(F.col("track_id").alias("b_track"), F.col("n").alias("b_n"))
     both = found.join(a, "a_track").join(b, "b_track").withColumns({"forward": percent(F.col("a_hit"), F.col("a_n")), "reverse": percent(F.col("b_hit"), F.col("b_n"))})

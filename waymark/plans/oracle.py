@@ -251,6 +251,12 @@ SELECT track_id, round(CASE WHEN m0 IS NULL THEN v1 WHEN m1 IS NULL OR m0 = m1 T
         "within_multipolygon": within(Q.MULTI),
         "within_hole": within(Q.HOLE),
         "within_buffer": within(Q.BUFFER),
+        "line_interpolate": f"""WITH {PTS}, stp AS (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+len AS (SELECT *, coalesce(sqrt((lon - lon0) * (lon - lon0) + (lat - lat0) * (lat - lat0)), 0) AS d FROM stp),
+cum AS (SELECT *, sum(d) OVER (PARTITION BY track_id ORDER BY seq) AS e, sum(d) OVER (PARTITION BY track_id) AS whole FROM len),
+ask AS (SELECT *, unnest([0.0, 0.1, 0.5, 0.75, 1.0]::DOUBLE[]) AS fraction FROM cum),
+pic AS (SELECT track_id, fraction, min(seq) AS seq FROM ask WHERE e >= fraction * whole - 1e-15 GROUP BY 1, 2)
+SELECT track_id, fraction, round(coalesce(lon0 + (lon - lon0) * ((fraction * whole - (e - d)) / nullif(d, 0)), lon), 7) AS lon, round(coalesce(lat0 + (lat - lat0) * ((fraction * whole - (e - d)) / nullif(d, 0)), lat), 7) AS lat FROM pic JOIN ask USING (track_id, fraction, seq)""",
         "within_regions": f"WITH {PTS}, {MANY} SELECT region_id, count(*) AS points, count(DISTINCT track_id) AS tracks FROM ins GROUP BY 1",
         "region_validity": "SELECT CAST(c_custkey AS BIGINT) AS region_id, c_custkey % 8 < 5 AS valid FROM customer",
         "within_time_window": within(Q.POLYGON, f"ts BETWEEN {START} AND {END}", f"start_time <= {END} AND end_time >= {START}"),

@@ -107,7 +107,7 @@ def _scores(baseline: int | None) -> Query:
 
 
 def _hits(column: str) -> Query:
-    return _on_points(lambda p: similarity.hits(similarity.near_points(p, BASELINE, TOLERANCE_M)).where(F.col(column) > 0).select(F.col("b_track").alias("track_id"), F.col(column).alias("hits")))
+    return _on_points(lambda p: similarity.near_counts(p, BASELINE, TOLERANCE_M).where(F.col(column) > 0).select(F.col("b_track").alias("track_id"), F.col(column).alias("hits")))
 
 
 def _similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,6 +350,7 @@ def queries() -> dict[str, Query]:
         # Scalar functions
         "haversine": _on_points(lambda p: p.select("track_id", "seq", F.round(haversine(F.lit(116.3), F.lit(39.95), F.col("lon"), F.col("lat")), 3).alias("metres"))),
         "line_stats": _on_points(_line_stats),
+        "line_interpolate": _on_points(lambda p: clean.interpolated(p, [0.0, 0.1, 0.5, 0.75, 1.0]).select("track_id", "fraction", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))),
         "distance_three_ways": _on_points(_distance_ways),
         "gcj02_shift": _on_points(_gcj02),
         "gcj02_back": _on_points(_gcj02_back),
