@@ -31,6 +31,68 @@ def haversine_m(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(a)))
 
 
+#: Fixed values of the WGS84 ellipsoid: half its long axis in metres, and its flattening.
+WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
+#: Steps of the longitude's iteration at most, and the change in radians at which it has settled (under a tenth of a millimetre).
+GEODESIC_STEPS, GEODESIC_SETTLED = 20, 1e-11
+
+
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres along the WGS84 ellipsoid by Vincenty's inverse formula.
+
+    The difference of longitudes on the auxiliary sphere is iterated until it settles; places nearly
+    opposite each other, for which it does not, give null, as a null coordinate does.
+    """
+    f, a, b = WGS84_F, WGS84_A, WGS84_A * (1 - WGS84_F)
+    reduced = lambda lat: F.atan(F.lit(1 - f) * F.tan(F.radians(lat)))
+    turn = F.radians(lon2 - lon1)
+    turn = F.atan2(F.sin(turn), F.cos(turn))  # the shorter way round
+
+    def arc(p: Column, lam: Column, use: Callable[[Column], Column]) -> Column:
+        """use() of the arc and angles that belong to a difference of longitudes, each bound once."""
+        sin_s = F.sqrt(F.pow(p["c2"] * F.sin(lam), 2) + F.pow(p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam), 2))
+        cos_s = p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(lam)
+        sin_a = lambda t: p["c1"] * p["c2"] * F.sin(lam) / t["sin"]
+
+        def with_angle(t: Column) -> Column:
+            cos2a = 1 - F.pow(sin_a(t), 2)
+            middle = lambda u: F.when(u["cos2a"] > 1e-15, u["cos"] - 2 * p["s1"] * p["s2"] / u["cos2a"]).otherwise(0.0)
+            angles = {"sin": t["sin"], "cos": t["cos"], "s": F.atan2(t["sin"], t["cos"]), "sina": sin_a(t), "cos2a": cos2a}
+            return _bound(angles, lambda u: _bound({**{k: u[k] for k in angles}, "m": middle(u)}, use))
+
+        return _bound({"sin": sin_s, "cos": cos_s}, lambda t: F.when(t["sin"] > 0, with_angle(t)))
+
+    def longitude(p: Column, lam: Column) -> Column:
+        def moved(u: Column) -> Column:
+            c = f / 16 * u["cos2a"] * (4 + f * (4 - 3 * u["cos2a"]))
+            return p["l"] + (1 - c) * f * u["sina"] * (u["s"] + c * u["sin"] * (u["m"] + c * u["cos"] * (2 * u["m"] * u["m"] - 1)))
+
+        return arc(p, lam, moved)
+
+    def metres(p: Column, lam: Column) -> Column:
+        def length(u: Column) -> Column:
+            k = u["cos2a"] * ((a * a - b * b) / (b * b))
+            big = 1 + k / 16384 * (4096 + k * (k * (320 - 175 * k) - 768))
+            small = k / 1024 * (256 + k * (k * (74 - 47 * k) - 128))
+            inner = u["cos"] * (2 * u["m"] * u["m"] - 1) - small / 6 * u["m"] * (4 * u["sin"] * u["sin"] - 3) * (4 * u["m"] * u["m"] - 3)
+            return b * big * (u["s"] - small * u["sin"] * (u["m"] + small / 4 * inner))
+
+        return arc(p, lam, length)
+
+    def solve(p: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            new = F.coalesce(longitude(p, state["lam"]), state["lam"])
+            return F.when(state["done"], state).otherwise(_bound({"new": new}, lambda n: F.struct(n["new"].alias("lam"), (F.abs(n["new"] - state["lam"]) <= GEODESIC_SETTLED).alias("done"))))
+
+        begin = F.struct(p["l"].alias("lam"), F.lit(False).alias("done"))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(GEODESIC_STEPS)), begin, step)
+        return _bound({"r": found}, lambda t: F.when(t["r"]["done"], F.coalesce(metres(p, t["r"]["lam"]), F.lit(0.0))))
+
+    u1, u2 = reduced(lat1), reduced(lat2)
+    placed = {"s1": F.sin(u1), "c1": F.cos(u1), "s2": F.sin(u2), "c2": F.cos(u2), "l": turn}
+    return F.when((lon1 == lon2) & (lat1 == lat2), 0.0).otherwise(F.when(lon1.isNotNull() & lon2.isNotNull() & lat1.isNotNull() & lat2.isNotNull(), _bound(placed, solve)))
+
+
 def degrees_for(tolerance_m: float, max_abs_lat: float) -> float:
     """Degrees that cover tolerance_m in both directions at any latitude up to max_abs_lat."""
     return tolerance_m / min(LAT_M, LON_M * max(math.cos(math.radians(max_abs_lat)), 0.01)) * 1.05

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.functions.geo import EARTH_M, GCJ_A, GCJ_BOUNDS, GCJ_EE, edges_of
+from waymark.functions.geo import EARTH_M, GCJ_A, GCJ_BOUNDS, GCJ_EE, WGS84_A, WGS84_F, edges_of
 from waymark.functions.regions import Region
 from waymark.plans import queries as Q
 
@@ -80,6 +80,25 @@ spt AS (SELECT CAST(row_number() OVER (ORDER BY track_count DESC, visit_count DE
 SPOT = f"rank, round(lon, 7) AS center_lon, round(lat, 7) AS center_lat, visit_count, track_count, total_duration_s, round(radius_m, 3) AS radius_m, {iso('first_visit')} AS first_visit, {iso('last_visit')} AS last_visit, track_ids"
 
 
+def vincenty(rows: str, keep: str, steps: int = 8) -> str:
+    """CTEs g0 .. and geo(keep, metres): geodesics between (lon, lat) and (lon2, lat2) of rows, so many steps of the iteration each."""
+    f, a = f"{WGS84_F!r}::DOUBLE", f"{WGS84_A!r}::DOUBLE"
+    sigma = "sqrt(pow(cu2 * sin(lam), 2) + pow(cu1 * su2 - su1 * cu2 * cos(lam), 2)) AS ss, su1 * su2 + cu1 * cu2 * cos(lam) AS cs"
+    angles = "atan2(ss, cs) AS s, cu1 * cu2 * sin(lam) / nullif(ss, 0) AS sa"
+    middle = "1 - sa * sa AS ca2, CASE WHEN 1 - sa * sa > 1e-15 THEN cs - 2 * su1 * su2 / (1 - sa * sa) ELSE 0 END AS cm"
+    c = f"({f} / 16 * ca2 * (4 + {f} * (4 - 3 * ca2)))"
+    of = lambda src: f"(SELECT *, {middle} FROM (SELECT *, {angles} FROM (SELECT *, {sigma} FROM {src})))"
+    base = f"{keep}, su1, cu1, su2, cu2, l"
+    out = [f"u AS (SELECT {keep}, atan((1 - {f}) * tan(radians(lat))) AS u1, atan((1 - {f}) * tan(radians(lat2))) AS u2, radians(lon2 - lon) AS l FROM {rows})", f"g0 AS (SELECT {keep}, sin(u1) AS su1, cos(u1) AS cu1, sin(u2) AS su2, cos(u2) AS cu2, l, l AS lam FROM u)"]
+    for k in range(steps):
+        out.append(f"g{k + 1} AS (SELECT {base}, coalesce(l + (1 - {c}) * {f} * sa * (s + {c} * ss * (cm + {c} * cs * (2 * cm * cm - 1))), lam) AS lam FROM {of(f'g{k}')})")
+    b = f"({a} * (1 - {f}))"
+    out.append(f"gk AS (SELECT *, ca2 * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS k FROM {of(f'g{steps}')})")
+    out.append("gab AS (SELECT *, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) AS ba, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) AS bb FROM gk)")
+    out.append(f"geo AS (SELECT {keep}, coalesce({b} * ba * (s - bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))), 0) AS metres FROM gab)")
+    return ",\n".join(out)
+
+
 #: Corners of the regions of the customers, as offsets (a, b) in micro-degrees, ring by ring.
 SHAPES = """CASE kind WHEN 0 THEN [[[0, 0], [2 * w, 0], [2 * w, 2 * w], [0, 2 * w], [0, 0]]]
   WHEN 1 THEN [[[0, 0], [3 * w, 0], [3 * w, 3 * w], [w, w // 3], [0, 3 * w], [0, 0]]]
@@ -177,6 +196,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "plt_parse": f"{p} SELECT track_id, seq, lat, lon, round(CASE WHEN seq % 5 = 0 THEN NULL ELSE seq * 10 * 0.3048::DOUBLE END, 4) AS elevation_m, {iso('ts')} AS recorded_at FROM pts WHERE {plt_ok}",
         "gpx_parse": f"{p} SELECT track_id, 'track ' || track_id AS name, seq, lat, lon, CASE WHEN seq % 5 = 0 THEN NULL ELSE seq * 2 + 0.5::DOUBLE END AS elevation_m, {iso('ts')} AS recorded_at FROM pts WHERE seq % 17 <> 3 AND seq % 11 <> 2 AND seq % 13 NOT IN (5, 6)",
+        "plt_format": f"{p} SELECT track_id, seq, lat, lon, round(CASE WHEN seq % 5 = 0 THEN NULL ELSE seq * 10 * 0.3048::DOUBLE END, 4) AS elevation_m, {iso('ts')} AS recorded_at FROM pts WHERE {plt_ok}",
+        "gpx_format": f"{p} SELECT track_id, seq, lat, lon, CASE WHEN seq % 5 = 0 THEN NULL ELSE seq * 2 + 0.5::DOUBLE END AS elevation_m, {iso('ts')} AS recorded_at FROM pts WHERE seq % 17 <> 3 AND seq % 11 <> 2 AND seq % 13 NOT IN (5, 6)",
         "sample_track": sample_track(),
         "content_hash": f"{p} SELECT track_id, substr(sha256('content of ' || track_id), 1, 32) AS hash FROM pts WHERE seq = 0",
         "geojson_export": f"{p} SELECT track_id, 'LineString' AS kind, 'track-' || track_id AS name, count(*) AS points, arg_min(lat, seq) AS first_lat, {iso('min(ts)')} AS first_time FROM pts GROUP BY track_id",
@@ -251,6 +272,13 @@ SELECT track_id, round(CASE WHEN m0 IS NULL THEN v1 WHEN m1 IS NULL OR m0 = m1 T
         "within_multipolygon": within(Q.MULTI),
         "within_hole": within(Q.HOLE),
         "within_buffer": within(Q.BUFFER),
+        "ellipsoid_steps": f"""WITH {PTS}, stp AS (SELECT a.track_id, a.seq, a.lon, a.lat, b.lon AS lon2, b.lat AS lat2 FROM pts a JOIN pts b ON b.track_id = a.track_id AND b.seq = a.seq + 1),
+{vincenty("stp", "track_id, seq, lon, lat, lon2, lat2")} SELECT track_id, seq, round(metres, 4) AS ellipsoid_m, round(metres - {hav("lon", "lat", "lon2", "lat2")}, 4) AS longer_m FROM geo""",
+        "similarity_ellipsoid": f"""WITH {PTS}, can AS (SELECT a.track_id AS a_track, a.seq AS a_seq, b.track_id AS b_track, b.seq AS b_seq, a.lon, a.lat, b.lon AS lon2, b.lat AS lat2 FROM pts a JOIN pts b ON a.track_id = {Q.BASELINE} AND b.track_id <> {Q.BASELINE} AND b.lat BETWEEN a.lat - 0.001 AND a.lat + 0.001 AND b.lon BETWEEN a.lon - 0.001 AND a.lon + 0.001),
+{vincenty("can", "a_track, a_seq, b_track, b_seq")},
+hit AS (SELECT a_track, b_track, count(DISTINCT a_seq) AS a_hit, count(DISTINCT b_seq) AS b_hit FROM geo WHERE metres <= {Q.TOLERANCE_M} GROUP BY ALL),
+tot AS (SELECT track_id, count(*) AS n FROM pts GROUP BY 1)
+SELECT a_track, b_track, a_hit, b_hit, least(floor(least(100.0::DOUBLE, a_hit * 100.0::DOUBLE / a.n) * 10 + 0.5) / 10, floor(least(100.0::DOUBLE, b_hit * 100.0::DOUBLE / b.n) * 10 + 0.5) / 10) AS similarity FROM hit JOIN tot a ON a.track_id = a_track JOIN tot b ON b.track_id = b_track""",
         "line_interpolate": f"""WITH {PTS}, stp AS (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
 len AS (SELECT *, coalesce(sqrt((lon - lon0) * (lon - lon0) + (lat - lat0) * (lat - lat0)), 0) AS d FROM stp),
 cum AS (SELECT *, sum(d) OVER (PARTITION BY track_id ORDER BY seq) AS e, sum(d) OVER (PARTITION BY track_id) AS whole FROM len),

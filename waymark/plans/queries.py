@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import from_gcj02, haversine, iso, local_hour, shifted, to_gcj02
+from waymark.functions.geo import from_gcj02, geodesic, haversine, iso, local_hour, shifted, to_gcj02
 from waymark.functions.regions import Bbox, Region, parse_region, rectangle
 from waymark.operators import clean, density, hotspots, regions_join, similarity, stays, tracks, within
+from waymark.operators.storage import shared_dir
 from waymark.sources.files import content_hash, parse_gpx, parse_plt
+from waymark.sources.track_format import register
 from waymark.sources.virtual import demo_points, named, random_points, virtual_points, virtual_regions
 from waymark.streaming import trips
 
@@ -181,6 +184,16 @@ def _gpx_parse(p: DataFrame) -> DataFrame:
     return got.select(F.col("file").cast("long").alias("track_id"), "name", F.col("line").cast("long").alias("seq"), "lat", "lon", "elevation_m", iso(F.col("recorded_at")).alias("recorded_at"))
 
 
+def _through_files(files: DataFrame) -> DataFrame:
+    """What the data source reads of texts (file, value) that were written as a file each."""
+    spark = files.sparkSession
+    path = f"{shared_dir(spark)}/waymark/track-files-{uuid.uuid4().hex}"
+    files.select("file", "value").write.partitionBy("file").text(path)
+    register(spark)
+    found = spark.read.format("tracks").load(path)
+    return found.select(F.regexp_extract("file", r"/file=(\d+)/", 1).cast("long").alias("track_id"), F.col("line").cast("long").alias("seq"), "lat", "lon", F.round("elevation_m", 4).alias("elevation_m"), iso(F.col("recorded_at")).alias("recorded_at"))
+
+
 def _sample_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """121 points evenly along a route of six legs, 25 s apart, with a rippling elevation."""
     lengths = [((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) ** 0.5 for a, b in zip(ROUTE, ROUTE[1:], strict=False)]
@@ -236,6 +249,13 @@ def _distance_ways(p: DataFrame) -> DataFrame:
     return ends.select("track_id", F.round(planar, 9).alias("planar_deg"), F.round(haversine(lon0, lat0, lon1, lat1), 3).alias("sphere_m"))
 
 
+def _ellipsoid(p: DataFrame) -> DataFrame:
+    """Of each step its length on the ellipsoid, and how much longer that is than on the sphere."""
+    step = p.join(p.select("track_id", (F.col("seq") - 1).alias("seq"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), ["track_id", "seq"])
+    places = [F.col(c) for c in ("lon", "lat", "lon2", "lat2")]
+    return step.select("track_id", "seq", F.round(geodesic(*places), 4).alias("ellipsoid_m"), F.round(geodesic(*places) - haversine(*places), 4).alias("longer_m"))
+
+
 def _planar_near(p: DataFrame) -> DataFrame:
     dx, dy = F.col("lon") - 116.3, F.col("lat") - 39.95
     return p.where(dx * dx + dy * dy <= 0.003 * 0.003).select("track_id", "seq", "lon", "lat")
@@ -290,6 +310,8 @@ def queries() -> dict[str, Query]:
         # Sources and sinks
         "plt_parse": _on_points(_plt_parse),
         "gpx_parse": _on_points(_gpx_parse),
+        "plt_format": _on_points(lambda p: _through_files(_plt_files(p)).withColumn("seq", F.col("seq") - 6)),
+        "gpx_format": _on_points(lambda p: _through_files(_gpx_files(p))),
         "sample_track": _sample_track,
         "random_points_near": _random_near,
         "demo_points": _demo,
@@ -317,6 +339,7 @@ def queries() -> dict[str, Query]:
         "similarity_scores": _scores(BASELINE),
         "similarity_all_pairs": _scores(None),
         "similarity_topk": _similarity_topk,
+        "similarity_ellipsoid": _on_points(lambda p: similarity.scores(p, BASELINE, TOLERANCE_M, ellipsoid=True).select("a_track", "b_track", "a_hit", "b_hit", "similarity")),
         "similarity_min": _on_points(_similarity_min),
         "similarity_compared": _on_points(_similarity_compared),
         "semi_join_ids": _on_tracks(lambda t: t.join(t.where("source = 'gpx'").select("track_id"), "track_id", "left_semi").select("track_id", "name")),
@@ -352,6 +375,7 @@ def queries() -> dict[str, Query]:
         "line_stats": _on_points(_line_stats),
         "line_interpolate": _on_points(lambda p: clean.interpolated(p, [0.0, 0.1, 0.5, 0.75, 1.0]).select("track_id", "fraction", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))),
         "distance_three_ways": _on_points(_distance_ways),
+        "ellipsoid_steps": _on_points(_ellipsoid),
         "gcj02_shift": _on_points(_gcj02),
         "gcj02_back": _on_points(_gcj02_back),
         "gcj02_cells": _on_points(lambda p: shifted(density.density(p, BOX, CELL)).select(_degrees(F.col("lon"), "lon"), _degrees(F.col("lat"), "lat"), "points")),

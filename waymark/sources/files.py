@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 HEAD_BYTES, SCAN_LINES, FEET_M = 4096, 50, 0.3048
 _NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 #: ISO times of a known offset; others name no instant.
-_OFFSET_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2}(:\d{2})?)$"
+OFFSET_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2}(:\d{2})?)$"
 _GPX = "trk array<struct<name:string,trkseg:array<struct<trkpt:array<struct<_lat:string,_lon:string,ele:string,time:string>>>>>>"
 
 
@@ -62,7 +62,7 @@ def parse_gpx(files: DataFrame) -> DataFrame:
     when = F.regexp_replace(F.upper(F.trim("p.time")), r"T(\d{2}:\d{2})(Z|[+-])", "T$1:00$2")  # seconds may be left out
     parsed = rows.select(
         "file", "line", F.col("p._lat").try_cast("double").alias("lat"), F.col("p._lon").try_cast("double").alias("lon"),
-        F.col("p.ele").try_cast("double").alias("elevation_m"), F.when(when.rlike(_OFFSET_TIME), when.try_cast("timestamp")).alias("recorded_at"), "name",
+        F.col("p.ele").try_cast("double").alias("elevation_m"), F.when(when.rlike(OFFSET_TIME), when.try_cast("timestamp")).alias("recorded_at"), "name",
     )
     return parsed.where(F.col("recorded_at").isNotNull() & _on_earth(F.col("lat"), F.col("lon")))
 
