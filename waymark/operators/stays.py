@@ -16,7 +16,7 @@ from waymark.functions.geo import EARTH_M
 
 DIAMETER_M, MIN_STAY_S, MAX_GAP_S = 50.0, 300, 300
 SCHEMA = "track_id long, seq_start long, seq_end long, start_time timestamp, end_time timestamp, duration_s int, center_lon double, center_lat double, radius_m double, point_count int"
-_FOUND = SCHEMA.replace("timestamp", "long")
+FOUND = SCHEMA.replace("timestamp", "long")
 
 
 def _spread(lon: np.ndarray, lat: np.ndarray, c_lon: float, c_lat: float) -> float:
@@ -64,6 +64,12 @@ def _windows(ms: np.ndarray, lon: np.ndarray, lat: np.ndarray, diameter_m: float
     return out
 
 
+def stays_of_run(track: int, ms: np.ndarray, seq: np.ndarray, lon: np.ndarray, lat: np.ndarray, diameter_m: float, min_s: int) -> list[tuple]:
+    """The rows of FOUND for points of one track without a gap among them."""
+    found = _windows(ms, lon, lat, diameter_m, min_s)
+    return [(track, seq[i], seq[j], ms[i], ms[j], (ms[j] - ms[i]) // 1000, c_lon, c_lat, r, j - i + 1) for i, j, c_lon, c_lat, r in found]
+
+
 def stay_points(points: DataFrame, diameter_m: float = DIAMETER_M, min_stay_s: int = MIN_STAY_S, max_gap_s: int = MAX_GAP_S) -> DataFrame:
     """One row a stay.
 
@@ -72,13 +78,10 @@ def stay_points(points: DataFrame, diameter_m: float = DIAMETER_M, min_stay_s: i
     after it, else one point further on. No window crosses a longer gap, so a track falls into runs
     without one: each is read by one task, which holds no more than a batch and the run at its end.
     """
-    columns = [c.split()[0] for c in _FOUND.split(", ")]
+    columns = [c.split()[0] for c in FOUND.split(", ")]
 
     def detect(run: pd.DataFrame) -> list[tuple]:
-        ms, seq = run["ms"].to_numpy(), run["seq"].to_numpy()
-        found = _windows(ms, run["lon"].to_numpy(), run["lat"].to_numpy(), diameter_m, min_stay_s)
-        track = run["track_id"].iat[0]
-        return [(track, seq[i], seq[j], ms[i], ms[j], (ms[j] - ms[i]) // 1000, lon, lat, r, j - i + 1) for i, j, lon, lat, r in found]
+        return stays_of_run(run["track_id"].iat[0], *[run[c].to_numpy() for c in ("ms", "seq", "lon", "lat")], diameter_m, min_stay_s)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # the run at the end of what was read
@@ -102,7 +105,7 @@ def stay_points(points: DataFrame, diameter_m: float = DIAMETER_M, min_stay_s: i
     along = W.partitionBy("track_id").orderBy("seq")
     gap = F.floor((F.col("ms") - F.lag("ms").over(along)) / 1000) > max_gap_s
     slim = slim.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("run", F.sum("gap").over(along)).drop("gap")
-    found = slim.repartition("track_id", "run").sortWithinPartitions("track_id", "run", "seq").mapInPandas(scan, _FOUND)
+    found = slim.repartition("track_id", "run").sortWithinPartitions("track_id", "run", "seq").mapInPandas(scan, FOUND)
     return found.select(*[F.timestamp_millis(c).alias(c) if c.endswith("_time") else c for c in columns])
 
 
