@@ -1,6 +1,6 @@
 """License scans with MinHash bands over overlapping text windows. DataFrame operations only.
 
-Templates are license notices and headers. For each length of template, documents are read in
+Templates are license notices, headers and the whole texts of short licenses. For each length of template, documents are read in
 overlapping windows of that many words, one every eighth of a window (every word where that is
 less). Each gets a MinHash signature of BANDS one-row bands. A band of a window equals that of a
 template only if one shingle is the least of both, so a window without a shingle of any template
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.common import hinted, materialize, shingle_hashes, small_enough, words
+from waymark.llm.license_texts import WHOLE
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -48,6 +49,7 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    **WHOLE,
 }
 
 
