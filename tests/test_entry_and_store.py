@@ -33,7 +33,8 @@ def normal(v):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SMALL}/events.parquet'")
+    for name in ("events", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
     return con
 
 
