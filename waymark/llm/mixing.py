@@ -43,7 +43,7 @@ MOST_EVIDENCE, STRONG = 12.0, 6.0
 COPY_HASHES = 3
 #: A target is met within this share of it. Rates that miss targets are looked for where weighed squares fall
 #: by less than half in PATIENCE steps; the plain sum of squares falls no further where it does so by less than SETTLED of itself.
-TOLERANCE, SETTLED, PATIENCE = 1e-3, 1e-3, 10
+TOLERANCE, SETTLED, PATIENCE = 1e-6, 1e-3, 10
 #: Rows up to which the feature weights are broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 200_000
 _SENTINEL = "\u0001document"
