@@ -9,10 +9,11 @@ projected gradient so that the expected tokens of each domain meet the targets i
 sense. Rates begin at 1. A step aggregates the expected tokens of each domain, takes from each rate its
 gradient, which is the document's posterior times the domains' residuals, and sets what falls below 0
 to 0. Rates depend on the posterior alone, so they are held in a table with a row for each distinct
-posterior, written anew each step by the job that also aggregates for the next. Steps are first scaled
-by the second moments of the posteriors of documents with a rate above 0, with which rare domains converge as
-fast as common ones. Where no rates seem to meet all targets, plain steps with momentum go on until the
-sum of squares falls no further.
+posterior, written anew each step by the job that also aggregates for the next. A step's gradient is scaled
+in three ways, by the second moments of the posteriors of documents with a rate above 0, by those moments
+weighted with the rates, and plainly; one aggregation tells which scaling and which of a range of lengths
+leads nearest to the targets. The distance never rises. Steps end where the targets are met or, where no rates
+meet them all, where the distance falls no further.
 ``residuals`` tells how far the fitted mixture is from the targets.
 
 Defined results: null and empty texts have no tokens and the posterior of documents without
@@ -41,9 +42,10 @@ MIN_STATISTIC, MIN_SUPPORT = 18.0, 5
 MOST_EVIDENCE, STRONG = 12.0, 6.0
 #: MinHash values by which near copies among the labelled rows are told.
 COPY_HASHES = 3
-#: A target is met within this share of it. Rates that miss targets are looked for where weighed squares fall
-#: by less than half in PATIENCE steps; the plain sum of squares falls no further where it does so by less than SETTLED of itself.
-TOLERANCE, SETTLED, PATIENCE = 1e-6, 1e-3, 10
+#: A target is met within this share of it. The distance from the targets falls no further where it does so by less
+#: than SETTLED of itself in PATIENCE steps. Lengths tried for a step.
+TOLERANCE, SETTLED, PATIENCE = 1e-6, 1e-3, 5
+LENGTHS = [2.0**k for k in range(-8, 9)]
 #: Rows up to which the feature weights are broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 200_000
 _SENTINEL = "\u0001document"
@@ -202,65 +204,59 @@ def posteriors(docs: DataFrame, model: Model, domains: list[str]) -> DataFrame:
 
 
 class _Descent:
-    """Projected-gradient steps on a table of rates (p, share, rate), written anew each step by the job that also aggregates for the next."""
+    """Projected-gradient steps on a table of rates (p, share, rate), written anew each step."""
 
     def __init__(self, state: DataFrame, goal: np.ndarray, tolerance: float) -> None:
         self.goal, self.tolerance, self.size = goal, tolerance, len(goal)
         self.p = [F.element_at("p", i + 1) for i in range(self.size)]
-        self.squares: list[float] = []
-        self._write(state.withColumn("before", F.col("rate")), 0.0)
-        spread, axes = np.linalg.eigh(self.moments)
+        self._write(state)
+        spread, axes = np.linalg.eigh(self.inside)
         self.axes, self.steepest = axes[:, spread > 1e-12 * spread[-1]], spread[-1]  # no document lies in other directions
 
-    def _write(self, state: DataFrame, momentum: float) -> None:
-        """Write the state; sum its expected shares, those ahead of it, and the second moments of the documents with a rate above 0."""
+    def _write(self, state: DataFrame) -> None:
+        """Write the rates; in the same job, sum the expected shares and the second moments of the documents with a rate above 0, plain and by rate."""
         seen = Observation()
-        ahead = F.col("rate") + momentum * (F.col("rate") - F.col("before"))
-        sums = [F.sum(F.col("share") * r * self.p[i]).alias(f"{n}{i}") for n, r in (("now", F.col("rate")), ("ahead", ahead)) for i in range(self.size)]
-        sums += [F.sum(F.when(ahead > 0, F.col("share") * self.p[i] * self.p[j]).otherwise(0.0)).alias(f"m{i}_{j}") for i in range(self.size) for j in range(i, self.size)]
-        self.state = materialize(state.withColumn("ahead", ahead).observe(seen, *sums), "rates")
+        at = [(i, j) for i in range(self.size) for j in range(i, self.size)]
+        sums = [F.sum(F.col("share") * F.col("rate") * p).alias(f"now{i}") for i, p in enumerate(self.p)]
+        for name, weight in (("in", F.when(F.col("rate") > 0, F.col("share")).otherwise(0.0)), ("by", F.col("share") * F.col("rate"))):
+            sums += [F.sum(weight * self.p[i] * self.p[j]).alias(f"{name}{i}_{j}") for i, j in at]
+        self.state = materialize(state.observe(seen, *sums), "rates")
         got = seen.get
-        self.now, self.ahead = (np.array([got[f"{n}{i}"] for i in range(self.size)]) for n in ("now", "ahead"))
-        self.moments = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] for j in range(self.size)] for i in range(self.size)])
+        self.now = np.array([got[f"now{i}"] for i in range(self.size)])
+        self.inside, self.by_rate = (np.array([[got[f"{n}{min(i, j)}_{max(i, j)}"] for j in range(self.size)] for i in range(self.size)]) for n in ("in", "by"))
 
-    def off(self) -> np.ndarray:
-        return self.axes @ (self.axes.T @ (self.now - self.goal))
+    def off(self, now: np.ndarray) -> np.ndarray:
+        return self.axes @ (self.axes.T @ (now - self.goal))
 
     def met(self) -> bool:
-        return bool(np.all(np.abs(self.off()) <= self.tolerance * np.maximum(np.abs(self.goal), 1e-3)))
-
-    def stalled(self, square: float, least_fall: float) -> bool:
-        """Whether the sum of squares has fallen by less than this share of itself in PATIENCE steps."""
-        self.squares.append(square)
-        before = min(self.squares[:-PATIENCE], default=np.inf)
-        return before - min(self.squares) <= least_fall * before if np.isfinite(before) else False
-
-    def step(self, pull: np.ndarray, momentum: float) -> None:
-        gradient = _sum_of([self.p[i] * F.lit(float(pull[i])) for i in range(self.size)])
-        self._write(self.state.select("p", "share", F.greatest(F.lit(0.0), F.col("ahead") - gradient).alias("rate"), F.col("rate").alias("before")), momentum)
-
-    def meet(self) -> bool:
-        """Steps scaled by the second moments of the documents with a rate above 0, until all targets are met or seem not to be."""
-        damping = 1.0
+        return bool(np.all(np.abs(self.off(self.now)) <= self.tolerance * np.maximum(np.abs(self.goal), 1e-3)))
+
+    def _scaled(self, moments: np.ndarray) -> np.ndarray:
+        inverse = np.linalg.pinv(self.axes.T @ moments @ self.axes, 1e-9, hermitian=True)
+        return self.axes @ (inverse @ (self.axes.T @ self.off(self.now)))
+
+    def step(self) -> None:
+        """Of three scalings of the gradient and of LENGTHS, take those whose projected rates miss the goal least, by one aggregation over all of them."""
+        pulls = [self._scaled(self.inside), self._scaled(self.by_rate), self.off(self.now) / self.steepest]
+        scales = [(F.col("rate") > 0).cast("double"), F.col("rate"), F.lit(1.0)]
+        slopes = [scale * _sum_of([p * F.lit(float(v)) for p, v in zip(self.p, pull, strict=True)]) for scale, pull in zip(scales, pulls, strict=True)]
+        tried = self.state.select("p", "share", "rate", F.posexplode(F.array(*slopes)).alias("way", "slope"))
+        tried = tried.select("p", "share", "way", "slope", "rate", F.explode(F.array(*[F.lit(v) for v in LENGTHS])).alias("length"))
+        rate = F.greatest(F.lit(0.0), F.col("rate") - F.col("length") * F.col("slope"))
+        sums = tried.groupBy("way", "length").agg(*[F.sum(F.col("share") * rate * p).alias(f"e{i}") for i, p in enumerate(self.p)]).collect()  # a row a way and length
+        # Nine digits, so that the order of a sum's terms does not choose between equal steps.
+        missed = [(float(f"{np.linalg.norm(self.off(np.array([r[f'e{i}'] for i in range(self.size)]))):.9g}"), r.way, r.length) for r in sums]
+        _, way, length = min(missed)
+        self._write(self.state.select("p", "share", F.greatest(F.lit(0.0), F.col("rate") - F.lit(length) * slopes[way]).alias("rate")))
+
+    def run(self) -> None:
+        """Steps until the targets are met, or the distance from them falls no further."""
+        distances: list[float] = []
         while not self.met():
-            relative = self.off() / np.maximum(np.abs(self.goal), 1e-3)
-            if self.stalled(float(relative @ relative), 0.5):
-                return False
-            if len(self.squares) > 1 and self.squares[-1] > self.squares[-2]:
-                damping /= 2
-            inside = self.axes.T @ self.moments @ self.axes
-            self.step(damping * self.axes @ (np.linalg.pinv(inside, 1e-9, hermitian=True) @ (self.axes.T @ self.off())), 0.0)
-        return True
-
-    def settle(self) -> None:
-        """Plain steps with momentum, given up where squares rise, until the sum of squares falls no further."""
-        self.squares, turn = [], 1.0
-        while not self.met() and not self.stalled(float(self.off() @ self.off()), SETTLED):
-            if len(self.squares) > 1 and self.squares[-1] > self.squares[-2]:
-                turn = 1.0
-            nxt = (1 + (1 + 4 * turn * turn) ** 0.5) / 2
-            self.step((self.axes @ (self.axes.T @ (self.ahead - self.goal))) / self.steepest, (turn - 1) / nxt)
-            turn = nxt
+            distances.append(float(np.linalg.norm(self.off(self.now))))
+            if len(distances) > PATIENCE and distances[-1] >= (1 - SETTLED) * distances[-1 - PATIENCE]:
+                return
+            self.step()
 
 
 def fit_rates(members: DataFrame, targets: list[float], tolerance: float = TOLERANCE) -> DataFrame:
@@ -271,8 +267,7 @@ def fit_rates(members: DataFrame, targets: list[float], tolerance: float = TOLER
     if not whole:
         return members.withColumn("rate", F.lit(1.0))
     fit = _Descent(kinds.select("p", (F.col("mass") / whole).alias("share"), F.lit(1.0).alias("rate")), np.array(targets) / whole, tolerance)
-    if not fit.meet():
-        fit.settle()
+    fit.run()
     return members.join(fit.state.select("p", "rate"), "p").select(*members.columns, "rate")
 
 
