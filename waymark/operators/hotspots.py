@@ -55,17 +55,18 @@ def links(stays: DataFrame, radius_m: float) -> DataFrame:
     return tied.unionByName(same).unionByName(met)
 
 
-def ranked(spots: DataFrame) -> DataFrame:
-    """(spot, rank): by track_count, visit_count and total_duration_s, largest first, then by latitude and longitude.
+def ranked(spots: DataFrame, count: int, spots_per_range: int = 50_000) -> DataFrame:
+    """count spots with their rank: by track_count, visit_count and total_duration_s, largest first, then by latitude, longitude and spot.
 
-    Spots are counted by (track_count, visit_count) first; only spots alike in both meet in one task.
+    Spots are sorted in ranges and written with their places; a range's offset, one small row a range,
+    joins back. No task sorts more than a range, however many spots are alike.
     """
-    alike = ["track_count", "visit_count"]
-    sizes = spots.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"))
-    order = W.orderBy(F.desc("track_count"), F.desc("visit_count"))  # over a row for each pair of counts
-    before = sizes.select(*alike, (F.sum("n").over(order) - F.col("n")).alias("before"))
-    inner = F.row_number().over(W.partitionBy(*alike).orderBy(F.desc("total_duration_s"), "lat", "lon"))
-    return spots.withColumn("_inner", inner).join(before, alike).select("spot", (F.col("before") + F.col("_inner")).cast("int").alias("rank"))
+    order = [*[F.desc(c) for c in ("track_count", "visit_count", "total_duration_s")], F.asc("lat"), F.asc("lon"), F.asc("spot")]
+    placed = spots.repartitionByRange(max(1, -(-count // spots_per_range)), *order).sortWithinPartitions(*order)
+    placed = materialize(placed.withColumn("place", F.monotonically_increasing_id()), "spots").withColumn("range", F.shiftright("place", 33))
+    sizes = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(W.orderBy("range")) - F.col("n")  # over a row a range
+    return placed.join(sizes.select("range", "first", before.alias("before")), "range").withColumn("rank", (F.col("place") - F.col("first") + F.col("before") + 1).cast("int"))
 
 
 def resorted(found: DataFrame, by: str = "track_count") -> DataFrame:
@@ -87,6 +88,5 @@ def hotspots(stays: DataFrame, radius_m: float = RADIUS_M, min_visits: int = MIN
     ).where(F.col("visit_count") >= min_visits)
     spots = materialize(spots, "groups")  # two branches read it
     reach = tagged.join(spots, "spot").groupBy("spot").agg(F.max(haversine(F.col("lon"), F.col("lat"), F.col("center_lon"), F.col("center_lat"))).alias("radius_m"))
-    out = materialize(spots.join(reach, "spot"), "spots")
-    out = out.join(ranked(out), "spot")
+    out = ranked(spots.join(reach, "spot"), spots.count())
     return out.select("rank", F.col("lon").alias("center_lon"), F.col("lat").alias("center_lat"), "visit_count", "track_count", "total_duration_s", "radius_m", "first_visit", "last_visit", "track_ids")

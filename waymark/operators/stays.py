@@ -8,13 +8,15 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from waymark.functions.geo import EARTH_M
 
 DIAMETER_M, MIN_STAY_S, MAX_GAP_S = 50.0, 300, 300
+#: Points of a track, by seq, whose gaps one task looks for.
+PIECE = 100_000
 SCHEMA = "track_id long, seq_start long, seq_end long, start_time timestamp, end_time timestamp, duration_s int, center_lon double, center_lat double, radius_m double, point_count int"
 FOUND = SCHEMA.replace("timestamp", "long")
 
@@ -70,7 +72,28 @@ def stays_of_run(track: int, ms: np.ndarray, seq: np.ndarray, lon: np.ndarray, l
     return [(track, seq[i], seq[j], ms[i], ms[j], (ms[j] - ms[i]) // 1000, c_lon, c_lat, r, j - i + 1) for i, j, c_lon, c_lat, r in found]
 
 
-def stay_points(points: DataFrame, diameter_m: float = DIAMETER_M, min_stay_s: int = MIN_STAY_S, max_gap_s: int = MAX_GAP_S) -> DataFrame:
+def with_runs(points: DataFrame, max_gap_s: int = MAX_GAP_S, piece: int = PIECE) -> DataFrame:
+    """Points (track_id, seq, ms, ...) with run: how many gaps of over max_gap_s lie before the point in its track.
+
+    Tracks are cut in pieces by seq. Gaps are found and counted within pieces; what lies between pieces, one
+    small row a piece, is added after. So no task sorts a whole track, and points are shuffled once.
+    Points without a track are one track in one piece; a null seq is the first.
+    """
+    at = F.when(F.col("track_id").isNull(), 0).otherwise(F.coalesce(F.floor(F.col("seq") / piece), F.lit(-(1 << 62))))
+    cut = points.withColumn("piece", at).repartition("track_id", "piece")
+    along, pieces = W.partitionBy("track_id", "piece").orderBy("seq"), W.partitionBy("track_id").orderBy("piece")
+
+    def is_gap(later: Column, earlier: Column) -> Column:
+        return F.coalesce(F.floor((later - earlier) / 1000) > max_gap_s, F.lit(False)).cast("long")
+
+    cut = cut.withColumn("gap", is_gap(F.col("ms"), F.lag("ms").over(along))).withColumn("run", F.sum("gap").over(along))
+    ends = cut.groupBy("track_id", "piece").agg(F.sum("gap").alias("n"), F.min_by("ms", "seq").alias("first"), F.max_by("ms", "seq").alias("last"))
+    ends = ends.withColumn("edge", is_gap(F.col("first"), F.lag("last").over(pieces)))
+    before = ends.select("track_id", "piece", (F.sum(F.col("n") + F.col("edge")).over(pieces) - F.col("n")).alias("before")).where("before > 0")
+    return cut.join(before, ["track_id", "piece"], "left").withColumn("run", F.col("run") + F.coalesce("before", F.lit(0))).drop("piece", "gap", "before")
+
+
+def stay_points(points: DataFrame, diameter_m: float = DIAMETER_M, min_stay_s: int = MIN_STAY_S, max_gap_s: int = MAX_GAP_S, piece: int = PIECE) -> DataFrame:
     """One row a stay.
 
     From each point a window grows while gaps stay within max_gap_s and twice the distance from
@@ -102,10 +125,7 @@ def stay_points(points: DataFrame, diameter_m: float = DIAMETER_M, min_stay_s: i
                 yield pd.DataFrame(rows, columns=columns)
 
     slim = points.select("track_id", "seq", F.unix_millis("recorded_at").alias("ms"), "lon", "lat")
-    along = W.partitionBy("track_id").orderBy("seq")
-    gap = F.floor((F.col("ms") - F.lag("ms").over(along)) / 1000) > max_gap_s
-    slim = slim.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("run", F.sum("gap").over(along)).drop("gap")
-    found = slim.repartition("track_id", "run").sortWithinPartitions("track_id", "run", "seq").mapInPandas(scan, FOUND)
+    found = with_runs(slim, max_gap_s, piece).repartition("track_id", "run").sortWithinPartitions("track_id", "run", "seq").mapInPandas(scan, FOUND)
     return found.select(*[F.timestamp_millis(c).alias(c) if c.endswith("_time") else c for c in columns])
 
 

@@ -210,6 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "find_by_external_id": f"{ps} SELECT track_id, name, external_id FROM trk WHERE external_id = substr(sha256('track-3'), 1, 32)",
         "find_by_name": f"{ps} SELECT track_id, name, source FROM trk WHERE name = 'track-7'",
         "bbox_filter": f"{p} SELECT {POINT} FROM pts WHERE {box(Q.SMALL_BOX)}",
+        "layout_box": f"{p} SELECT {POINT} FROM pts WHERE {box(Q.SMALL_BOX)}",
         "hour_filter": f"{p} SELECT track_id, seq, {LOCAL} AS hour FROM pts WHERE {LOCAL} BETWEEN 7 AND 9",
         "date_filter": f"{p} SELECT {POINT} FROM pts WHERE ts BETWEEN {START} AND {END}",
         "track_time_overlap": f"{ps} SELECT {TRACK} FROM trk WHERE start_time <= {END} AND end_time >= {START}",

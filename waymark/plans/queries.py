@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import from_gcj02, geodesic, haversine, iso, local_hour, shifted, to_gcj02
 from waymark.functions.regions import Bbox, Region, parse_region, rectangle
-from waymark.operators import clean, density, hotspots, regions_join, similarity, stays, tracks, within
+from waymark.operators import clean, density, hotspots, layout, regions_join, similarity, stays, tracks, within
 from waymark.operators.storage import shared_dir
 from waymark.sources.files import content_hash, parse_gpx, parse_plt
 from waymark.sources.track_format import register
@@ -194,6 +194,13 @@ def _through_files(files: DataFrame) -> DataFrame:
     return found.select(F.regexp_extract("file", r"/file=(\d+)/", 1).cast("long").alias("track_id"), F.col("line").cast("long").alias("seq"), "lat", "lon", F.round("elevation_m", 4).alias("elevation_m"), iso(F.col("recorded_at")).alias("recorded_at"))
 
 
+def _layout_box(p: DataFrame) -> DataFrame:
+    """What a search by box reads of points that were written by place."""
+    path = f"{shared_dir(p.sparkSession)}/waymark/by-place-{uuid.uuid4().hex}"
+    layout.write_by_place(p, path)
+    return _point(layout.read_box(p.sparkSession, path, SMALL_BOX))
+
+
 def _sample_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """121 points evenly along a route of six legs, 25 s apart, with a rippling elevation."""
     lengths = [((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) ** 0.5 for a, b in zip(ROUTE, ROUTE[1:], strict=False)]
@@ -312,6 +319,7 @@ def queries() -> dict[str, Query]:
         "gpx_parse": _on_points(_gpx_parse),
         "plt_format": _on_points(lambda p: _through_files(_plt_files(p)).withColumn("seq", F.col("seq") - 6)),
         "gpx_format": _on_points(lambda p: _through_files(_gpx_files(p))),
+        "layout_box": _on_points(_layout_box),
         "sample_track": _sample_track,
         "random_points_near": _random_near,
         "demo_points": _demo,
