@@ -187,6 +187,20 @@ def test_manifest_against_plain_trees(spark, monkeypatch, rows):
     assert sorted(map(repr, map(tuple, merkle.manifest(table).collect()))) == manifest(rows)
 
 
+def test_a_block_of_many_buckets_fits_the_engine(monkeypatch):
+    """Sixteen full buckets that a hash dealt to one block, with long proofs above them; in one engine they ran out of its memory."""
+    import pyarrow as pa
+
+    n, above = 16 * merkle.BUCKET, ["0" * 960] * 4
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+    block = pa.table({"src": ["=s"] * n, "bucket": [i // merkle.BUCKET for i in range(n)], "pos": range(n), "n": [n] * n, "depth": pa.array([3] * n, pa.int32()), "doc_id": range(n), "leaf": digests, "tampered": pa.array([None] * n, pa.string())})
+    outer = pa.table({"src": ["=s"] * 16, "bucket": range(16), "before": [above] * 16, "after": [above] * 16, "subroot": ["s"] * 16, "root": ["r"] * 16})
+    monkeypatch.setattr(merkle, "ENGINE_MEMORY", "200MB")
+    assert merkle.bucket_roots(block)["bucket"].to_pylist() == list(range(16))
+    got = merkle.folded(block, outer)
+    assert dict(zip(got["doc_id"].to_pylist(), got["leaf"].to_pylist(), strict=True)) == dict(enumerate(digests))
+
+
 def test_manifest_of_nothing(spark):
     assert merkle.manifest(spark.createDataFrame([], ROWS)).count() == 0
 

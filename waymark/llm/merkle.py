@@ -21,6 +21,7 @@ digest of nothing as its proof; an empty table gives no rows; extra columns are
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
 import duckdb
 import pyarrow as pa
@@ -31,8 +32,10 @@ from waymark.llm.common import heavy_join, materialize, ordered_rank
 
 FANOUT, BUCKET_LEVELS = 16, 3
 BUCKET = FANOUT**BUCKET_LEVELS
-#: Rows that a task holds at a time, or a few buckets more.
+#: Rows that a task holds at a time, or some buckets more, for buckets fall into blocks by a hash.
 BLOCK_ROWS = 8_192
+#: Rows of which an engine has the proofs at a time, in whole buckets; a block of many buckets is read in parts.
+PART_ROWS = BUCKET
 #: Ids whose checksum this divides are tampered with before folding.
 TAMPERED = 5
 #: Memory that a task's engine may take.
@@ -83,8 +86,24 @@ def _levels(db: duckdb.DuckDBPyConnection) -> None:
 _LEAF = f"CREATE TABLE leaf AS SELECT src, bucket, CAST(pos % {BUCKET} AS INTEGER) AS idx, n, depth, doc_id, leaf AS h, tampered FROM given"
 
 
+def _parts(block: pa.Table) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """The block in parts of whole buckets, PART_ROWS or one bucket at most, each with its buckets (src, bucket)."""
+    block = block.sort_by([("src", "ascending"), ("bucket", "ascending")])
+    buckets = block.group_by(["src", "bucket"], use_threads=False).aggregate([([], "count_all")])  # in the order of the rows
+    first = at = rows = 0
+    for k, n in enumerate([*buckets["count_all"].to_pylist(), PART_ROWS + 1]):
+        if rows and rows + n > PART_ROWS:
+            yield block.slice(at, rows), buckets.select(["src", "bucket"]).slice(first, k - first)
+            first, at, rows = k, at + rows, 0
+        rows += n
+
+
 def bucket_roots(block: pa.Table) -> pa.Table:
     """One row a bucket of the block: its root (for a source of one bucket, the source's)."""
+    return pa.concat_tables([_bucket_roots(part) for part, _ in _parts(block)])
+
+
+def _bucket_roots(block: pa.Table) -> pa.Table:
     with _engine(given=block) as db:
         db.execute(_LEAF)
         _levels(db)
@@ -94,6 +113,12 @@ def bucket_roots(block: pa.Table) -> pa.Table:
 
 def folded(block: pa.Table, outer: pa.Table) -> pa.Table:
     """One row a leaf of the block: its proof and what it folds up to. outer: src, bucket, before, after, subroot, root."""
+    at = outer.select(["src", "bucket"]).append_column("at", pa.array(range(outer.num_rows), pa.int64()))
+    own = lambda buckets: outer.take(at.join(buckets, ["src", "bucket"], join_type="inner", use_threads=False)["at"])
+    return pa.concat_tables([_folded(part, own(buckets)) for part, buckets in _parts(block)])
+
+
+def _folded(block: pa.Table, outer: pa.Table) -> pa.Table:
     with _engine(given=block, outer_part=outer) as db:
         db.execute(_LEAF)
         _levels(db)
