@@ -109,6 +109,18 @@ def stay_table(spark, rows):
     )
 
 
+def test_hotspots_of_equal_centres_rank_by_longitude(spark):
+    """Forty spots of the same latitudes, visited in different orders: sums of doubles differ by their order, ranks must not."""
+    rng, rows = random.Random(5), []
+    lats = [39.95 + 1e-4 * rng.random() for _ in range(7)]
+    for spot in range(40):
+        rng.shuffle(lats)
+        rows += [(spot * 10 + i, 0, T0, T0, 300, 116.0 + spot * 0.01, lat) for i, lat in enumerate(lats)]
+    table = spark.createDataFrame(rows, "track_id long, seq_start long, start_time timestamp, end_time timestamp, duration_s int, center_lon double, center_lat double")
+    got = hotspots.hotspots(table).orderBy("rank").collect()
+    assert len({r.center_lat for r in got}) == 1 and [r.track_ids[0] // 10 for r in got] == list(range(40))
+
+
 def test_hotspots_chain_and_count(spark):
     table = stay_table(spark, [(1, 0, 0), (2, 0, 150), (3, 0, 300), (4, 0, 5000), (4, 20, 5010), (4, 40, 5020), (9, 0, 90000)])
     got = hotspots.hotspots(table).orderBy("rank").collect()

@@ -82,8 +82,10 @@ def hotspots(stays: DataFrame, radius_m: float = RADIUS_M, min_visits: int = MIN
     stays = materialize(stays.withColumn("stay_id", ids), "stays")
     root = components(links(stays, radius_m))
     tagged = stays.join(root, stays["stay_id"] == root["node"], "left").withColumn("spot", F.coalesce("root", "stay_id")).drop("node", "root")
+    # Decimal sums do not depend on the order of rows, so that places of equal centres tie in each run.
+    mean = lambda c: F.sum(F.col(c).cast("decimal(28,20)")).cast("double") / F.count(c)
     spots = tagged.groupBy("spot").agg(
-        F.avg("center_lon").alias("lon"), F.avg("center_lat").alias("lat"), F.count(F.lit(1)).alias("visit_count"), F.countDistinct("track_id").alias("track_count"),
+        mean("center_lon").alias("lon"), mean("center_lat").alias("lat"), F.count(F.lit(1)).alias("visit_count"), F.countDistinct("track_id").alias("track_count"),
         F.sum(F.col("duration_s").cast("long")).alias("total_duration_s"), F.min("start_time").alias("first_visit"), F.max("end_time").alias("last_visit"), F.sort_array(F.collect_set("track_id")).alias("track_ids"),
     ).where(F.col("visit_count") >= min_visits)
     spots = materialize(spots, "groups")  # two branches read it
