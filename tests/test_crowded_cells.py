@@ -78,3 +78,25 @@ def test_places_along_lines(spark):
     for bad in ([-0.1], [1.1], [float("nan")], []):
         with pytest.raises(ValueError):
             clean.interpolated(table, bad)
+
+
+def test_memory_follows_neither_far_tracks_nor_sizes_on_disk(spark, monkeypatch):
+    """With a baseline only points in the cells around it are written; without one no table is sent through the driver."""
+    wrote, plans = {}, []
+
+    def noted(df, name, real=similarity.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = real(df, name)
+        wrote.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", noted)
+    rows = made(4, 3, 20, 3e-4) + made(5, 40, 20, 3e-4, at=(10.0, 50.0))
+    table = spark.createDataFrame([(t + 100 * (x < 100), *r, x, y) for t, *r, x, y in rows], POINTS)
+    near = similarity.scores(table, 0, 50.0).count()
+    assert near == len({b if a == 0 else a for a, b in brute([r for r in rows if r[2] > 100], 50.0) if 0 in (a, b)})
+    assert wrote["cut-points"] <= 60
+    plans.clear()
+    found = similarity.scores(table, None, 50.0)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() > 100 and not [p for p in plans if "BroadcastHashJoin" in p]

@@ -43,6 +43,8 @@ _CLOSE = 1e-9
 #: By what share distances on the ellipsoid can differ from those on the sphere (0.56 percent at most).
 _ELLIPSOID = 0.006
 _BOX = ["n", "west", "east", "south", "north"]
+#: Points that a task gathers into boxes, about: a task's memory does not follow the table.
+TASK_POINTS = 200_000
 
 
 def _boxes(cut: DataFrame, level: int) -> DataFrame:
@@ -77,6 +79,23 @@ def _bounds() -> tuple[Column, Column]:
     return metres(lat0, lon0, cx0 * cy0), metres(lat1, lon1, cx1 * cy1)
 
 
+def _around(boxes: DataFrame, tolerance_m: float) -> DataFrame:
+    """A row for each cell (by, bx) in which points near those of a box lie."""
+    rows = boxes.withColumn("by", F.explode(F.sequence(F.col("ry") - 1, F.col("ry") + 1)))
+    reach = F.sequence(column_at(F.col("by"), F.col("west"), tolerance_m) - 1, column_at(F.col("by"), F.col("east"), tolerance_m) + 1)
+    return rows.withColumn("bx", F.explode(reach))
+
+
+def _in_reach(cut: DataFrame, baseline: int, tolerance_m: float, most_broadcast: int = 100_000) -> DataFrame:
+    """The points of the baseline, and those of other tracks in the cells around it: no others can be near."""
+    mine = _boxes(cut.where(F.col("track_id") == baseline), 0)
+    cells = materialize(_around(mine, tolerance_m).select("by", "bx").distinct(), "baseline-cells")
+    cells = F.broadcast(cells) if cells.limit(most_broadcast + 1).count() <= most_broadcast else cells.hint("merge")
+    at = cut.withColumns({"by": F.shiftright("fy", LEVELS), "bx": F.shiftright("fx", LEVELS)})
+    near = at.join(cells, ["by", "bx"], "left_semi").where(F.col("track_id") != baseline).drop("by", "bx")
+    return near.unionByName(cut.where(F.col("track_id") == baseline))
+
+
 def near_counts(points: DataFrame, baseline: int | None, tolerance_m: float, ellipsoid: bool = False) -> DataFrame:
     """(a_track, b_track, a_hit, b_hit): how many points of each of two tracks lie within tolerance_m of the other.
 
@@ -92,13 +111,17 @@ def near_counts(points: DataFrame, baseline: int | None, tolerance_m: float, ell
     check_tolerance(tolerance_m)
     metres, unsure = (geodesic, _ELLIPSOID) if ellipsoid else (haversine, _CLOSE)
     slim = points.select("track_id", "seq", "lon", "lat").where("lon is not null and lat is not null")
-    cut = materialize(nested(slim, "lon", "lat", tolerance_m, LEVELS), "cut-points")
+    cut = nested(slim, "lon", "lat", tolerance_m, LEVELS)
+    if baseline is not None:
+        cut = _in_reach(cut, baseline, tolerance_m)
+    cut = materialize(cut, "cut-points")
+    # Written points are small on disk, so that few tasks would read them; and by its size on disk no table tells
+    # whether it fits the driver: joins of tables that grow with the points are merge joins.
+    cut = cut.repartition(max(1, -(-cut.count() // TASK_POINTS)), "track_id")
     boxes = _boxes(cut, 0)
     mine = boxes.where(F.col("t") == baseline) if baseline is not None else boxes
-    rows = mine.withColumn("by", F.explode(F.sequence(F.col("ry") - 1, F.col("ry") + 1)))
-    reach = F.sequence(column_at(F.col("by"), F.col("west"), tolerance_m) - 1, column_at(F.col("by"), F.col("east"), tolerance_m) + 1)
-    around_mine = _side(rows.withColumn("bx", F.explode(reach)), "x").withColumnsRenamed({"x_by": "y_ry", "x_bx": "y_rx"})
-    pairs = around_mine.join(_side(boxes, "y"), ["y_ry", "y_rx"]).where("x_t != y_t")
+    around_mine = _side(_around(mine, tolerance_m), "x").withColumnsRenamed({"x_by": "y_ry", "x_bx": "y_rx"})
+    pairs = around_mine.join(_side(boxes, "y").hint("merge"), ["y_ry", "y_rx"]).where("x_t != y_t")
     if baseline is not None:
         turned = F.struct(*[F.col(("y" if c[0] == "x" else "x") + c[1:]).alias(c) for c in pairs.columns])
         pairs = pairs.select(F.explode(F.array(F.struct(*pairs.columns), turned)).alias("p")).select("p.*")
@@ -111,13 +134,13 @@ def near_counts(points: DataFrame, baseline: int | None, tolerance_m: float, ell
         by_cell = told.groupBy(*cell).agg(F.bool_or("all").alias("any"), F.first("x_n").alias("n"), (F.first("x_n") * F.sum("y_n")).alias("work"))
         by_cell = materialize(by_cell, "cells")
         whole = by_cell.where("any").select("x_t", "y_t", "n")
-        left = told.join(by_cell.where("not any").select(*cell, "work"), cell)
+        left = told.join(by_cell.where("not any").select(*cell, "work").hint("merge"), cell)
         last = level == LEVELS
         here = cut.select("track_id", "seq", "lon", "lat", *[F.shiftright(c, LEVELS - level).alias(r) for c, r in (("fy", "ry"), ("fx", "rx"))])
         sides = [here.select(*[F.col(c).alias(f"{s}_{n}") for c, n in (("track_id", "t"), ("ry", "ry"), ("rx", "rx"), ("seq", "seq"), ("lon", "lon"), ("lat", "lat"))]) for s in "xy"]
         keys = ["x_t", "x_ry", "x_rx", "y_t", "y_ry", "y_rx"]
         few = left.where(F.lit(last) | (F.col("work") <= FEW)).select(*keys)
-        close = few.join(sides[0], keys[:3]).join(sides[1], keys[3:]).where(metres(F.col("x_lon"), F.col("x_lat"), F.col("y_lon"), F.col("y_lat")) <= tolerance_m)
+        close = few.join(sides[0].hint("merge"), keys[:3]).join(sides[1].hint("merge"), keys[3:]).where(metres(F.col("x_lon"), F.col("x_lat"), F.col("y_lon"), F.col("y_lat")) <= tolerance_m)
         some = close.select("x_t", "x_seq", "y_t").distinct().groupBy("x_t", "y_t").agg(F.count(F.lit(1)).alias("n"))
         counted = whole.unionByName(some)
         found = counted if found is None else found.unionByName(counted)
@@ -129,7 +152,7 @@ def near_counts(points: DataFrame, baseline: int | None, tolerance_m: float, ell
         for s in "xy":
             child = _side(finer, s).withColumns({f"{s}_cy": F.shiftright(f"{s}_ry", 1), f"{s}_cx": F.shiftright(f"{s}_rx", 1)})
             above = kept[0].withColumnsRenamed({f"{s}_ry": f"{s}_cy", f"{s}_rx": f"{s}_cx"})
-            kept = [above.join(child, [f"{s}_t", f"{s}_cy", f"{s}_cx"]).drop(f"{s}_cy", f"{s}_cx")]
+            kept = [above.join(child.hint("merge"), [f"{s}_t", f"{s}_cy", f"{s}_cx"]).drop(f"{s}_cy", f"{s}_cx")]
         pairs = kept[0]
     first = F.col("x_t") == baseline if baseline is not None else F.col("x_t") < F.col("y_t")
     named = found.select(F.when(first, F.col("x_t")).otherwise(F.col("y_t")).alias("a_track"), F.when(first, F.col("y_t")).otherwise(F.col("x_t")).alias("b_track"), first.alias("first"), "n")
@@ -142,7 +165,7 @@ def scores(points: DataFrame, baseline: int | None, tolerance_m: float = 50.0, e
     found = near_counts(points, baseline, tolerance_m, ellipsoid)
     totals = points.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
     a, b = totals.select(F.col("track_id").alias("a_track"), F.col("n").alias("a_n")), totals.select(F.col("track_id").alias("b_track"), F.col("n").alias("b_n"))
-    both = found.join(a, "a_track").join(b, "b_track").withColumns({"forward": percent(F.col("a_hit"), F.col("a_n")), "reverse": percent(F.col("b_hit"), F.col("b_n"))})
+    both = found.join(a.hint("merge"), "a_track").join(b.hint("merge"), "b_track").withColumns({"forward": percent(F.col("a_hit"), F.col("a_n")), "reverse": percent(F.col("b_hit"), F.col("b_n"))})
     return both.select("a_track", "b_track", "a_hit", "b_hit", "forward", "reverse", F.least("forward", "reverse").alias("similarity"))
 
 
