@@ -59,3 +59,13 @@ def test_a_stream_reads_each_file_once(spark, folder, tmp_path):
     old = folder / "plt" / "0.plt"
     (folder / "plt" / "later.plt").write_text(old.read_text())
     assert len(run()) == len(first) + sum(r[0] == "0.plt" for r in first)
+
+
+def test_files_are_put_in_place_by_tasks_and_dealt_by_number(spark, tmp_path, monkeypatch):
+    texts = [(str(i), f"text {i} é") for i in range(40)] + [("a/b ..", ""), ("none", None)]
+    track_format.write_files(spark.createDataFrame(texts, "file string, value string").repartition(5), f"file://{tmp_path}/out")
+    found = {p.name: p.read_text("utf-8") for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {f.replace("/", "%2F").replace(" ", "%20"): v or "" for f, v in texts}
+    monkeypatch.setattr(track_format, "PART_FILES", 10)
+    parts = track_format.TrackReader(str(tmp_path / "out")).partitions()
+    assert [len(p.paths) for p in parts] == [10, 10, 10, 10, 2]

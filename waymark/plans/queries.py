@@ -13,7 +13,7 @@ from waymark.functions.regions import Bbox, Region, parse_region, rectangle
 from waymark.operators import clean, density, hotspots, layout, regions_join, similarity, stays, tracks, within
 from waymark.operators.storage import shared_dir
 from waymark.sources.files import content_hash, parse_gpx, parse_plt
-from waymark.sources.track_format import register
+from waymark.sources.track_format import register, write_files
 from waymark.sources.virtual import demo_points, named, random_points, virtual_points, virtual_regions
 from waymark.streaming import trips
 
@@ -188,10 +188,10 @@ def _through_files(files: DataFrame) -> DataFrame:
     """What the data source reads of texts (file, value) that were written as a file each."""
     spark = files.sparkSession
     path = f"{shared_dir(spark)}/waymark/track-files-{uuid.uuid4().hex}"
-    files.select("file", "value").write.partitionBy("file").text(path)
+    write_files(files, path)
     register(spark)
     found = spark.read.format("tracks").load(path)
-    return found.select(F.regexp_extract("file", r"/file=(\d+)/", 1).cast("long").alias("track_id"), F.col("line").cast("long").alias("seq"), "lat", "lon", F.round("elevation_m", 4).alias("elevation_m"), iso(F.col("recorded_at")).alias("recorded_at"))
+    return found.select(F.regexp_extract("file", r"/(\d+)$", 1).cast("long").alias("track_id"), F.col("line").cast("long").alias("seq"), "lat", "lon", F.round("elevation_m", 4).alias("elevation_m"), iso(F.col("recorded_at")).alias("recorded_at"))
 
 
 def _layout_box(p: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Track files as a Spark data source: ``spark.read.format("tracks").load(path)``, and the same for streams.
 
-A partition holds files of about PART_BYTES together; the task that reads it opens them through Arrow's file
+A partition holds files of about PART_BYTES together, PART_FILES at most; the task that reads it opens them through Arrow's file
 systems, sniffs each one's format and gives a row a point. A stream's offset is the time of the latest file
 that was seen and the files of that very time; each batch reads the files that came after it.
 
@@ -15,9 +15,12 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from urllib.parse import quote
+from zlib import crc32
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from waymark.sources.files import FEET_M, HEAD_BYTES, OFFSET_TIME, SCAN_LINES
@@ -25,6 +28,8 @@ from waymark.sources.files import FEET_M, HEAD_BYTES, OFFSET_TIME, SCAN_LINES
 SCHEMA = "file string, format string, line int, lat double, lon double, elevation_m double, recorded_at timestamp"
 #: Bytes of files that a task reads, about.
 PART_BYTES = 64 << 20
+#: Files that a task reads at most, for opening a small file takes longer than reading it; folders that files are written to.
+PART_FILES, FOLDERS = 2_000, 1_000
 _NUMBER = re.compile(r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*")
 _DATE, _TIME = re.compile(r"\d{4}-\d{1,2}-\d{1,2}"), re.compile(r"\d{1,2}:\d{2}:\d{2}")
 
@@ -83,8 +88,36 @@ class Files(InputPartition):
         self.paths = paths
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Write rows (file, value), of distinct names, as a file each in FOLDERS folders below path.
+
+    Tasks put their files in place themselves, so the driver renames none; a file that is written again is the same.
+    """
+
+    def write(rows: Iterator[Row]) -> None:
+        system, root = _located(path)
+        made = set()
+        for r in rows:
+            folder = f"{root}/{crc32(r.file.encode()) % FOLDERS}"
+            if folder not in made:
+                system.create_dir(folder)
+                made.add(folder)
+            name = quote(r.file, safe="")
+            draft = f"{folder}/.{name}-{TaskContext.get().taskAttemptId()}"
+            with system.open_output_stream(draft) as stream:
+                stream.write((r.value or "").encode())
+            system.move(draft, f"{folder}/{name}")
+
+    _located(path)[0].create_dir(_located(path)[1])
+    files.select("file", "value").foreachPartition(write)
+
+
 def _listed(path: str) -> list[fs.FileInfo]:
-    system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    system, root = _located(path)
     info = system.get_file_info(root)
     found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
     return sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
@@ -93,7 +126,7 @@ def _listed(path: str) -> list[fs.FileInfo]:
 def _dealt(files: list[fs.FileInfo]) -> list[Files]:
     parts, held, size = [], [], 0
     for f in files:
-        if held and size + f.size > PART_BYTES:
+        if held and (size + f.size > PART_BYTES or len(held) == PART_FILES):
             parts.append(Files(held))
             held, size = [], 0
         held.append(f.path)
