@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import regions as R
 from waymark.functions.geo import bounds_of, crosses, degrees_for, edges_of, from_gcj02, haversine, haversine_m, inside, percent, to_gcj02
+from waymark.operators import regions_join
 
 SQUARE = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]
 HOLE = [[1.0, 1.0], [3.0, 1.0], [3.0, 3.0], [1.0, 3.0], [1.0, 1.0]]
@@ -143,3 +144,11 @@ def test_segments_meet_edges(spark):
     got = rows.select("want", crosses(F.col("a"), F.col("b"), F.col("c"), F.col("d"), rings).alias("z")).collect()
     assert all(r.z == r.want for r in got)
     assert bounds_of(rings) == (0, 0, 4, 4)
+
+
+def test_validity_is_checked_by_tasks_of_a_bounded_number_of_regions(spark, monkeypatch):
+    monkeypatch.setattr(regions_join, "TASK_REGIONS", 10)
+    square = '{"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}'
+    table = spark.range(95).select(F.col("id").alias("region_id"), F.when(F.col("id") % 5 > 0, square).alias("geometry")).coalesce(1)
+    found = regions_join.validity(table)
+    assert found.rdd.getNumPartitions() == 10 and {r.region_id: r.valid for r in found.collect()} == {i: i % 5 > 0 for i in range(95)}

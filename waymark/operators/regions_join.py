@@ -25,6 +25,8 @@ from waymark.operators.storage import materialize
 ACROSS = 8
 #: Degrees of the finest cell, and by what share of a cell edges are taken to be thicker than they are.
 FINEST, THICK = 1e-4, 1e-6
+#: Regions that a task checks, about.
+TASK_REGIONS = 20_000
 
 
 def _width(level: Column) -> Column:
@@ -107,11 +109,15 @@ def _fault_of(geometry: str | None) -> str | None:
 
 
 def validity(regions: DataFrame, id_col: str = "region_id", geometry_col: str = "geometry") -> DataFrame:
-    """(region_id, valid, reason) of regions given as GeoJSON; null is invalid."""
+    """(region_id, valid, reason) of regions given as GeoJSON; null is invalid.
+
+    Regions are dealt to tasks by number: a table of a few MB is read by one or two, but takes minutes to check.
+    """
 
     @F.pandas_udf("string")
     def why(geometries: pd.Series) -> pd.Series:
         return geometries.map(_fault_of).astype(object)
 
+    regions = regions.select(id_col, geometry_col).repartition(max(1, -(-regions.count() // TASK_REGIONS)))
     found = regions.select(F.col(id_col).alias("region_id"), why(F.col(geometry_col)).alias("reason"))
     return found.select("region_id", F.col("reason").isNull().alias("valid"), "reason")
