@@ -141,3 +141,15 @@ def test_validity_of_a_table(spark):
     got = {r.region_id: r for r in regions_join.validity(spark.createDataFrame(rows, "region_id long, geometry string")).collect()}
     assert [got[i].valid for i in range(len(CASES))] == [want is None for _, want in CASES.values()]
     assert not any(got[i].valid for i in (100, 101, 102)) and all((r.reason is None) == r.valid for r in got.values())
+
+
+def test_regions_meet_places_and_words_of_tracks(spark):
+    """A hundred and thirty tracks on one way, each there twice, and one without a number: rows are those of places and words, counts those of points and tracks."""
+    rows = [(t if t else None, 0.5 + i / 10, 0.5) for t in range(130) for i in (0, 1, 2, 0)] + [(7, 5.0, 5.0), (8, None, 1.0)]
+    table = spark.createDataFrame(rows, "track_id long, lon double, lat double")
+    seen = regions_join.by_place(table)
+    assert seen.count() <= 3 * 4 + 1 and seen.agg(F.sum("n")).first()[0] == 521
+    regions = spark.createDataFrame([(1, [square(0.0, 0.0, 1.0)]), (2, [square(0.55, 0.0, 1.0)]), (3, [square(4.0, 4.0, 3.0)]), (4, [square(20.0, 20.0, 1.0)])], REGIONS)
+    got = {r.region_id: (r.points, r.tracks) for r in regions_join.region_counts(table, regions).collect()}
+    plain = {r.region_id: (r.points, r.tracks) for r in regions_join.contained(table, regions).groupBy("region_id").agg(F.count("*").alias("points"), F.countDistinct(F.coalesce("track_id", F.lit(-1))).alias("tracks")).collect()}
+    assert got == plain == {1: (520, 130), 2: (260, 130), 3: (1, 1)}

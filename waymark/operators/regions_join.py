@@ -25,25 +25,49 @@ from waymark.operators.storage import materialize
 ACROSS = 8
 #: Degrees of the finest cell, and by what share of a cell edges are taken to be thicker than they are.
 FINEST, THICK = 1e-4, 1e-6
-#: Regions that a task checks, about.
-TASK_REGIONS = 20_000
+#: Regions that a task checks, regions that a task cuts into cells, and tracks that a task numbers, about.
+TASK_REGIONS, INDEX_REGIONS, TASK_TRACKS = 20_000, 4_000, 200_000
 
 
 def _width(level: Column) -> Column:
     return F.lit(FINEST) * F.pow(F.lit(2.0), level)
 
 
-def grid_index(regions: DataFrame, id_col: str = "region_id", rings_col: str = "rings") -> DataFrame:
-    """(level, cy, cx, region_id, full, base, edges) of regions whose rings are array<array<struct<x double, y double>>>, closed."""
+def _cells_of(points: DataFrame, levels: list[int], lon: str, lat: str) -> DataFrame:
+    """Each point with its cell (_level, _cy, _cx) of each level."""
+    at = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    return at.withColumns({"_cy": F.floor(F.col(lat) / _width(F.col("_level"))), "_cx": F.floor(F.col(lon) / _width(F.col("_level")))})
+
+
+def _met(rows: DataFrame, keys: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+    """The rows whose keys are among the distinct ones given, which are broadcast if they are few."""
+    few = keys.limit(most_broadcast + 1).count() <= most_broadcast
+    return rows.join(F.broadcast(keys) if few else keys.hint("merge"), keys.columns, "left_semi")
+
+
+def grid_index(regions: DataFrame, id_col: str = "region_id", rings_col: str = "rings", places: DataFrame | None = None) -> DataFrame:
+    """(level, cy, cx, region_id, full, base, edges) of regions whose rings are array<array<struct<x double, y double>>>, closed.
+
+    With places (lon, lat) only cells that hold one are indexed.
+    """
     rings = regions.select(F.col(id_col).alias("region_id"), F.col(rings_col).alias("rings"))
     sides = F.flatten(F.transform("rings", lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(r) - 1)), lambda i: F.struct(F.get(r, i - 1)["x"].alias("ax"), F.get(r, i - 1)["y"].alias("ay"), F.get(r, i)["x"].alias("bx"), F.get(r, i)["y"].alias("by")))))
+    # What follows groups by region in these tasks, whose work is not told by the bytes that they read.
+    rings = rings.repartition(max(1, -(-rings.count() // INDEX_REGIONS)), "region_id")
     edges = rings.select("region_id", F.explode(sides).alias("e")).where("e.ax is not null and e.ay is not null and e.bx is not null and e.by is not null").select("region_id", "e.*")
     boxes = edges.groupBy("region_id").agg(F.greatest(F.max(F.greatest("ax", "bx")) - F.min(F.least("ax", "bx")), F.max(F.greatest("ay", "by")) - F.min(F.least("ay", "by"))).alias("span"))
     level = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col("span"), F.lit(FINEST)) / F.lit(ACROSS * FINEST)))).cast("int")
+    held = None
+    if places is not None:
+        levels = sorted(r.level for r in boxes.select(level.alias("level")).distinct().collect())  # a power of two each
+        cells = _cells_of(places, levels or [0], "lon", "lat").select(F.col("_level").alias("level"), F.col("_cy").alias("cy"), F.col("_cx").alias("cx"))
+        held = materialize(cells.distinct(), "held-cells")
     leveled = edges.join(boxes.select("region_id", level.alias("level")), "region_id").withColumn("c", _width(F.col("level")))
     thick = F.col("c") * THICK
     low, high = F.least("ay", "by"), F.greatest("ay", "by")
     rows = leveled.withColumn("cy", F.explode(F.sequence(F.floor((low - thick) / F.col("c")), F.floor((high + thick) / F.col("c")))))
+    if held is not None:
+        rows = _met(rows, held.select("level", "cy").distinct())
     south, north = F.col("cy") * F.col("c") - thick, (F.col("cy") + 1) * F.col("c") + thick
 
     def x_at(y: Column) -> Column:
@@ -60,6 +84,8 @@ def grid_index(regions: DataFrame, id_col: str = "region_id", rings_col: str = "
     )
     lines = rows.groupBy("region_id", "level", "cy").agg(F.collect_list(passed).alias("es"))
     cells = lines.withColumn("cx", F.explode(F.sequence(F.array_min(F.transform("es", lambda e: e["first"])), F.array_max(F.transform("es", lambda e: e["last"])))))
+    if held is not None:
+        cells = _met(cells, held)
     x = F.col("cx")
     border = F.exists("es", lambda e: (e["first"] <= x) & (e["last"] >= x))
     beyond = lambda e: e["spans"] & (e["first"] > x + 1)
@@ -80,24 +106,48 @@ def _holds(lon: Column, lat: Column) -> Column:
     return on | ((F.size(F.filter("_edges", crossed)) + F.col("_base")) % 2 == 1)
 
 
-def contained(points: DataFrame, regions: DataFrame, id_col: str = "region_id", rings_col: str = "rings", lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """The rows of points once for each region that holds them, with region_id added (in place of a column of that name)."""
-    index = materialize(grid_index(regions, id_col, rings_col), "grid-index")
+def contained(points: DataFrame, regions: DataFrame, id_col: str = "region_id", rings_col: str = "rings", lon: str = "lon", lat: str = "lat", places: DataFrame | None = None) -> DataFrame:
+    """The rows of points once for each region that holds them, with region_id added (in place of a column of that name).
+
+    places: the points' distinct places (lon, lat) if these are known to be few, so that no cells beside them are indexed.
+    """
+    index = materialize(grid_index(regions, id_col, rings_col, places), "grid-index")
     levels = sorted(r.level for r in index.select("level").distinct().collect())  # a power of two each
     if not levels:
         return points.drop("region_id").select("*", F.lit(None).cast(regions.schema[id_col].dataType).alias("region_id")).limit(0)
     points = points.drop("region_id")
-    at = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
-    at = at.withColumns({"_cy": F.floor(F.col(lat) / _width(F.col("_level"))), "_cx": F.floor(F.col(lon) / _width(F.col("_level")))})
+    at = _cells_of(points, levels, lon, lat)
     named = index.select("region_id", *[F.col(c).alias(f"_{c}") for c in ("level", "cy", "cx", "full", "base", "edges")])
     met = at.join(named, ["_level", "_cy", "_cx"]).where(F.col("_full") | _holds(F.col(lon), F.col(lat)))
     return met.select(*points.columns, "region_id")
 
 
+def by_place(points: DataFrame) -> DataFrame:
+    """(lon, lat, word, bits, n): at each place, sixty-four tracks a row as bits, and their n points there.
+
+    Tracks are numbered in the order of their most western place, so that those of one way stand in few words.
+    """
+    visits = points.where("lon is not null and lat is not null").groupBy("track_id", "lon", "lat").agg(F.count(F.lit(1)).alias("n"))
+    visits = materialize(visits, "visits")
+    first = visits.groupBy("track_id").agg(F.min(F.struct("lon", "lat")).alias("at"))
+    first = first.repartitionByRange(max(1, -(-first.count() // TASK_TRACKS)), "at", "track_id").sortWithinPartitions("at", "track_id")
+    tracks = materialize(first.select(F.col("track_id").alias("track"), F.monotonically_increasing_id().alias("number")), "track-numbers")
+    met = visits.join(tracks.hint("merge"), visits["track_id"].eqNullSafe(tracks["track"]))
+    bit = F.expr("shiftleft(1L, cast(number & 63 as int))")
+    return met.groupBy("lon", "lat", F.shiftright("number", 6).alias("word")).agg(F.bit_or(bit).alias("bits"), F.sum("n").alias("n"))
+
+
 def region_counts(points: DataFrame, regions: DataFrame, **columns: str) -> DataFrame:
-    """(region_id, points, tracks) of the regions that hold a point."""
-    by_track = contained(points.select("track_id", "lon", "lat"), regions, **columns).groupBy("region_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
-    return by_track.groupBy("region_id").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("tracks"))
+    """(region_id, points, tracks) of the regions that hold a point.
+
+    Regions are joined with places, not with points, and the tracks of a place come as words of bits: rows follow the
+    pairs of regions and places, and of places and words, not the pairs of regions and points.
+    """
+    seen = materialize(by_place(points.select("track_id", "lon", "lat")), "places")
+    places = materialize(seen.select("lon", "lat").distinct(), "distinct-places")
+    inside = contained(places, regions, places=places, **columns)
+    words = inside.join(seen, ["lon", "lat"]).groupBy("region_id", "word").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
+    return words.groupBy("region_id").agg(F.sum("n").alias("points"), F.sum(F.bit_count("bits").cast("long")).alias("tracks"))
 
 
 def _fault_of(geometry: str | None) -> str | None:
