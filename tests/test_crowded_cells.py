@@ -100,3 +100,25 @@ def test_memory_follows_neither_far_tracks_nor_sizes_on_disk(spark, monkeypatch)
     found = similarity.scores(table, None, 50.0)
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert found.count() > 100 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_rows_follow_places_and_words_not_pairs_of_tracks(spark, monkeypatch):
+    """Tracks of one way, several words of them: what is written does not grow with the square of the tracks."""
+    rows, wrote = [], {}
+
+    def counted(df, name, real=similarity.materialize):
+        out = real(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    for n in (40, 160):
+        rng = random.Random(n)
+        ids = rng.sample(range(-500, 500), n)
+        way = [(t, s, 116.3 + 4e-4 * ((t + rng.choice([s, s, s // 2])) % 9), 39.95) for t in ids for s in range(8)]
+        rows.clear()
+        got = {(r.a_track, r.b_track): (r.a_hit, r.b_hit, r.a_n, r.b_n) for r in similarity._all_pairs(spark.createDataFrame(way + [(ids[0], 8, None, 1.0)], POINTS), 50.0, False).collect()}
+        size = lambda t, first=ids[0]: 8 + (t == first)
+        assert got == {(a, b): (m, k, size(a), size(b)) for (a, b), (m, k) in brute(way, 50.0).items()} and len(got) > n * n / 3
+        wrote[n] = sum(c for _, c in rows)
+    assert wrote[160] < 5 * wrote[40]

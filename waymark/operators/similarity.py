@@ -9,6 +9,7 @@ from waymark.functions.geo import EARTH_M, geodesic, haversine, percent, utc_dat
 from waymark.functions.regions import check_limit, check_tolerance
 from waymark.operators.cells import around, at_home, column_at, nested
 from waymark.operators.storage import materialize
+from waymark.operators.words import bits, count_pairs, numbered, visits_of, word
 
 
 def near_points(points: DataFrame, baseline: int | None, tolerance_m: float, most_broadcast: int = 100_000) -> DataFrame:
@@ -38,6 +39,8 @@ def hits(near: DataFrame) -> DataFrame:
 
 #: How often cells may be cut in four, and products of points up to which they are compared one by one.
 LEVELS, FEW = 12, 4_096
+#: Places of all tracks are compared one by one up to this many times FEW: a comparison is made once, not once for each two tracks.
+FEW_PLACES = 256
 #: Bounds of distances closer than this share to the tolerance are left to the points themselves.
 _CLOSE = 1e-9
 #: By what share distances on the ellipsoid can differ from those on the sphere (0.56 percent at most).
@@ -99,7 +102,8 @@ def _in_reach(cut: DataFrame, baseline: int, tolerance_m: float, most_broadcast:
 def near_counts(points: DataFrame, baseline: int | None, tolerance_m: float, ellipsoid: bool = False) -> DataFrame:
     """(a_track, b_track, a_hit, b_hit): how many points of each of two tracks lie within tolerance_m of the other.
 
-    With a baseline, a is that track; otherwise a_track < b_track. Tracks are compared cell by cell: of two
+    With a baseline, a is that track; otherwise a_track < b_track, and places are compared for all tracks at
+    once, see _all_pairs(). With a baseline tracks are compared cell by cell: of two
     cells in reach the boxes that the tracks' points fill tell whether all points of one are near the other,
     none, or some. Where one box of the other track is near throughout, the cell's points all count and are
     looked at no further; where it stays open, points are compared one by one if they are few, else
@@ -109,22 +113,19 @@ def near_counts(points: DataFrame, baseline: int | None, tolerance_m: float, ell
     points without a place are near nothing.
     """
     check_tolerance(tolerance_m)
+    if baseline is None:
+        return _all_pairs(points, tolerance_m, ellipsoid).drop("a_n", "b_n")
     metres, unsure = (geodesic, _ELLIPSOID) if ellipsoid else (haversine, _CLOSE)
     slim = points.select("track_id", "seq", "lon", "lat").where("lon is not null and lat is not null")
-    cut = nested(slim, "lon", "lat", tolerance_m, LEVELS)
-    if baseline is not None:
-        cut = _in_reach(cut, baseline, tolerance_m)
-    cut = materialize(cut, "cut-points")
+    cut = materialize(_in_reach(nested(slim, "lon", "lat", tolerance_m, LEVELS), baseline, tolerance_m), "cut-points")
     # Written points are small on disk, so that few tasks would read them; and by its size on disk no table tells
     # whether it fits the driver: joins of tables that grow with the points are merge joins.
     cut = cut.repartition(max(1, -(-cut.count() // TASK_POINTS)), "track_id")
     boxes = _boxes(cut, 0)
-    mine = boxes.where(F.col("t") == baseline) if baseline is not None else boxes
-    around_mine = _side(_around(mine, tolerance_m), "x").withColumnsRenamed({"x_by": "y_ry", "x_bx": "y_rx"})
+    around_mine = _side(_around(boxes.where(F.col("t") == baseline), tolerance_m), "x").withColumnsRenamed({"x_by": "y_ry", "x_bx": "y_rx"})
     pairs = around_mine.join(_side(boxes, "y").hint("merge"), ["y_ry", "y_rx"]).where("x_t != y_t")
-    if baseline is not None:
-        turned = F.struct(*[F.col(("y" if c[0] == "x" else "x") + c[1:]).alias(c) for c in pairs.columns])
-        pairs = pairs.select(F.explode(F.array(F.struct(*pairs.columns), turned)).alias("p")).select("p.*")
+    turned = F.struct(*[F.col(("y" if c[0] == "x" else "x") + c[1:]).alias(c) for c in pairs.columns])
+    pairs = pairs.select(F.explode(F.array(F.struct(*pairs.columns), turned)).alias("p")).select("p.*")
     cell = ["x_t", "x_ry", "x_rx", "y_t"]
     found = None
     for level in range(LEVELS + 1):
@@ -154,18 +155,88 @@ def near_counts(points: DataFrame, baseline: int | None, tolerance_m: float, ell
             above = kept[0].withColumnsRenamed({f"{s}_ry": f"{s}_cy", f"{s}_rx": f"{s}_cx"})
             kept = [above.join(child.hint("merge"), [f"{s}_t", f"{s}_cy", f"{s}_cx"]).drop(f"{s}_cy", f"{s}_cx")]
         pairs = kept[0]
-    first = F.col("x_t") == baseline if baseline is not None else F.col("x_t") < F.col("y_t")
+    first = F.col("x_t") == baseline
     named = found.select(F.when(first, F.col("x_t")).otherwise(F.col("y_t")).alias("a_track"), F.when(first, F.col("y_t")).otherwise(F.col("x_t")).alias("b_track"), first.alias("first"), "n")
     hit = lambda side: F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0).cast("long"))
     return named.groupBy("a_track", "b_track").agg(hit(F.col("first")).alias("a_hit"), hit(~F.col("first")).alias("b_hit"))
 
 
+def _near_words(cut: DataFrame, stops: DataFrame, tolerance_m: float, ellipsoid: bool) -> DataFrame:
+    """(place, word, bits): the tracks that come within tolerance_m of a place.
+
+    cut: (place, lon, lat, fy, fx); stops: (place, word, bits). Of two cells in reach the boxes that their places fill tell
+    whether all places of one are near the other, none, or some. All: the words of the one go to the places of the other. Some:
+    places are compared one by one if they are few, else the cells are cut in four.
+    """
+    metres, unsure = (geodesic, _ELLIPSOID) if ellipsoid else (haversine, _CLOSE)
+    boxes = _boxes(cut, 0).drop("t")
+    pairs = _side(_around(boxes, tolerance_m), "x").withColumnsRenamed({"x_by": "y_ry", "x_bx": "y_rx"}).join(_side(boxes, "y").hint("merge"), ["y_ry", "y_rx"])
+    keys, found = ["x_ry", "x_rx", "y_ry", "y_rx"], None
+    for level in range(LEVELS + 1):
+        low, high = _bounds()
+        told = pairs.withColumn("all", high <= tolerance_m * (1 - unsure)).withColumn("none", low > tolerance_m * (1 + unsure)).where("not none").drop("none")
+        told = materialize(told, "box-pairs")
+        here = cut.select("place", "lon", "lat", *[F.shiftright(c, LEVELS - level).alias(r) for c, r in (("fy", "ry"), ("fx", "rx"))])
+        sides = [here.select(*[F.col(c).alias(f"{s}_{c}") for c in here.columns]) for s in "xy"]
+        of_cells = stops.join(sides[1].hint("merge"), stops["place"] == sides[1]["y_place"]).groupBy("y_ry", "y_rx", "word").agg(F.bit_or("bits").alias("bits"))
+        whole = told.where("all").select(*keys).join(of_cells.hint("merge"), keys[2:]).groupBy("x_ry", "x_rx", "word").agg(F.bit_or("bits").alias("bits"))
+        last = level == LEVELS
+        work = F.col("x_n") * F.col("y_n") > FEW * FEW_PLACES
+        few = told.where(~F.col("all") & (F.lit(last) | ~work)).select(*keys)
+        close = few.join(sides[0].hint("merge"), keys[:2]).join(sides[1].hint("merge"), keys[2:]).where(metres(F.col("x_lon"), F.col("x_lat"), F.col("y_lon"), F.col("y_lat")) <= tolerance_m)
+        some = close.select("x_place", F.col("y_place").alias("place")).join(stops.hint("merge"), "place").select(F.col("x_place").alias("place"), "word", "bits")
+        one = whole.join(sides[0].hint("merge"), keys[:2]).select(F.col("x_place").alias("place"), "word", "bits").unionByName(some)
+        found = one if found is None else found.unionByName(one)
+        many = told.where(~F.col("all") & work)
+        if last or not many.take(1):
+            break
+        finer, pairs = _boxes(cut, level + 1).drop("t"), many.select(*keys)
+        for s in "xy":
+            child = _side(finer, s).withColumns({f"{s}_cy": F.shiftright(f"{s}_ry", 1), f"{s}_cx": F.shiftright(f"{s}_rx", 1)})
+            above = pairs.withColumnsRenamed({f"{s}_ry": f"{s}_cy", f"{s}_rx": f"{s}_cx"})
+            pairs = above.join(child.hint("merge"), [f"{s}_cy", f"{s}_cx"]).drop(f"{s}_cy", f"{s}_cx")
+    return materialize(found.groupBy("place", "word").agg(F.bit_or("bits").alias("bits")), "near-words")
+
+
+def _totals(points: DataFrame) -> DataFrame:
+    return points.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _all_pairs(points: DataFrame, tolerance_m: float, ellipsoid: bool) -> DataFrame:
+    """near_counts() of all pairs, with the numbers of the tracks' points a_n and b_n.
+
+    Distinct places are compared once for all tracks at them, tracks are bits of words, and pairs of words are counted
+    by tables of 64 by 64: rows follow the places and the pairs of words, only the result follows the pairs of tracks.
+    """
+    visits = visits_of(points.where("track_id is not null"))
+    numbers = numbered(visits)
+    # Negative zero is the place of zero, so that no place is taken for two.
+    places = visits.select((F.col("lon") + 0.0).alias("lon"), (F.col("lat") + 0.0).alias("lat")).distinct()
+    cut = nested(places.withColumn("place", F.monotonically_increasing_id()), "lon", "lat", tolerance_m, LEVELS).withColumn("track_id", F.lit(0))
+    cut = materialize(cut, "cut-places")
+    cut = cut.repartition(max(1, -(-cut.count() // TASK_POINTS)), "place")
+    placed = visits.join(cut.select("place", "lon", "lat").hint("merge"), ["lon", "lat"]).join(numbers.hint("merge"), F.col("track_id") == F.col("track"))
+    # A number of points is a sum of powers of two, each a row of its own.
+    powers = F.filter(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)), lambda w: F.col("n").bitwiseAND(w) != 0)
+    stops = placed.select("place", "number", F.explode(powers).alias("weight")).groupBy("place", word().alias("word"), "weight").agg(bits().alias("bits"))
+    stops = materialize(stops, "stops")
+    near = _near_words(cut, stops.groupBy("place", "word").agg(F.bit_or("bits").alias("bits")), tolerance_m, ellipsoid)
+    totals = _totals(points).join(numbers.hint("merge"), F.col("track_id") == F.col("track"))
+    seats = totals.groupBy(word().alias("word")).agg(F.collect_list(F.struct((F.col("number") % 64).cast("int").alias("k"), "track", "n")).alias("all"))
+    seat = lambda name: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.get(F.filter("all", lambda s: s["k"] == k), F.lit(0))[name], F.lit(-1)))
+    names = materialize(seats.select("word", seat("track").alias("ids"), seat("n").alias("ns")), "word-names")
+    return count_pairs(stops, near, names)
+
+
 def scores(points: DataFrame, baseline: int | None, tolerance_m: float = 50.0, ellipsoid: bool = False) -> DataFrame:
     """(a_track, b_track, a_hit, b_hit, forward, reverse, similarity): percents to one decimal, similarity the smaller."""
-    found = near_counts(points, baseline, tolerance_m, ellipsoid)
-    totals = points.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = totals.select(F.col("track_id").alias("a_track"), F.col("n").alias("a_n")), totals.select(F.col("track_id").alias("b_track"), F.col("n").alias("b_n"))
-    both = found.join(a.hint("merge"), "a_track").join(b.hint("merge"), "b_track").withColumns({"forward": percent(F.col("a_hit"), F.col("a_n")), "reverse": percent(F.col("b_hit"), F.col("b_n"))})
+    if baseline is None:
+        both = _all_pairs(points, tolerance_m, ellipsoid)
+    else:
+        totals = _totals(points)
+        a, b = totals.select(F.col("track_id").alias("a_track"), F.col("n").alias("a_n")), totals.select(F.col("track_id").alias("b_track"), F.col("n").alias("b_n"))
+        both = near_counts(points, baseline, tolerance_m, ellipsoid).join(a.hint("merge"), "a_track").join(b.hint("merge"), "b_track")
+    both = both.withColumns({"forward": percent(F.col("a_hit"), F.col("a_n")), "reverse": percent(F.col("b_hit"), F.col("b_n"))})
     return both.select("a_track", "b_track", "a_hit", "b_hit", "forward", "reverse", F.least("forward", "reverse").alias("similarity"))
 
 
