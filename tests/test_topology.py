@@ -153,3 +153,27 @@ def test_regions_meet_places_and_words_of_tracks(spark):
     got = {r.region_id: (r.points, r.tracks) for r in regions_join.region_counts(table, regions).collect()}
     plain = {r.region_id: (r.points, r.tracks) for r in regions_join.contained(table, regions).groupBy("region_id").agg(F.count("*").alias("points"), F.countDistinct(F.coalesce("track_id", F.lit(-1))).alias("tracks")).collect()}
     assert got == plain == {1: (520, 130), 2: (260, 130), 3: (1, 1)}
+
+
+def test_regions_of_one_shape_are_counted_once(spark, monkeypatch):
+    """Copies of regions add no rows to the index, tracks of several wide words are counted whole, and rows of one id are one region."""
+    wrote = {}
+
+    def counted(df, name, real=regions_join.materialize):
+        out = real(df, name)
+        wrote.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(regions_join, "materialize", counted)
+    rows = [(t, 0.05 * ((t + i) % 20), 0.5) for t in range(1300) for i in (0, 3)]
+    table = spark.createDataFrame(rows, "track_id long, lon double, lat double")
+    shapes = [[square(0.0, 0.0, 1.0)], [square(0.3, 0.4, 0.33)], [square(0.0, 0.0, 1.0), square(0.25, 0.25, 0.5)], [square(30.0, 30.0, 1.0)]]
+    parted = [(900, [square(0.0, 0.0, 1.0)]), (900, [square(0.25, 0.25, 0.5)]), (901, None), (None, shapes[0])]
+    for copies in (1, 25):
+        regions = spark.createDataFrame([(4 * c + k, r) for c in range(copies) for k, r in enumerate(shapes)] + parted, REGIONS)
+        got = {r.region_id: (r.points, r.tracks) for r in regions_join.region_counts(table, regions).collect()}
+        plain = {r.region_id: (r.points, r.tracks) for r in regions_join.contained(table, regions).where("region_id is not null").groupBy("region_id").agg(F.count("*").alias("points"), F.countDistinct("track_id").alias("tracks")).collect()}
+        assert got == plain and len(got) == 3 * copies + 1 and got[0] == (2600, 1300) and got[900] == got[2] != got[0]
+    # contained() writes an index of all copies, the second of each two.
+    one, many = wrote["grid-index"][0], wrote["grid-index"][2]
+    assert one == many and wrote["grid-index"][3] > 3 * wrote["grid-index"][1]

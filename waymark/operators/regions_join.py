@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 
 from waymark.functions.regions import parse_region
 from waymark.operators.storage import materialize
+from waymark.operators.words import numbered, visits_of
 
 #: Cells along the longer side of a region's box, at least.
 ACROSS = 8
 #: Degrees of the finest cell, and by what share of a cell edges are taken to be thicker than they are.
 FINEST, THICK = 1e-4, 1e-6
-#: Regions that a task checks, regions that a task cuts into cells, and tracks that a task numbers, about.
-TASK_REGIONS, INDEX_REGIONS, TASK_TRACKS = 20_000, 4_000, 200_000
+#: Cells of places that are broadcast, at most.
+MOST_BROADCAST = 500_000
+#: Regions that a task checks, and regions that a task cuts into cells, about.
+TASK_REGIONS, INDEX_REGIONS = 20_000, 4_000
 
 
 def _width(level: Column) -> Column:
@@ -122,32 +125,66 @@ def contained(points: DataFrame, regions: DataFrame, id_col: str = "region_id",
     return met.select(*points.columns, "region_id")
 
 
+#: Words of a row: eight times sixty-four tracks.
+WIDE = 8
+
+
+def _merged() -> list[Column]:
+    return [*[F.bit_or(f"b{k}").alias(f"b{k}") for k in range(WIDE)], F.sum("n").alias("n")]
+
+
 def by_place(points: DataFrame) -> DataFrame:
-    """(lon, lat, word, bits, n): at each place, sixty-four tracks a row as bits, and their n points there.
+    """(lon, lat, word, b0 .. b7, n): at each place, 512 tracks a row as bits, and their n points there.
 
     Tracks are numbered in the order of their most western place, so that those of one way stand in few words.
     """
-    visits = points.where("lon is not null and lat is not null").groupBy("track_id", "lon", "lat").agg(F.count(F.lit(1)).alias("n"))
-    visits = materialize(visits, "visits")
-    first = visits.groupBy("track_id").agg(F.min(F.struct("lon", "lat")).alias("at"))
-    first = first.repartitionByRange(max(1, -(-first.count() // TASK_TRACKS)), "at", "track_id").sortWithinPartitions("at", "track_id")
-    tracks = materialize(first.select(F.col("track_id").alias("track"), F.monotonically_increasing_id().alias("number")), "track-numbers")
-    met = visits.join(tracks.hint("merge"), visits["track_id"].eqNullSafe(tracks["track"]))
+    visits = visits_of(points)
+    met = visits.join(numbered(visits).hint("merge"), F.col("track_id").eqNullSafe(F.col("track")))
     bit = F.expr("shiftleft(1L, cast(number & 63 as int))")
-    return met.groupBy("lon", "lat", F.shiftright("number", 6).alias("word")).agg(F.bit_or(bit).alias("bits"), F.sum("n").alias("n"))
+    each = [F.coalesce(F.bit_or(F.when(F.shiftright("number", 6) % WIDE == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(WIDE)]
+    return met.groupBy("lon", "lat", F.floor(F.col("number") / (64 * WIDE)).alias("word")).agg(*each, F.sum("n").alias("n"))
+
 
+def shapes_of(regions: DataFrame, id_col: str = "region_id", rings_col: str = "rings") -> tuple[DataFrame, DataFrame]:
+    """(region_id, rings) of one region of each shape, and (shape, region_id): which regions have the rings of region shape.
 
-def region_counts(points: DataFrame, regions: DataFrame, **columns: str) -> DataFrame:
+    Rings are alike if their digests are. Regions of one id are one region of all their rings.
+    """
+    rings = regions.select(F.col(id_col).alias("region_id"), F.col(rings_col).alias("rings")).where("region_id is not null and rings is not null")
+    digest = F.sha2(F.to_json("rings"), 256)
+    keyed = rings.groupBy("region_id").agg(F.unhex(F.sha2(F.array_join(F.sort_array(F.collect_list(digest)), ","), 256)).alias("key"))
+    keyed = materialize(keyed, "region-shapes")
+    first = keyed.groupBy("key").agg(F.min("region_id").alias("shape"))
+    copies = materialize(keyed.join(first.hint("merge"), "key").select("shape", "region_id"), "region-copies")
+    return _met(rings, copies.where("shape = region_id").select("region_id")), copies
+
+
+def region_counts(points: DataFrame, regions: DataFrame, id_col: str = "region_id", rings_col: str = "rings") -> DataFrame:
     """(region_id, points, tracks) of the regions that hold a point.
 
-    Regions are joined with places, not with points, and the tracks of a place come as words of bits: rows follow the
-    pairs of regions and places, and of places and words, not the pairs of regions and points.
+    Regions of the same rings are counted once. They are joined with places, not with points, and with whole cells of
+    places where these lie in them; the tracks of a place or of a cell come as words of bits. So rows follow the pairs of
+    shapes and cells, and the words of these, not the pairs of regions and points.
     """
     seen = materialize(by_place(points.select("track_id", "lon", "lat")), "places")
     places = materialize(seen.select("lon", "lat").distinct(), "distinct-places")
-    inside = contained(places, regions, places=places, **columns)
-    words = inside.join(seen, ["lon", "lat"]).groupBy("region_id", "word").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
-    return words.groupBy("region_id").agg(F.sum("n").alias("points"), F.sum(F.bit_count("bits").cast("long")).alias("tracks"))
+    shapes, copies = shapes_of(regions, id_col, rings_col)
+    index = materialize(grid_index(shapes, places=places), "grid-index")
+    levels = sorted(r.level for r in index.select("level").distinct().collect())  # a power of two each
+    at = ["level", "cy", "cx"]
+    names = {"_level": "level", "_cy": "cy", "_cx": "cx"}
+    of_cells = _cells_of(seen, levels or [0], "lon", "lat").withColumnsRenamed(names).groupBy(*at, "word").agg(*_merged())
+    columns = ["region_id", "word", *[f"b{k}" for k in range(WIDE)], "n"]
+    within = index.where("full").select("region_id", *at).join(of_cells.hint("merge"), at).select(*columns)
+    border = index.where("not full").select("region_id", *[F.col(c).alias(f"_{c}") for c in (*at, "base", "edges")])
+    spread = _cells_of(places, levels or [0], "lon", "lat")  # broadcast if few, so that no edges are shuffled
+    spread = F.broadcast(spread) if spread.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else spread.hint("merge")
+    on = border.join(spread, ["_level", "_cy", "_cx"]).where(_holds(F.col("lon"), F.col("lat"))).select("lon", "lat", "region_id")
+    near = on.join(seen.hint("merge"), ["lon", "lat"]).select(*columns)
+    words = within.unionByName(near).groupBy("region_id", "word").agg(*_merged())
+    tracks = sum((F.bit_count(f"b{k}").cast("long") for k in range(WIDE)), F.lit(0).cast("long"))
+    counts = words.groupBy(F.col("region_id").alias("shape")).agg(F.sum("n").alias("points"), F.sum(tracks).alias("tracks"))
+    return copies.join(counts.hint("merge"), "shape").select("region_id", "points", "tracks")
 
 
 def _fault_of(geometry: str | None) -> str | None:
